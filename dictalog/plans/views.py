@@ -65,7 +65,10 @@ VIEW_SQL = {
 def with_views(sql: str) -> str:
     """Prefix an oracle with the views it names."""
     used = [f"{name} AS ({text.strip()})" for name, text in VIEW_SQL.items() if name in sql]
-    return f"WITH {', '.join(used)} {sql.strip()}" if used else sql.strip()
+    sql = sql.strip()
+    if sql.startswith("WITH "):
+        return f"WITH {', '.join(used)}, {sql[5:]}"
+    return f"WITH {', '.join(used)} {sql}" if used else sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
