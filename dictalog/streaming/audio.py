@@ -15,8 +15,10 @@ def vad_sessions(chunks: DataFrame, threshold: float, silence_us: int) -> DataFr
     """Speech segments of a chunk stream with ``ts`` (watermarked) and ``ts_us``: a session of speech chunks whose gaps
     are at most the silence. A segment comes out once the watermark has passed its silence."""
     gap = f"{silence_us + 1} microseconds"
+    # The condition names the event time, so that it is not pushed below the watermark: silent chunks advance it too.
+    spoken = F.when(F.col("speech_score") >= threshold, F.col("ts")).isNotNull()
     return (
-        chunks.filter(F.col("speech_score") >= threshold)
+        chunks.filter(spoken)
         .groupBy("source_id", F.session_window("ts", gap))
         .agg(
             F.min("ts_us").alias("start_us"),
@@ -41,19 +43,20 @@ class _InEventOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        latest = None
+        first = None
         for pdf in rows:
             got = list(pdf[self.row.names].itertuples(index=False, name=None))
             self.held.appendList([_plain(r) for r in got])
-            latest = max(int(pdf["ts_us"].max()), latest or 0)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+            low = int(pdf["ts_us"].min())
+            first = low if first is None else min(low, first)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter([pd.DataFrame(columns=self.names)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[0], r[1]))
         ready = [r for r in rows if r[0] <= upto]
         rest = [r for r in rows if r[0] > upto]
@@ -65,6 +68,7 @@ class _InEventOrder(StatefulProcessor):
         self.held.clear()
         if rest:
             self.held.appendList(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         return iter([pd.DataFrame(out, columns=self.names)])
 
     def close(self) -> None:
