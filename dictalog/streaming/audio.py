@@ -46,7 +46,7 @@ class _InEventOrder(StatefulProcessor):
         first = None
         for pdf in rows:
             got = list(pdf[self.row.names].itertuples(index=False, name=None))
-            self.held.appendList([_plain(r) for r in got])
+            self.held.appendList([_plain(r, self.row) for r in got])
             low = int(pdf["ts_us"].min())
             first = low if first is None else min(low, first)
         if first is not None:
@@ -75,8 +75,17 @@ class _InEventOrder(StatefulProcessor):
         pass
 
 
-def _plain(row: tuple) -> tuple:
-    return tuple(v.item() if hasattr(v, "item") else (None if v != v else v) for v in row)
+def _plain(row: tuple, shape: T.StructType) -> tuple:
+    """Plain Python values for the state store (pandas shows a column of whole numbers with nulls as floats)."""
+    out = []
+    for v, field in zip(row, shape.fields):
+        if v is None or v != v:
+            out.append(None)
+        elif isinstance(field.dataType, (T.LongType, T.IntegerType)):
+            out.append(int(v))
+        else:
+            out.append(v.item() if hasattr(v, "item") else v)
+    return tuple(out)
 
 
 _EVENT = T.StructType(
