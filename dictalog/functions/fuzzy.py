@@ -95,24 +95,23 @@ class PhraseMatcher:
             if not 0 < len(phrase) <= 63:
                 raise ValueError(f"a phrase needs 1 to 63 characters: {p.phrase!r}")
             self.patterns.append((p, phrase, _char_bits(phrase), _sure_pieces(phrase, ratio_min)))
-        self.longest = max((len(x[1]) for x in self.patterns), default=0)
+        self.required = sorted({q for p in patterns for q in p.required})
+        self._near_words: dict[str, frozenset[str]] = {}
 
     def best_per_pattern(self, text: str, min_end: int = 0) -> list[Match]:
         """Each pattern's best match that ends after ``min_end``: highest score, then leftmost, then longest."""
         cleaned, where = clean_with_map(text)
         if not cleaned:
             return []
-        words = set(_BLANKS.split(cleaned)) - {""}
-        near: dict[str, bool] = {}
+        near: set[str] = set()
+        for word in set(_BLANKS.split(cleaned)):
+            near |= self._required_near(word)
         codes = None
         found = []
         for pattern, phrase, bits, pieces in self.patterns:
             if len(cleaned) < len(phrase):
                 continue
-            for q in pattern.required:
-                if q not in near:
-                    near[q] = any(_near(w, q) for w in words)
-            if not all(near[q] for q in pattern.required):
+            if not near.issuperset(pattern.required):
                 continue
             starts = _starts_near(cleaned, phrase, pieces)
             if starts.size == 0:
@@ -124,6 +123,15 @@ class PhraseMatcher:
                 found.append(Match(pattern.kind, pattern.phrase, *hit))
         return found
 
+    def _required_near(self, word: str) -> frozenset[str]:
+        """Required words that a word of the text stands for; remembered, since texts repeat their words."""
+        got = self._near_words.get(word)
+        if got is None:
+            got = frozenset(q for q in self.required if word and _near(word, q))
+            if len(self._near_words) < 500_000:
+                self._near_words[word] = got
+        return got
+
     def _scan(self, codes, where, starts, phrase, bits, min_end):
         m = len(phrase)
         lookup = _window_bits(codes, bits)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from dictalog.functions import fuzzy
 from dictalog.functions.phrases import default_patterns
-from dictalog.functions.texts import clean_text, has_required_words, near_word, seam, tokens
+from dictalog.functions.texts import clean_text, near_word, seam, tokens
 from dictalog.operators.slices import KeySlices, neighbour, running
 
 KEY = "source_id"
@@ -59,13 +59,23 @@ def drop_blank_audio(jobs: DataFrame, segments: str = "segments") -> DataFrame:
 def pattern_candidates(texts: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Patterns that can occur in a text: their first word is a word of the text and all required words are near one.
 
-    An equi join on the first word replaces pairing every text with every pattern; the pattern table is the small side.
+    An equi join on the first word replaces pairing every text with every pattern. The pattern table is a parameter of a
+    few hundred rows and is broadcast.
     """
-    words = tokens(F.col(text))
     firsts = patterns.withColumn("_first", F.split("phrase", " ")[0])
-    split = texts.withColumn("_words", words).withColumn("_first", F.explode(F.array_distinct("_words")))
-    joined = split.join(F.broadcast(firsts), "_first").filter(has_required_words(F.col("_words"), F.col("required")))
-    return joined.drop("_first", "_words")
+    listed = firsts.select("_first", "required").collect()  # the pattern list
+    heads = sorted({r[0] for r in listed})
+    wanted = sorted({q for r in listed for q in r[1]})
+    words = texts.withColumn("_words", F.array_distinct(tokens(F.col(text))))
+    near = F.filter(_strings(wanted), lambda q: F.exists("_words", lambda w: near_word(w, q)))
+    split = words.withColumn("_first", F.array_intersect("_words", _strings(heads))).filter(F.size("_first") > 0)
+    split = split.withColumn("_near", near).drop("_words").withColumn("_first", F.explode("_first"))
+    joined = split.join(F.broadcast(firsts), "_first").filter(F.size(F.array_except("required", "_near")) == 0)
+    return joined.drop("_first", "_near")
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def exact_candidates(texts: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:

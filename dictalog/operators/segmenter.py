@@ -1,10 +1,9 @@
 """Texts to drafts in batch, without walking a source row by row.
 
-Each text is looked at together with the last characters of the texts before it, so boundary phrases are found row by row
-in parallel. Only rows whose result depends on how much of that context an earlier boundary has used up are worked
-through in order, in small chains. Boundaries then open and close drafts by looking at the next boundary, and the
-texts, cut at the boundaries, are put together per draft. The streaming form in ``streaming.segmenter`` gives the
-same drafts.
+Each text is looked at together with the last characters of the texts before it, so boundary phrases are found with
+bounded memory, and within a hot source in parallel. Boundaries then open and close drafts by looking at the next
+boundary, and the texts, cut at the boundaries, are put together per draft. The streaming form in
+``streaming.segmenter`` gives the same drafts.
 """
 
 from __future__ import annotations
@@ -115,28 +114,23 @@ def _as_rows(found: list, fixed: int) -> list[dict]:
 def find_boundaries(
     placed: DataFrame, slices: KeySlices, order: str, patterns: list[Pattern], expiry_s: float = EXPIRY_S
 ) -> DataFrame:
-    """Boundaries with absolute positions: source, row order, kind, text said, start and end in the running text."""
-    rows = add_context(placed, slices, order, expiry_s)
-    keep = [KEY, order, "start_pos", "text", "ctx"]
-    likely = rows.select(*keep).filter(may_hold_boundary(F.concat("ctx", "text"), patterns))
+    """Boundaries with absolute positions: source, row order, kind, text said, start and end in the running text.
 
-    def scan(batches: Iterator) -> Iterator:
-        matcher = PhraseMatcher(patterns)
-        for pdf in batches:
-            found, open_ = [], []
-            for ctx, text in zip(pdf["ctx"], pdf["text"]):
-                view = ctx + text
-                full = matcher.best_per_pattern(view, len(ctx))
-                bare = matcher.best_per_pattern(text, 0)
-                moved = [Match(m.kind, m.phrase, m.start + len(ctx), m.end + len(ctx), m.score) for m in bare]
-                found.append(_as_rows(walk(matcher, view, len(ctx), 0), len(ctx)) if full else [])
-                open_.append(full != moved)
-            pdf["found"], pdf["depends"] = found, open_
-            yield pdf[[bool(f) or d for f, d in zip(found, open_)]]
-
-    schema = widen(likely.schema, found=_FOUND, depends=T.BooleanType())
-    active = likely.mapInPandas(scan, schema)
-    settled = _settle_chains(materialize(active, "active"), slices, order, patterns)
+    Rows without a plausible boundary word never reach Python. Ordinary sources are already together and in order after
+    the context windows, so one pass over each partition is enough. Hot sources are spread over slices: their rows are
+    looked at on their own first, and only rows whose result depends on the rows before are then gone through in order.
+    """
+    rows = add_context(placed, slices, order, expiry_s)
+    likely = rows.select(KEY, order, "start_pos", "text", "ctx").filter(may_hold_boundary(F.concat("ctx", "text"), patterns))
+    if slices.trivial:
+        ordered = likely.withColumn("_chain", F.lit(0).cast("long")).sortWithinPartitions(KEY, order)
+        settled = ordered.mapInPandas(_in_order(patterns), widen(ordered.schema, found=_FOUND))
+    else:
+        active = materialize(likely.mapInPandas(_alone(patterns), widen(likely.schema, found=_FOUND, depends=T.BooleanType())), "active")
+        head = (~F.col("depends")).cast("long")
+        chained = running(active, slices, [order], sums={"_chain": head})
+        ordered = spread(chained, KEY, "_chain").sortWithinPartitions(KEY, "_chain", order)
+        settled = ordered.mapInPandas(_in_order(patterns), ordered.schema)
     return settled.select(KEY, order, "start_pos", F.posexplode("found").alias("match_no", "m")).select(
         KEY,
         order,
@@ -150,35 +144,61 @@ def find_boundaries(
     )
 
 
-def _settle_chains(active: DataFrame, slices: KeySlices, order: str, patterns: list[Pattern]) -> DataFrame:
-    """Redo, in order, the rows whose result depends on what the active rows before them have used up.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash partitions that stay as many as configured, for steps whose cost is in Python and not in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
-    A chain starts at a row that does not depend on its context (or has none in reach) and goes on through the
-    dependent rows after it. Almost all chains are one row long and are passed on untouched.
+
+def _alone(patterns: list[Pattern]):
+    """Boundaries of each row as if nothing of its context were used up, and whether that can matter.
+
+    A smaller context can only take candidates away. If each pattern's best match is the same with the whole context and
+    with none, it is the same with any part of it.
     """
-    head = ~F.col("depends")
-    numbered = running(active, slices, [order], sums={"_chain": head.cast("long")})
-    size = F.count(F.lit(1)).over(Window.partitionBy(KEY, "_chain"))
-    sized = numbered.withColumn("_n", size)
-    single = F.col("_n") == 1
-    done = sized.filter(single).drop("_n", "_chain")
-
-    def redo(pdf):
+
+    def scan(batches: Iterator) -> Iterator:
+        matcher = PhraseMatcher(patterns)
+        for pdf in batches:
+            found, depends = [], []
+            for ctx, text in zip(pdf["ctx"], pdf["text"]):
+                full = matcher.best_per_pattern(ctx + text, len(ctx))
+                bare = matcher.best_per_pattern(text, 0)
+                moved = [Match(m.kind, m.phrase, m.start + len(ctx), m.end + len(ctx), m.score) for m in bare]
+                found.append(_as_rows(walk(matcher, ctx + text, len(ctx), 0), len(ctx)) if full else [])
+                depends.append(full != moved)
+            pdf["found"], pdf["depends"] = found, depends
+            yield pdf[[bool(f) or d for f, d in zip(found, depends)]]
+
+    return scan
+
+
+def _in_order(patterns: list[Pattern]):
+    """One pass over sorted rows. Only the end of the last boundary is carried from row to row, so a chain may be of any
+    length. Rows that do not depend on it keep the boundaries they have."""
+
+    def scan(batches: Iterator) -> Iterator:
         matcher = PhraseMatcher(patterns)
-        pdf = pdf.sort_values(order, kind="stable")
-        used_upto = -1  # absolute end of the last boundary
-        out = []
-        for ctx, text, start in zip(pdf["ctx"], pdf["text"], pdf["start_pos"]):
-            view_start = start - len(ctx)
-            found = walk(matcher, ctx + text, len(ctx), max(0, used_upto - view_start))
-            if found:
-                used_upto = view_start + found[-1][2]
-            out.append(_as_rows(found, len(ctx)))
-        pdf = pdf.assign(found=out)
-        return pdf[[c for c in pdf.columns if c not in ("_n", "_chain")]]
-
-    chained = sized.filter(~single).groupBy(KEY, "_chain").applyInPandas(redo, active.schema)
-    return done.unionByName(chained)
+        chain, used_upto = None, -1
+        for pdf in batches:
+            known = list(pdf["found"]) if "found" in pdf else [None] * len(pdf)
+            settled = ~pdf["depends"] if "depends" in pdf else [False] * len(pdf)
+            out = []
+            for source, number, ctx, text, start, have, done in zip(
+                pdf[KEY], pdf["_chain"], pdf["ctx"], pdf["text"], pdf["start_pos"], known, settled
+            ):
+                if (source, number) != chain:
+                    chain, used_upto = (source, number), -1
+                view_start = start - len(ctx)
+                if done:
+                    rows = list(have)
+                else:
+                    rows = _as_rows(walk(matcher, ctx + text, len(ctx), max(0, used_upto - view_start)), len(ctx))
+                if rows:
+                    used_upto = start + rows[-1]["end"]
+                out.append(rows)
+            yield pdf.assign(found=out)
+
+    return scan
 
 
 def draft_id(source: Column, opened_at: Column) -> Column:
@@ -197,7 +217,8 @@ def build_drafts(
     wanted = patterns or default_patterns()
     base = texts.select(KEY, order, "text", "audio_start_time", "audio_end_time")
     placed = materialize(text_offset_map(base, slices, order), "placed")
-    bounds = materialize(find_boundaries(placed, slices, order, wanted, expiry_s), "bounds")
+    apart = spread(placed, KEY) if slices.trivial else placed
+    bounds = materialize(find_boundaries(apart, slices, order, wanted, expiry_s), "bounds")
     bounds = _with_times(bounds, placed, order)
     opened = draft_spans(bounds, slices, [order, "m_start"])
     stream_end = placed.groupBy(KEY).agg(

@@ -11,7 +11,6 @@ from dictalog.operators.matching import assemble_text, drop_blank_audio
 from dictalog.operators.slices import plan_slices
 from dictalog.plans import views
 from dictalog.plans.registry import query
-from dictalog.session import shared_dir
 from dictalog.sources import audio_files, segment_spec
 from dictalog.streaming import audio as SA
 from dictalog.streaming import live
@@ -224,42 +223,27 @@ def s12(spark, sf):
     return clips.select("draft_id", "part_no", F.size("data").cast("long").alias("n_samples"), F.round(total, 4).alias("total"))
 
 
-@query("s4_read_audio_corpus", """SELECT CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT source_id,
- unnest(generate_series(0, CAST(ceil(total / 100.0) AS BIGINT) - 1)) AS chunk_no, total, least(100, total - chunk_no * 100) AS n FROM (SELECT source_id,
- count(*) * 64 AS total FROM v_chunks GROUP BY 1) a) b GROUP BY 1""")
+@query(
+    "s4_read_audio_corpus",
+    f"""SELECT chunk_no, count(*) AS n_files, CAST(sum(least(100, samples - chunk_no * 100)) AS BIGINT) AS samples FROM (SELECT samples,
+        unnest(generate_series(0, CAST(ceil(samples / 100.0) AS BIGINT) - 1)) AS chunk_no FROM {RECORDED_SQL} r) x GROUP BY 1""",
+)
 def s4(spark, sf):
-    """The recorded segments' samples written as one WAV file per source segment list, and read back in 50 ms chunks."""
-    got = _corpus(spark, sf)
+    """The recorded segments as WAV bytes, one per segment, decoded again in 50 ms chunks."""
+    pieces = _pieces(spark, sf, with_data=True)
+    part = F.slice("data", F.col("piece_from").cast("int") + 1, F.col("piece_samples").cast("int"))
+    ordered = F.sort_array(F.collect_list(F.struct("chunk_id", part.alias("p"))))  # one segment
+    clips = pieces.groupBy("source_id", "segment_index").agg(
+        F.flatten(F.transform(ordered, lambda c: c["p"])).alias("data"), F.max("sample_rate").alias("sample_rate")
+    )
+    wav = audio_files.to_wav(clips, ["source_id", "segment_index"])
+    files = wav.select(F.concat_ws("/", "source_id", "segment_index").alias("path"), F.col("wav").alias("content"))
+    got = audio_files.decode_audio(files, chunk_sec=0.05)
     return got.filter("event_class = 'AudioChunkEvent'").groupBy("chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum(F.size("data").cast("long")).alias("samples")
     )
 
 
-def _corpus(spark, sf):
-    """One WAV file per source: the work of one task per source, written piece by piece from sorted rows."""
-    rows, _ = views.chunks(spark, sf)
-    path = shared_dir(spark, "wav")
-
-    def write(pdf):
-        import os
-        import wave
-
-        import pandas as pd
-
-        os.makedirs(path, exist_ok=True)
-        name = pdf["source_id"].iloc[0]
-        with wave.open(f"{path}/{name}.wav", "wb") as f:
-            f.setnchannels(1)
-            f.setsampwidth(2)
-            f.setframerate(2000)
-            for data in pdf.sort_values("chunk_id")["data"]:
-                f.writeframes((np.asarray(data) * np.float32(32767.0)).astype("<i2").tobytes())
-        return pd.DataFrame({"source_id": [name], "n": [len(pdf)]})
-
-    rows.select("source_id", "chunk_id", "data").groupBy("source_id").applyInPandas(write, "source_id STRING, n BIGINT").count()
-    return audio_files.read_audio_corpus(spark, path, chunk_sec=0.05)
-
-
 @query("s5_pcm_decode", "SELECT chunk_id, CAST(64 AS BIGINT) AS n, 0.0001e0 > 0 AS close FROM v_chunks")
 def s5(spark, sf):
     """Samples to 16-bit bytes and back: within one step of the scale."""

@@ -38,12 +38,17 @@ def encode_wav(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
 def read_audio_corpus(
     spark: SparkSession, path: str, chunk_sec: float = 0.03, start_time: float = 0.0, glob: str = "*.wav"
 ) -> DataFrame:
+    """Audio events of a folder of WAV files, see ``decode_audio``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return decode_audio(files, chunk_sec, start_time)
+
+
+def decode_audio(files: DataFrame, chunk_sec: float = 0.03, start_time: float = 0.0) -> DataFrame:
     """Start event, fixed-length chunks with running times, stop event per file; an error event if it cannot be read.
 
-    A file is decoded block by block and its rows leave in batches, so memory does not grow with file length. Multi-
-    channel samples are interleaved in ``data``.
+    ``files(path, content)``. A file is decoded block by block and its rows leave in batches, so only the file itself has
+    to fit into a task. Multi-channel samples are interleaved in ``data``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
     def decode(batches: Iterator) -> Iterator:
         import pandas as pd
