@@ -152,10 +152,9 @@ def j4(spark, sf):
     return D.validate_ids(incoming, stored, ["timestamp"]).select("draft_id", "parent_draft_id", "reason")
 
 
-@query("s9_append_drafts", "SELECT draft_id, timestamp, full_text, parent_draft_id FROM v_drafts d WHERE parent_draft_id IS NULL"
-       " OR EXISTS (SELECT 1 FROM v_drafts p WHERE p.draft_id = d.parent_draft_id AND p.parent_draft_id IS NULL)")
+@query("s9_append_drafts", "SELECT draft_id, timestamp, full_text, parent_draft_id FROM v_drafts")
 def s9(spark, sf):
-    """Append the originals, then the whole table; read the stored table back."""
+    """Append the originals, then the whole table, in which every revision comes after its parent; read it back."""
     incoming, originals = _batch(spark, sf)
     path = shared_dir(spark, "drafts")
     sinks.append_drafts(originals, path, ["timestamp"])

@@ -38,16 +38,38 @@ def read_drafts(spark: SparkSession, path: str) -> DataFrame:
 def append_drafts(incoming: DataFrame, path: str, order_by: list[str]) -> DataFrame:
     """Append the valid drafts to the table and return the rejected ones with their reason.
 
-    Running the same batch again appends nothing, so a retried micro-batch is harmless.
+    A draft may revise one that comes earlier in the same batch. Running the same batch again appends nothing, so a
+    retried micro-batch is harmless.
     """
     spark = incoming.sparkSession
     stored = read_drafts(spark, path).select("draft_id")
     judged = materialize(validate_ids(incoming, stored, order_by), "judged")
-    accepted = judged.filter(F.col("reason").isNull()).drop("reason")
+    accepted, late = _accept_in_order(judged, order_by)
     day = with_day(_stored_shape(accepted))
     # one shuffle by day and id hash: few files per day, and a busy day still spreads over several tasks
     day.repartition("dt", F.pmod(F.xxhash64("draft_id"), F.lit(8))).write.mode("append").partitionBy("dt").parquet(path)
-    return judged.filter(F.col("reason").isNotNull())
+    refused = judged.filter(F.col("reason").isNotNull())
+    return refused if late is None else refused.join(late, ["draft_id", "reason"], "left_anti")
+
+
+def _accept_in_order(judged: DataFrame, order_by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Accepted rows, and the ids among the unknown parents' children that turn out valid. One round per generation of
+    revisions within the batch, each over the newly accepted ids only."""
+    pos = F.struct(*order_by)
+    accepted = judged.filter(F.col("reason").isNull()).drop("reason")
+    waiting = judged.filter(F.col("reason") == "unknown_parent").drop("reason")
+    newest, late = accepted, None
+    while not waiting.isEmpty():
+        parents = newest.select(F.col("draft_id").alias("parent_draft_id"), pos.alias("_at"))
+        joined = waiting.join(parents, "parent_draft_id").filter(F.col("_at") < pos).select(*waiting.columns)
+        newest = materialize(joined, "revisions")
+        if newest.isEmpty():
+            break
+        accepted = accepted.unionByName(newest)
+        ids = newest.select("draft_id", F.lit("unknown_parent").alias("reason"))
+        late = ids if late is None else late.unionByName(ids)
+        waiting = waiting.join(newest.select("draft_id"), "draft_id", "left_anti")
+    return accepted, late
 
 
 def _stored_shape(drafts: DataFrame) -> DataFrame:
