@@ -142,13 +142,18 @@ def with_parent(drafts: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def with_children(drafts: DataFrame) -> DataFrame:
-    """One row per draft and child; a draft without children has one row with null child columns."""
+    """One row per draft and child; a draft without children has one row with null child columns.
+
+    An inner join plus the childless drafts, instead of one outer join: AQE can then split the children of a draft that has
+    very many.
+    """
     kids = drafts.filter(F.col("parent_draft_id").isNotNull()).select(
         F.col("parent_draft_id").alias("draft_id"),
         F.col("draft_id").alias("child_draft_id"),
         F.col("timestamp").alias("child_timestamp"),
     )
-    return drafts.join(kids, "draft_id", "left")
+    childless = drafts.join(kids.select("draft_id").distinct(), "draft_id", "left_anti")
+    return drafts.join(kids, "draft_id").unionByName(childless, allowMissingColumns=True)
 
 
 def draft_family(

@@ -24,6 +24,7 @@ from dictalog.session import materialize
 CONTEXT = 68  # characters carried over: twice the longest default phrase
 EXPIRY_S = 20.0
 FORCED = "forced end"
+PART_CHARS = 16_000_000
 
 _FOUND = T.ArrayType(T.StructType(MATCH_FIELDS + [T.StructField("text", T.StringType())]))
 
@@ -212,8 +213,13 @@ def build_drafts(
     order: str = "seq",
     patterns: list[Pattern] | None = None,
     expiry_s: float = EXPIRY_S,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """Drafts of every source. ``texts(source_id, <order>, text, audio_start_time, audio_end_time)``."""
+    """Drafts of every source. ``texts(source_id, <order>, text, audio_start_time, audio_end_time)``.
+
+    One row per draft, with ``part_no`` 0. The text of a draft that goes on beyond ``part_chars`` comes as several rows,
+    so that a source that never closes its draft does not end up in one value.
+    """
     wanted = patterns or default_patterns()
     base = texts.select(KEY, order, "text", "audio_start_time", "audio_end_time")
     placed = materialize(text_offset_map(base, slices, order), "placed")
@@ -235,19 +241,19 @@ def build_drafts(
         F.coalesce("end_last_time", "_last_time").alias("audio_end_time"),
         "forced",
     )
-    bodies = _bodies(placed, bounds, slices, order)
+    bodies = _bodies(_pieces(placed, bounds, slices, order), heads, order, part_chars)
     joined = heads.join(bodies, [KEY, "opened_at"], "left")
-    length = F.greatest(F.col("body_end") - F.col("body_start"), F.lit(0)).cast("int")
     return joined.select(
         draft_id(F.col(KEY), F.col("opened_at")).alias("draft_id"),
         KEY,
         "start_text",
         "end_text",
-        F.substring(F.coalesce("_body", F.lit("")), F.lit(1), length).alias("full_text"),
+        F.coalesce("_body", F.lit("")).alias("full_text"),
         "audio_start_time",
         "audio_end_time",
         "forced",
         "opened_at",
+        F.coalesce("part_no", F.lit(0).cast("long")).alias("part_no"),
     )
 
 
@@ -268,10 +274,11 @@ def _with_times(bounds: DataFrame, placed: DataFrame, order: str) -> DataFrame:
     return inside.unionByName(firsts).drop("crosses")
 
 
-def _bodies(placed: DataFrame, bounds: DataFrame, slices: KeySlices, order: str) -> DataFrame:
-    """Text after each opening boundary, up to the next boundary (or a little beyond: the caller trims to length).
+def _pieces(placed: DataFrame, bounds: DataFrame, slices: KeySlices, order: str) -> DataFrame:
+    """The texts cut at the boundaries found in them, each piece with the opening boundary it follows.
 
-    Texts are cut at the boundaries found in them. Each piece belongs to the last boundary before it.
+    A piece may run into a boundary that was only recognised with the next text; it is trimmed when the draft's end is
+    known.
     """
     cuts = bounds.groupBy(KEY, order).agg(
         F.sort_array(F.collect_list(F.struct("m_start", "m_end", "marker"))).alias("_cuts")
@@ -281,15 +288,18 @@ def _bodies(placed: DataFrame, bounds: DataFrame, slices: KeySlices, order: str)
     whole = F.concat(F.when(F.col("seam") == 1, F.lit(" ")).otherwise(F.lit("")), F.col("text"))
     none = F.array().cast("array<struct<m_start: bigint, m_end: bigint, marker: string>>")
     got = rows.select(KEY, order, begin.alias("_b"), whole.alias("_w"), "end_pos", F.coalesce("_cuts", none).alias("_cuts"))
-    edge = F.struct(F.lit(None).cast("long").alias("m_start"), F.col("_b").alias("m_end"), F.lit(None).cast("string").alias("marker"))
+    edge = F.struct(
+        F.lit(None).cast("long").alias("m_start"), F.col("_b").alias("m_end"), F.lit(None).cast("string").alias("marker")
+    )
     owners = F.concat(F.array(edge), F.col("_cuts"))
     pieces = got.select(KEY, order, "_b", "_w", "end_pos", "_cuts", F.posexplode(owners).alias("_i", "o"))
     stop = F.coalesce(F.get("_cuts", F.col("_i"))["m_start"], F.col("end_pos"))
+    own = F.struct(F.col("o.m_start").alias("at"), F.col("o.marker").alias("marker"))
     pieces = pieces.select(
         KEY,
         order,
         "_i",
-        F.when(F.col("_i") > 0, F.struct(F.col("o.m_start").alias("at"), F.col("o.marker").alias("marker"))).alias("_own"),
+        F.when(F.col("_i") > 0, own).alias("_own"),
         F.col("o.m_end").alias("_from"),
         F.substring(
             F.col("_w"),
@@ -299,8 +309,23 @@ def _bodies(placed: DataFrame, bounds: DataFrame, slices: KeySlices, order: str)
     )
     owned = running(pieces, slices, [order, "_i"], lasts={"_owner": F.col("_own")})
     ours = owned.filter((F.col("_owner.marker") == "start") & (F.length("_piece") > 0))
+    return ours.withColumn("opened_at", F.col("_owner.at")).drop("_owner", "_own")
+
+
+def _bodies(pieces: DataFrame, heads: DataFrame, order: str, part_chars: int) -> DataFrame:
+    """Text of each draft, in parts."""
+    spans = heads.select(KEY, "opened_at", "body_start", "body_end")
+    room = F.greatest(F.col("body_end") - F.col("_from"), F.lit(0)).cast("int")
+    trimmed = pieces.join(spans, [KEY, "opened_at"]).select(
+        KEY,
+        "opened_at",
+        F.floor((F.col("_from") - F.col("body_start")) / part_chars).alias("part_no"),
+        order,
+        "_i",
+        F.substring(F.col("_piece"), F.lit(1), room).alias("_piece"),
+    )
     ordered = F.sort_array(F.collect_list(F.struct(order, "_i", "_piece")))
-    return ours.groupBy(KEY, F.col("_owner.at").alias("opened_at")).agg(
+    return trimmed.groupBy(KEY, "opened_at", "part_no").agg(
         F.array_join(F.transform(ordered, lambda x: x["_piece"]), "").alias("_body")
     )
 

@@ -392,7 +392,7 @@ def f16(spark, sf):
         "spec_id", "seg_no", ones.alias("data"), rate.alias("sample_rate"), F.lit(1).alias("channels"), "silence_after"
     )
     good, _ = segment_spec.concat_audio(clips, "spec_id", "seg_no")
-    return good.select("spec_id", F.size("data").cast("long").alias("n"))
+    return good.groupBy("spec_id").agg(F.sum(F.size("data").cast("long")).alias("n"))
 
 
 def _timed(df):

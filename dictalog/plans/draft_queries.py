@@ -11,7 +11,7 @@ from dictalog.plans.registry import query
 from dictalog.session import shared_dir
 from dictalog.sources import sinks
 
-SINCE = 1704067200.0 + 100 * 200
+SINCE = 1704067200.0 + 100 * 20
 
 # The time of insertion: a revision arrives one minute after its own timestamp.
 CREATED_SQL = "(timestamp + CASE WHEN parent_draft_id IS NULL THEN 0 ELSE 60 END)"
@@ -67,23 +67,23 @@ def o1(spark, sf):
 @query(
     "o2_page_drafts",
     f"""SELECT draft_id, timestamp, parent_draft_id FROM v_drafts WHERE timestamp >= {SINCE}
-        ORDER BY timestamp DESC, draft_id DESC LIMIT 100 OFFSET 200""",
+        ORDER BY timestamp DESC, draft_id DESC LIMIT 100 OFFSET 50""",
 )
 def o2(spark, sf):
-    return D.page_drafts(views.drafts(spark, sf), 100, 200, "desc", SINCE, summary=True)
+    return D.page_drafts(views.drafts(spark, sf), 100, 50, "desc", SINCE, summary=True)
 
 
 @query(
     "o2_page_envelope",
-    f"""SELECT (SELECT count(*) FROM v_drafts WHERE timestamp >= {SINCE}) AS total, 100 AS "limit", 200 AS "offset",
+    f"""SELECT (SELECT count(*) FROM v_drafts WHERE timestamp >= {SINCE}) AS total, 100 AS "limit", 50 AS "offset",
         count(*) AS returned,
-        count(*) + 200 < (SELECT count(*) FROM v_drafts WHERE timestamp >= {SINCE}) AS has_more
-        FROM (SELECT 1 FROM v_drafts WHERE timestamp >= {SINCE} ORDER BY timestamp LIMIT 100 OFFSET 200) p""",
+        count(*) + 50 < (SELECT count(*) FROM v_drafts WHERE timestamp >= {SINCE}) AS has_more
+        FROM (SELECT 1 FROM v_drafts WHERE timestamp >= {SINCE} ORDER BY timestamp LIMIT 100 OFFSET 50) p""",
 )
 def o2_envelope(spark, sf):
     rows = views.drafts(spark, sf)
-    page = D.page_drafts(rows, 100, 200, "asc", SINCE, summary=True)
-    return D.page_envelope(D.draft_count(D.drafts_since(rows, SINCE)), page, 100, 200)
+    page = D.page_drafts(rows, 100, 50, "asc", SINCE, summary=True)
+    return D.page_envelope(D.draft_count(D.drafts_since(rows, SINCE)), page, 100, 50)
 
 
 @query(

@@ -68,22 +68,23 @@ def timeline(segments: DataFrame, slices: KeySlices, duration: str) -> DataFrame
     return running(segments, slices, ["seg_no"], sums={"start_at": own}, inclusive=False)
 
 
-def concat_audio(clips: DataFrame, by: str, order: str) -> tuple[DataFrame, DataFrame]:
+def concat_audio(clips: DataFrame, by: str, order: str, part_size: int = 256) -> tuple[DataFrame, DataFrame]:
     """Audio of a script: its clips in order, each followed by its silence; and the scripts that mix rates or channels.
 
-    ``clips(<by>, <order>, data, sample_rate, channels, silence_after)``; a group is one script.
+    ``clips(<by>, <order>, data, sample_rate, channels, silence_after)``. The audio comes in parts (``part_no``) of
+    ``part_size`` clips, so that no group grows with the length of a script; most scripts have one part.
     """
     formats = clips.groupBy(by).agg(
-        F.count_distinct("sample_rate").alias("_rates"), F.count_distinct("channels").alias("_channels")
+        (F.min("sample_rate") != F.max("sample_rate")).alias("_rates"),
+        (F.min("channels") != F.max("channels")).alias("_channels"),
     )
-    mixed = formats.filter((F.col("_rates") > 1) | (F.col("_channels") > 1))
-    reason = F.when(F.col("_rates") > 1, "sample_rate_mismatch").otherwise("channel_mismatch")
-    errors = mixed.select(by, reason.alias("error"))
+    reason = F.when(F.col("_rates"), "sample_rate_mismatch").otherwise("channel_mismatch")
+    errors = formats.filter(F.col("_rates") | F.col("_channels")).select(by, reason.alias("error"))
     padded = append_silence(F.col("data"), F.col("silence_after"), F.col("sample_rate"))
     ordered = F.sort_array(F.collect_list(F.struct(order, padded.alias("p"))))
-    good = clips.join(errors, by, "left_anti")
+    good = clips.join(errors, by, "left_anti").withColumn("part_no", F.floor(F.col(order) / part_size))
     return (
-        good.groupBy(by).agg(
+        good.groupBy(by, "part_no").agg(
             F.flatten(F.transform(ordered, lambda c: c["p"])).alias("data"), F.max("sample_rate").alias("sample_rate")
         ),
         errors,

@@ -98,6 +98,14 @@ def test_batch_equals_row_by_row(spark):
     assert as_tuples(build_drafts(df, sliced).collect()) == expected
 
 
+def test_long_drafts_come_in_parts(spark):
+    rows = [("a", 0, "freddy take this down", 0.0, 1.0)] + [("a", i, f"word{i}", float(i), i + 1.0) for i in range(1, 40)]
+    got = build_drafts(_frame(spark, rows), KeySlices("source_id", "seq"), part_chars=50).collect()
+    assert len(got) > 4 and len({d["draft_id"] for d in got}) == 1
+    text = "".join(d["full_text"] for d in sorted(got, key=lambda d: d["part_no"]))
+    assert text == "".join(f" word{i}" for i in range(1, 40))
+
+
 def test_markers_of_conversations(spark):
     """Every injected start phrase opens exactly one draft, and drafts of a source never overlap."""
     texts = views.texts(spark, SF)
