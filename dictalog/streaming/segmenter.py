@@ -16,11 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dictalog.functions.fuzzy import SPACES, Pattern, PhraseMatcher
 from dictalog.functions.phrases import default_patterns
-from dictalog.operators.segmenter import CONTEXT, EXPIRY_S, FORCED, walk
+from dictalog.operators.segmenter import CONTEXT, EXPIRY_S, FORCED, PART_CHARS, walk
 
 OUTPUT = T.StructType(
     [
-        T.StructField("kind", T.StringType()),  # start, end, late
+        T.StructField("kind", T.StringType()),  # start, part, end, late
         T.StructField("source_id", T.StringType()),
         T.StructField("draft_id", T.StringType()),
         T.StructField("start_text", T.StringType()),
@@ -30,6 +30,7 @@ OUTPUT = T.StructType(
         T.StructField("audio_end_time", T.DoubleType()),
         T.StructField("forced", T.BooleanType()),
         T.StructField("opened_at", T.LongType()),
+        T.StructField("part_no", T.LongType()),
     ]
 )
 _ONE_TEXT = T.StructType([T.StructField("v", T.StringType())])
@@ -39,8 +40,8 @@ _FRESH = {"pos": 0, "tail": "", "used": 0, "spans": [], "prev_end": None, "seq":
 class DraftBuilder(StatefulProcessor):
     """Rows in: source_id, seq, text, audio_start_time, audio_end_time; a null text means the stream has stopped."""
 
-    def __init__(self, patterns: list[Pattern], expiry_s: float, idle_ms: int | None):
-        self.patterns, self.expiry_s, self.idle_ms = patterns, expiry_s, idle_ms
+    def __init__(self, patterns: list[Pattern], expiry_s: float, idle_ms: int | None, part_chars: int):
+        self.patterns, self.expiry_s, self.idle_ms, self.part_chars = patterns, expiry_s, idle_ms, part_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -55,7 +56,7 @@ class DraftBuilder(StatefulProcessor):
         st, pieces, out = self._load()
         for seq, text, start, end in zip(pdf["seq"], pdf["text"], pdf["audio_start_time"], pdf["audio_end_time"]):
             if st["seq"] is not None and seq <= st["seq"]:
-                out.append(("late", key[0], None, None, None, text, start, end, False, None))
+                out.append(("late", key[0], None, None, None, text, start, end, False, None, None))
                 continue
             st["seq"] = int(seq)
             if text is None:
@@ -113,11 +114,14 @@ class DraftBuilder(StatefulProcessor):
                 self._emit_end(source, st, pieces, out, body, said, end, False)
             if m.kind == "start":
                 first = next(s for e, s in st["spans"] if e > a)
-                st["open"] = {"at": a, "body_start": b, "said": said, "first": first}
-                out.append(("start", source, _ident(source, a), said, None, None, first, None, False, a))
+                st["open"] = {"at": a, "body_start": b, "said": said, "first": first, "chars": 0, "part": 0}
+                out.append(("start", source, _ident(source, a), said, None, None, first, None, False, a, 0))
             cut, lead = b - at, ""
         if st["open"]:
             pieces["fresh"].append(lead + text[cut:])
+            st["open"]["chars"] += len(lead) + len(text) - cut
+            if st["open"]["chars"] > self.part_chars:
+                self._emit_part(source, st["open"], pieces, out)
         st["tail"] = (("" if stale else st["tail"]) + pad + text)[-CONTEXT:]
         st["pos"] = at + len(text)
         st["prev_end"] = end
@@ -126,9 +130,17 @@ class DraftBuilder(StatefulProcessor):
         if st["open"]:
             self._emit_end(source, st, pieces, out, self._body_text(pieces), FORCED, st["prev_end"], True)
 
+    def _emit_part(self, source, o, pieces, out) -> None:
+        """Hand on the text of a very long draft but for its last characters, which a boundary may still claim."""
+        text = self._body_text(pieces)
+        done, kept = text[:-CONTEXT], text[-CONTEXT:]
+        out.append(("part", source, _ident(source, o["at"]), o["said"], None, done, o["first"], None, False, o["at"], o["part"]))
+        o.update(body_start=o["body_start"] + len(done), chars=len(kept), part=o["part"] + 1)
+        pieces["fresh"], pieces["reset"] = [kept], True
+
     def _emit_end(self, source, st, pieces, out, body, said, end, forced) -> None:
         o = st["open"]
-        out.append(("end", source, _ident(source, o["at"]), o["said"], said, body, o["first"], end, forced, o["at"]))
+        out.append(("end", source, _ident(source, o["at"]), o["said"], said, body, o["first"], end, forced, o["at"], o["part"]))
         st["open"] = None
         pieces["fresh"], pieces["reset"] = [], True
 
@@ -137,7 +149,7 @@ class DraftBuilder(StatefulProcessor):
         import pandas as pd
 
         pdf = pd.DataFrame(out, columns=OUTPUT.names)
-        return pdf.astype({"opened_at": "Int64", "audio_start_time": "float64", "audio_end_time": "float64"})
+        return pdf.astype({"opened_at": "Int64", "part_no": "Int64", "audio_start_time": "float64", "audio_end_time": "float64"})
 
 
 def _ident(source: str, opened_at: int) -> str:
@@ -149,11 +161,16 @@ def stream_drafts(
     patterns: list[Pattern] | None = None,
     expiry_s: float = EXPIRY_S,
     idle_s: float | None = None,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """Draft events of a text stream. Give ``idle_s`` (and a watermark on the input) to end drafts of silent sources."""
+    """Draft events of a text stream. Give ``idle_s`` (and a watermark on the input) to end drafts of silent sources.
+
+    The text of a draft beyond ``part_chars`` is handed on in ``part`` events before its end, so state stays bounded; the
+    end event holds what is left.
+    """
     idle_ms = None if idle_s is None else int(idle_s * 1000)
     return texts.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=DraftBuilder(patterns or default_patterns(), expiry_s, idle_ms),
+        statefulProcessor=DraftBuilder(patterns or default_patterns(), expiry_s, idle_ms, part_chars),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="None" if idle_s is None else "EventTime",

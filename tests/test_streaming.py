@@ -42,6 +42,16 @@ def test_stream_equals_row_by_row(spark):
     assert as_tuples(events.collect()) == by_hand(rows)
 
 
+def test_long_draft_is_handed_on_in_parts(spark):
+    rows = [("a", 0, "freddy take this down", 0.0, 1.0)] + [("a", i, f"word{i}", float(i), i + 1.0) for i in range(1, 60)]
+    rows.append(("a", 60, "freddy break break", 60.0, 61.0))
+    parts = [rows[:20], rows[20:45], rows[45:]]
+    events = run_available(stream_drafts(in_batches(spark, parts, golden.SCHEMA), part_chars=100), "parts").collect()
+    texts = sorted((r["part_no"], r["full_text"]) for r in events if r["kind"] in ("part", "end"))
+    assert len(texts) > 2
+    assert "".join(t for _, t in texts) == "".join(f" word{i}" for i in range(1, 60)) + " "
+
+
 def test_silent_source_is_forced_to_end(spark):
     shape = golden.SCHEMA
     parts = [[("a", 0, "freddy take this down and so on", 1.0, 2.0)], [("b", 0, "hello", 500.0, 501.0)], [("b", 1, "more", 502.0, 503.0)]]
