@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 
 RATIO_MIN = 85.0
 WORD_MIN = 90.0
-_ONE = np.uint64(1)
 _DROP = str.maketrans("", "", string.punctuation)
 SPACES = " \t\n\x0b\f\r"  # what \\s means in the SQL expressions
 _BLANKS = re.compile(f"[{SPACES}]+")
@@ -57,13 +57,12 @@ def clean_with_map(text: str) -> tuple[str, np.ndarray]:
     low = text.lower()
     if len(low) == len(text):
         codes = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32)
-        keep = ~np.isin(codes, _PUNCT_CODES)
-        return low.translate(_DROP), np.flatnonzero(keep)
+        return low.translate(_DROP), np.flatnonzero(~_IS_PUNCT[np.minimum(codes, 127)])
     parts = [c.lower().translate(_DROP) for c in text]
     return "".join(parts), np.repeat(np.arange(len(text)), [len(p) for p in parts])
 
 
-_PUNCT_CODES = np.array([ord(c) for c in string.punctuation], dtype=np.uint32)
+_IS_PUNCT = np.array([chr(i) in string.punctuation for i in range(128)])
 
 
 @dataclass(frozen=True)
@@ -94,7 +93,7 @@ class PhraseMatcher:
             phrase = _BLANKS.sub(" ", clean_with_map(p.phrase)[0]).strip()
             if not 0 < len(phrase) <= 63:
                 raise ValueError(f"a phrase needs 1 to 63 characters: {p.phrase!r}")
-            self.patterns.append((p, phrase, _char_bits(phrase), _sure_pieces(phrase, ratio_min)))
+            self.patterns.append((p, phrase, _char_bits(phrase), _piece_votes(phrase, ratio_min)))
         self.required = sorted({q for p in patterns for q in p.required})
         self._near_words: dict[str, frozenset[str]] = {}
 
@@ -108,16 +107,21 @@ class PhraseMatcher:
             near |= self._required_near(word)
         codes = None
         found = []
-        for pattern, phrase, bits, pieces in self.patterns:
+        for pattern, phrase, bits, votes in self.patterns:
             if len(cleaned) < len(phrase):
                 continue
             if not near.issuperset(pattern.required):
                 continue
-            starts = _starts_near(cleaned, phrase, pieces)
-            if starts.size == 0:
+            exact = _find_after(cleaned, phrase, where, min_end)
+            if exact >= 0:  # nothing scores higher, and only the phrase itself scores as high
+                end = int(where[exact + len(phrase) - 1]) + 1
+                found.append(Match(pattern.kind, pattern.phrase, int(where[exact]), end, 100.0))
                 continue
             if codes is None:
                 codes = np.frombuffer(cleaned.encode("utf-32-le"), dtype=np.uint32)
+            starts = _likely_starts(codes, len(phrase), *votes)
+            if starts.size == 0:
+                continue
             hit = self._scan(codes, where, starts, phrase, bits, min_end)
             if hit:
                 found.append(Match(pattern.kind, pattern.phrase, *hit))
@@ -163,6 +167,13 @@ class PhraseMatcher:
         return choose(self.best_per_pattern(text, min_end))
 
 
+def _find_after(cleaned: str, phrase: str, where: np.ndarray, min_end: int) -> int:
+    at = cleaned.find(phrase)
+    while at >= 0 and where[at + len(phrase) - 1] + 1 <= min_end:
+        at = cleaned.find(phrase, at + 1)
+    return at
+
+
 def choose(matches: list[Match]) -> Match | None:
     if not matches:
         return None
@@ -200,26 +211,48 @@ def _window_bits(codes: np.ndarray, bits: dict[int, int]) -> np.ndarray:
     return np.where(keys[slot] == codes, vals[slot], np.uint64(0))
 
 
-def _sure_pieces(phrase: str, ratio_min: float) -> list[str]:
+def sure_pieces(phrase: str, ratio_min: float) -> list[str]:
     """Pieces of which any good enough window holds at least one unchanged.
 
     A window no longer than the phrase that reaches the ratio differs by at most ``d`` inserts and drops; cut into
     d + 1 pieces, one piece must survive.
     """
-    d = int((1 - ratio_min / 100.0) * 2 * len(phrase) + 1e-9)
-    n = min(d + 1, len(phrase))
+    return sorted(set(_cut(phrase, min(_edits_allowed(phrase, ratio_min) + 1, len(phrase)))))
+
+
+def _edits_allowed(phrase: str, ratio_min: float) -> int:
+    """Most inserts and drops of a window no longer than the phrase that still reaches the ratio."""
+    return int((1 - ratio_min / 100.0) * 2 * len(phrase) + 1e-9)
+
+
+def _cut(phrase: str, n: int) -> list[str]:
     edges = [round(i * len(phrase) / n) for i in range(n + 1)]
-    return sorted({phrase[a:b] for a, b in zip(edges, edges[1:])})
-
-
-def _starts_near(cleaned: str, phrase: str, pieces: list[str]) -> np.ndarray:
-    """Window starts from which a surviving piece can be reached."""
-    m = len(phrase)
-    marked = np.zeros(len(cleaned) + 1, dtype=np.int64)
-    for piece in pieces:
-        at = cleaned.find(piece)
-        while at >= 0:
-            marked[max(0, at - m + len(piece))] += 1
-            marked[at + 1] -= 1
-            at = cleaned.find(piece, at + 1)
-    return np.flatnonzero(np.cumsum(marked[:-1]) > 0)
+    return [phrase[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _piece_votes(phrase: str, ratio_min: float) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """The phrase cut into short pieces, and how many of them a good enough window must hold unchanged.
+
+    Each of the at most ``d`` inserts and drops spoils one piece. Equal pieces are listed once, with their number: the
+    unchanged ones stand at different places of the window.
+    """
+    d = _edits_allowed(phrase, ratio_min)
+    n = min(len(phrase), max(d + 1, len(phrase) // 2))
+    counted = Counter(_cut(phrase, n))
+    return [(np.array([ord(c) for c in piece], dtype=np.uint32), k) for piece, k in counted.items()], n - d
+
+
+def _likely_starts(codes: np.ndarray, m: int, pieces: list[tuple[np.ndarray, int]], needed: int) -> np.ndarray:
+    """Starts of windows of ``m`` characters that hold enough pieces."""
+    n = codes.size
+    votes = np.zeros(n, dtype=np.int32)
+    for piece, k in pieces:
+        size = piece.size
+        here = codes[: n - size + 1] == piece[0]
+        for i in range(1, size):
+            here &= codes[i : n - size + 1 + i] == piece[i]
+        seen = np.zeros(n + m + 1, dtype=np.int32)  # occurrences before each place
+        np.cumsum(here, out=seen[1 : here.size + 1])
+        seen[here.size + 1 :] = seen[here.size]
+        votes += np.minimum(seen[m - size + 1 : m - size + 1 + n] - seen[:n], k)
+    return np.flatnonzero(votes >= needed)

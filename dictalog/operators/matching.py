@@ -228,7 +228,7 @@ def may_hold_boundary(text: Column, patterns: list[fuzzy.Pattern]) -> Column:
     pieces that any good enough window must hold unchanged.
     """
     anchors = sorted({clean_required(p.required[0]) for p in patterns if p.required})
-    bare = sorted({piece for p in patterns if not p.required for piece in fuzzy._sure_pieces(p.phrase, fuzzy.RATIO_MIN)})
+    bare = sorted({piece for p in patterns if not p.required for piece in fuzzy.sure_pieces(p.phrase, fuzzy.RATIO_MIN)})
     cleaned = clean_text(text)
     tests = []
     if anchors:
