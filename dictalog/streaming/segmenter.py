@@ -37,7 +37,7 @@ _ONE_TEXT = T.StructType([T.StructField("v", T.StringType())])
 _FRESH = {"pos": 0, "tail": "", "used": 0, "spans": [], "prev_end": None, "seq": None, "open": None}
 
 
-class DraftBuilder(StatefulProcessor):
+class DraftSegmenter(StatefulProcessor):
     """Rows in: source_id, seq, text, audio_start_time, audio_end_time; a null text means the stream has stopped."""
 
     def __init__(self, patterns: list[Pattern], expiry_s: float, idle_ms: int | None, part_chars: int):
@@ -170,7 +170,7 @@ def stream_drafts(
     """
     idle_ms = None if idle_s is None else int(idle_s * 1000)
     return texts.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=DraftBuilder(patterns or default_patterns(), expiry_s, idle_ms, part_chars),
+        statefulProcessor=DraftSegmenter(patterns or default_patterns(), expiry_s, idle_ms, part_chars),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="None" if idle_s is None else "EventTime",
