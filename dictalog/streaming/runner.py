@@ -47,6 +47,7 @@ def _written(stream: DataFrame, mode: str):
 
 def run_each_batch(stream: DataFrame, name: str, body: Callable[[DataFrame, int], None]) -> None:
     """Process everything available with a function per micro-batch."""
+    ensure_runtime_conf(stream.sparkSession)
     ckpt = shared_dir(stream.sparkSession, f"{name}-ckpt")
     stream.writeStream.foreachBatch(body).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
 
