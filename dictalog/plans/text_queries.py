@@ -116,19 +116,30 @@ def f4(spark, sf):
     return rows.select("event_id", X.clean_text(F.col("text")).alias("cleaned"), kept.alias("n_kept"))
 
 
-@query("f5_indel_ratio")
+@query(
+    "f5_indel_ratio",
+    """SELECT event_id, round(CASE WHEN n = 0 THEN 100 ELSE 200.0e0 * m / (n + m) END, 6) AS ratio FROM (SELECT event_id, length(text) AS n,
+       length(replace(replace(text, ' ', ''), 'e', '')) AS m FROM v_texts) t""",
+)
 def f5(spark, sf):
-    """Each text against its own collapsed, cleaned form."""
+    """Each text against itself without blanks and the letter e: what is left is the longest common subsequence."""
     rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
-    score = M.indel_ratio(F.col("text"), X.clean_text(F.col("text")))
+    score = M.indel_ratio(F.col("text"), F.translate("text", " e", ""))
     return rows.select("event_id", F.round(score, 6).alias("ratio"))
 
 
-@query("f6_partial_align")
+@query(
+    "f6_partial_align",
+    """SELECT event_id, CAST(100.0 AS DOUBLE) AS score, strpos(lower(text), 'freddy break break') - 1 AS m_start,
+       strpos(lower(text), 'freddy break break') + 17 AS m_end FROM v_texts WHERE marker = 'end'""",
+)
 def f6(spark, sf):
     rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
     hit = M.partial_align(F.lit("freddy break break"), F.col("text"))
-    return rows.withColumn("m", hit).filter(F.col("m.score").isNotNull()).select("event_id", "m.score", "m.start", "m.end")
+    found = rows.withColumn("m", hit).filter(F.col("m.score").isNotNull())
+    return found.select(
+        "event_id", "m.score", F.col("m.start").cast("long").alias("m_start"), F.col("m.end").cast("long").alias("m_end")
+    )
 
 
 WORDS_SQL = f"list_filter(regexp_split_to_array({CLEAN_SQL}, '{SPACE}+'), lambda w: w <> '')"
@@ -322,7 +333,11 @@ def t3(spark, sf):
     return events.filter((F.col("kind") == "end") & F.col("forced")).select("source_id", "opened_at", "audio_end_time")
 
 
-@query("t2_orphan_expiry")
+@query(
+    "t2_orphan_expiry",
+    f"""SELECT source_id, seq, marker, start_pos + CASE marker WHEN 'start' THEN 0 ELSE length(text) - 19 END AS m_start,
+        start_pos + CASE marker WHEN 'start' THEN 22 ELSE length(text) END AS m_end FROM ({OFFSETS_SQL}) o WHERE marker IS NOT NULL""",
+)
 def t2(spark, sf):
     """Boundaries that still match when texts older than five seconds are not carried into the next one."""
     rows = views.texts(spark, sf)

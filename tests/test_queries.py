@@ -40,3 +40,10 @@ SLICED = [
 def test_query_with_hot_sources(spark, con, small_slices, name):
     q = QUERIES[name]
     assert compare.compare(q.run(spark, SF), con, q.oracle) == ""
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0
