@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.llm import fm_index, suffixes
+from dictalog.llm import exact_dedup, fm_index, mixing, ring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+N_SHARDS = 24
+
+
+@_query("op1_ring_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = ring.ring_shards(docs, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], N_SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,3 +50,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = fm_index.remove_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_OP6 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+"""
+
+
+@_query("op6_exact_dedup", _OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+_OP9 = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM g),
+l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level
+      FROM w WINDOW before AS (ORDER BY source_size / CAST(weight AS DOUBLE), source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN 3 * source_size < level * weight THEN CAST(3 * source_size AS DOUBLE)
+             ELSE max(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER () * weight END AS target FROM l),
+r AS (SELECT s.doc_id, s.size, t.source_size, t.target, md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), 'none')) AS digest, s.source,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+             CAST(('0x' || substr(md5('mix:' || coalesce(s.source, 'none')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), substr(digest, 1, 1), size, digest) AS place FROM r)
+SELECT doc_id, size, source_size, target, CAST(floor(place * each + u) - floor((place - 1) * each + u) AS BIGINT) * size AS taken FROM n
+"""
+
+
+@_query("op9_systematic_mix", _OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.copies(_table(spark, sf_dir, "documents"), mixing.n_words(F.col("text")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
