@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.llm import exact_dedup, fm_index, mixing, ring, suffixes
+from dictalog.llm import exact_dedup, fm_index, mixing, pieces, ring, subwords, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,30 @@ SELECT doc_id, size, source_size, target, CAST(floor(place * each + u) - floor((
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(_table(spark, sf_dir, "documents"), mixing.n_words(F.col("text")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@_query("op5_nbest_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "digest.*")
+
+
+#: Rows with this remainder of crc32(doc_id as text) modulo 3 are held out.
+HELD_OUT = 1
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> subwords.Model:
+    return subwords.fit(docs, labels, "quality", _fold(F.col("doc_id")) != HELD_OUT)
+
+
+def _fold(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
+
+
+@_query("op10_subword_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    out = subwords.score(docs, model)
+    held_out = F.coalesce(_fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
