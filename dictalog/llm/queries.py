@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.llm import exact_dedup, fm_index, mixing, pieces, ring, subwords, suffixes
+from dictalog.llm import disclosure, exact_dedup, fm_index, mixing, pieces, ring, subwords, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@_query("op4_disclosure_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lists = disclosure.span_lists(docs)
+    ids = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(disclosure.PATTERNS)]
+    base = F.sha2(disclosure.written(len(disclosure.PATTERNS)).cast("binary"), 256)
+    return ids.join(lists, "rid").select("doc_id", *counts, base.alias("base_sha256"), disclosure.written().alias("spans"))
+
+
 @_query("op5_nbest_pieces")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
