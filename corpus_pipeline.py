@@ -1,8 +1,49 @@
-"""Documents through five operators in order (stages follow)."""
+"""Documents through five operators in order: quality, exact copies, near copies, mix of sources, pieces."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dictalog.llm import exact_dedup, mixing, parity, pieces, subwords
+from dictalog.llm.queries import quality_model
+from dictalog.session import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. It learns from the labelled documents of the training folds."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return subwords.score(docs, model, name="__score").filter("__score >= 0.5").drop("__score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts."""
+    return parity.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.mix(docs, mixing.n_words(F.col("text")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digest of each document's n best segmentations and of the text they give back."""
+    out = pieces.digests(docs, name="__digest")
+    return out.select("doc_id", "lang", "source", "__digest.*")
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
+#: A trained model and a join on similarity are not for SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.llm import disclosure, exact_dedup, fm_index, mixing, pieces, postings, ring, subwords, suffixes
+from dictalog.llm import disclosure, exact_dedup, fm_index, mixing, parity, pieces, postings, ring, subwords, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query("op7_parity_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = parity.link_documents(_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @_query("op8_posting_ann")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
