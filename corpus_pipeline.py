@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from dictalog.llm import exact_dedup, mixing, parity, pieces, subwords
 from dictalog.llm.queries import quality_model
+from dictalog.llm.rows import unused
 from dictalog.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled documents of the training folds."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return subwords.score(docs, model, name="__score").filter("__score >= 0.5").drop("__score")
+    name = unused(docs, "score")
+    return subwords.score(docs, model, name=name).filter(F.col(name) >= 0.5).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digest of each document's n best segmentations and of the text they give back."""
-    out = pieces.digests(docs, name="__digest")
-    return out.select("doc_id", "lang", "source", "__digest.*")
+    name = unused(docs, "digest")
+    return pieces.digests(docs, name=name).select("doc_id", "lang", "source", f"{name}.*")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dictalog.llm.rows import fields_of, struct_of
 from dictalog.session import materialize
 
 #: Kinds in order, and their patterns. Possessive quantifiers and the borders in front match the same
@@ -138,12 +139,13 @@ def written(kinds_below: int | None = None) -> Column:
 def sanitised(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """``docs``, all columns, with the spans taken out of the text: values become their kind in brackets, disclosing terms go
     (kind term) or become [word] (kind hint). Of overlapping spans the first counts, up to its end. Null texts stay null."""
-    lists = span_lists(docs, s, text).filter("size(spans) > 0").withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(lists, "__rid", "left")
-    whole, marks = F.col(f"`{text}`"), F.col("__spans")
+    lists = span_lists(docs, s, text).filter("size(spans) > 0")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), struct_of(docs, docs.columns).alias("row")).join(lists, "rid", "left")
+    whole, marks = F.col("row").getField(text), F.col("spans")
     names = F.array(*[F.lit(x) for x in ("[email]", "[ip]", "[card]", "[phone]", "", "[word]")])
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(marks, 1, i), lambda x: x["end"])), F.lit(0))
     cut = lambda i, to: F.substring(whole, (reach(i) + 1).cast("int"), F.greatest(to - reach(i), F.lit(0)).cast("int"))
     part = F.transform(marks, lambda x, i: F.concat(cut(i, x["start"]), F.when(x["start"] >= reach(i), F.get(names, x["kind"])).otherwise(F.lit(""))))
     new = F.concat(F.array_join(part, ""), cut(F.size(marks), F.length(whole)))
-    return rows.select(*[(F.when(marks.isNull(), whole).otherwise(new).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    text_now = F.when(marks.isNull(), whole).otherwise(new).alias(text)
+    return rows.select(*[text_now if c == text else x for c, x in zip(docs.columns, fields_of("row", docs.columns))])

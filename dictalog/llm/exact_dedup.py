@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dictalog.llm.rows import without
 from dictalog.session import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -64,5 +65,4 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts."""
-    gone = exact_groups(docs, doc_id, text).filter(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").drop("__rid")
+    return without(docs, exact_groups(docs, doc_id, text).filter(~F.col("kept")))

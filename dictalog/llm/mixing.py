@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dictalog.llm.rows import fields_of, struct_of
 from dictalog.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +72,7 @@ def copies(docs: DataFrame, size: Column, seed: str = "mix", source: str = "sour
 
 def mix(docs: DataFrame, size: Column, seed: str = "mix", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it."""
-    taken = copies(docs, size, seed, source, doc_id).filter("copies > 0").select(F.col("rid").alias("__rid"), "copies")
-    out = docs.withColumn("__rid", F.monotonically_increasing_id()).join(taken.withColumnRenamed("copies", "__copies"), "__rid")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    taken = copies(docs, size, seed, source, doc_id).filter("copies > 0").select("rid", "copies")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), struct_of(docs, docs.columns).alias("row"))
+    out = rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*fields_of("row", docs.columns))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from dictalog.llm import batches as B
 from dictalog.llm.graphs import components
+from dictalog.llm.rows import without
 from dictalog.session import materialize
 
 WORDS = 5
@@ -342,5 +343,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = link_documents(docs, doc_id, text, s)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
     gone = groups.join(first, "component").filter("rid != first.rid")
-    gone = gone.select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").drop("__rid")
+    return without(docs, gone)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dictalog.llm import batches as B
+from dictalog.llm.rows import fields_of, struct_of
 from dictalog.session import materialize
 
 RUNS = "rid long, start int, n int, places int, key long, ha long, hb long"
@@ -223,7 +224,7 @@ def without_repeats(docs: DataFrame, r: Repeats, cut: Callable[[pa.RecordBatch,
     base = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(f"`{text}`").cast("string").alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("rest"),
+        struct_of(docs, rest).alias("rest"),
     )
     found = repeated_windows(base.select("rid", "text"), r)
 
@@ -233,4 +234,4 @@ def without_repeats(docs: DataFrame, r: Repeats, cut: Callable[[pa.RecordBatch,
 
     schema = T.StructType([T.StructField("rest", base.schema["rest"].dataType), *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in made.items()))])
     out = with_marks(base, found).mapInArrow(run, schema)
-    return out.select(*[F.col("rest").getField(c).alias(c) for c in rest], *made)
+    return out.select(*fields_of("rest", rest), *made)

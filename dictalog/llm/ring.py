@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dictalog.llm.rows import fields_of, struct_of
+
 #: Rows of one arc are numbered in this many parts.
 PARTS = 16
 #: The ring is cut into this many cells, to find a row's arc by an equi join.
@@ -83,7 +85,7 @@ def ring_shards(rows: DataFrame, keys: list[Column], n_shards: int, virtual: int
     ).filter("__from < __to or __to = 9223372036854775807")
     names = [f"__k{i}" for i in range(len(keys))]
     rest = [c for c in rows.columns if c not in ("shard", "slot")]
-    placed = rows.select(*[F.col(f"`{c}`") for c in rest], *[k.alias(n) for k, n in zip(keys, names)])
+    placed = rows.select(struct_of(rows, rest).alias("__row"), *[k.alias(n) for k, n in zip(keys, names)])
     placed = placed.withColumn("__at", F.xxhash64(F.lit("row"), names[0])).withColumn("__cell", F.shiftright("__at", shift))
     placed = placed.withColumn("__part", F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int"))
     # as many segments as cells and points: a bound given by the parameters
@@ -104,7 +106,7 @@ def ring_shards(rows: DataFrame, keys: list[Column], n_shards: int, virtual: int
     number = F.row_number().over(Window.partitionBy("__arc", "__part").orderBy("__at", *names)) - 1
     ranked = placed.withColumn("__number", number).join(F.broadcast(offsets), ["__arc", "__part"]).withColumn("__rank", F.col("__number") + F.col("__before"))
     ranked = ranked.join(F.broadcast(spans), "__arc").filter("__rank >= __begin and __rank < __end")
-    return ranked.select(*[F.col(f"`{c}`") for c in rest], "shard", (F.col("__slot") + F.col("__rank") - F.col("__begin")).alias("slot"))
+    return ranked.select(*fields_of("__row", rest), "shard", (F.col("__slot") + F.col("__rank") - F.col("__begin")).alias("slot"))
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -27,6 +27,8 @@ class Settings:
     buckets: int = 1 << 17
     dim: int = 8
     epochs: int = 4
+    steps: int = 8000
+    """With few rows there are more epochs, to come to this number of steps."""
     rate: float = 0.5
     sample: int = 4000
     """Labelled rows used for training at most: those with the smallest hash of their id."""
@@ -81,10 +83,10 @@ def train(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out = np.zeros((2, s.dim), np.float32)
     bias = np.zeros(2, np.float32)
-    bags, steps, total = _bags(texts, s.buckets), 0, max(1, s.epochs * len(texts))
-    for _ in range(s.epochs if texts else 0):
+    bags, steps, total = _bags(texts, s.buckets), 0, max(1, len(texts), s.epochs * len(texts), s.steps)
+    for _ in range(-(-total // len(texts)) if texts else 0):
         for i in rng.permutation(len(texts)):
-            rate = s.rate * (1 - steps / total)
+            rate = s.rate * max(0.0, 1 - steps / total)
             steps += 1
             ids, share = bags[i]
             rows = vectors[ids]
