@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered per worker, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -53,6 +53,8 @@ class Pieces:
         scores = [s for s, _ in self.ids.values() if s > -1e8]
         self.unknown = min(scores) - 10  # for each character spelt in bytes
         self.longest = max(map(len, self.ids))
+        marks = [c for c in ".,;:!?" if not any(a.isalpha() and b == c for name in self.ids for a, b in zip(name, name[1:]))]
+        self.ends = re.compile(f"(?<=[A-Za-z])(?=[{re.escape(''.join(marks))}])") if marks else None
         self.starts = {n[:i] for n in self.ids for i in range(1, len(n) + 1)}
 
     def best(self, word: str, n: int) -> list[Path]:
@@ -153,7 +155,10 @@ class Encoder:
         text = " " + text  # the models put a space before a text
         if "  " in text or "\n " in text or text[-1] == " ":  # a run of spaces may be one piece
             return _RUNS.findall(text.replace(" ", SPACE))
-        out = text.replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")
+        text = text.replace(" ", " " + SPACE)
+        if self.pieces.ends:
+            text = self.pieces.ends.sub(" ", text)  # between a letter and a mark that no piece has behind a letter
+        out = text.replace("\n", " \n ").split(" ")
         return [w for w in out if w] if "" in out else out
 
     def choices(self, text: str | None) -> tuple[list[Word], list[tuple[float, dict[int, tuple[int, ...]]]]]:
