@@ -15,14 +15,14 @@ SUGGESTIONS = (
 
 VERSIONS = ["v2", "v3_concise", "v4"]
 DEFAULT_VERSION = "v4"
-_HEAD = "\n\n*** Draft to Analyze\n\n"
-_TASK = "\n\n*** Your Analysis\n\nPlease analyze the above draft and output your suggestions in JSON format:\n"
+HEAD = "\n\n--- Text ---\n\n"
+TASK = "\n\n--- Reply ---\n\nList your changes to the text as one JSON object.\n"
 
 
-def edit_prompt(full_text: Column, preambles: dict[str, str], version: str = DEFAULT_VERSION) -> Column:
+def edit_prompt(full_text: Column, preambles: dict[str, str], version: str = DEFAULT_VERSION, head: str = HEAD, task: str = TASK) -> Column:
     """Preamble, draft and task in one text. An unknown version means the default one."""
     wanted = version if version in VERSIONS else DEFAULT_VERSION
-    return F.concat(F.lit(preambles[wanted]), F.lit(_HEAD), full_text, F.lit(_TASK))
+    return F.concat(F.lit(preambles[wanted]), F.lit(head), full_text, F.lit(task))
 
 
 def parse_suggestions(replies: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:

@@ -91,8 +91,8 @@ class PhraseMatcher:
         self.patterns = []
         for p in patterns:
             phrase = _BLANKS.sub(" ", clean_with_map(p.phrase)[0]).strip()
-            if not 0 < len(phrase) <= 63:
-                raise ValueError(f"a phrase needs 1 to 63 characters: {p.phrase!r}")
+            if not phrase:
+                raise ValueError(f"a phrase needs characters: {p.phrase!r}")
             self.patterns.append((p, phrase, _char_bits(phrase), _piece_votes(phrase, ratio_min)))
         self.required = sorted({q for p in patterns for q in p.required})
         self._near_words: dict[str, frozenset[str]] = {}
@@ -138,6 +138,8 @@ class PhraseMatcher:
 
     def _scan(self, codes, where, starts, phrase, bits, min_end):
         m = len(phrase)
+        if m > 63:
+            return self._scan_long(codes, where, starts, phrase, bits, min_end)
         lookup = _window_bits(codes, bits)
         room = np.minimum(m, codes.size - starts)
         state = np.full(starts.size, ~np.uint64(0))
@@ -161,6 +163,26 @@ class PhraseMatcher:
             best = (int(where[first]), int(where[first + longest]) + 1, float(top))
         return best
 
+    def _scan_long(self, codes, where, starts, phrase, bits, min_end):
+        """As ``_scan``, one window at a time: a phrase of any length is one Python integer."""
+        m, full = len(phrase), (1 << len(phrase)) - 1
+        best = None
+        for start in starts.tolist():
+            state = full
+            for step in range(min(m, codes.size - start)):
+                common = state & bits.get(int(codes[start + step]), 0)
+                state = ((state + common) | (state - common)) & full
+                score = 200.0 * (m - state.bit_count()) / (m + step + 1)
+                # starts come from left to right: a later one must be better, a longer one from the same start as good
+                if score >= self.ratio_min and where[start + step] + 1 > min_end:
+                    rank = (score, -start, step)
+                    if best is None or rank > best:
+                        best = rank
+        if best is None:
+            return None
+        score, start, step = best[0], -best[1], best[2]
+        return int(where[start]), int(where[start + step]) + 1, float(score)
+
     def match_first(self, text: str, min_end: int = 0) -> Match | None:
         """The match to act on: earliest end, then highest score; a longer one from the same start wins if it scores
         at least as high."""

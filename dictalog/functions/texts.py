@@ -48,14 +48,29 @@ def near_word(word: Column, wanted: Column) -> Column:
 
 
 def _near_long(word: Column, wanted: Column) -> Column:
-    """Necessary condition for long words: a ratio of 90 allows total/10 inserts and drops; the exact score follows."""
-    allowed = F.floor((F.length(word) + F.length(wanted)) / 10)
-    edits = F.levenshtein(word, wanted)
-    return edits <= allowed
+    """A ratio of 90 allows total/10 inserts and drops. Few words are within as many edits; for those the longest common
+    subsequence decides."""
+    total = F.length(word) + F.length(wanted)
+    return (F.levenshtein(word, wanted) <= F.floor(total / 10)) & (200 * lcs_length(word, wanted) >= WORD_MIN * total)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short texts, one row of the table after the other."""
+    letters = F.split(b, "")
+
+    def next_row(row: Column, letter: Column) -> Column:
+        def cell(done: Column, i: Column) -> Column:
+            hit = F.get(letters, i) == letter
+            longest = F.greatest(F.get(row, i + 1), F.get(done, i))
+            return F.concat(done, F.array(F.when(hit, F.get(row, i) + 1).otherwise(longest)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), F.array(F.lit(0)), cell)
+
+    return F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), F.size(letters) + 1), next_row, lambda row: F.element_at(row, -1))
 
 
 def has_required_words(words: Column, required: Column) -> Column:
-    """Every required word is near some word of the text. Exact for words with total length under 20."""
+    """Every required word is near some word of the text."""
     return F.forall(required, lambda q: F.exists(words, lambda w: near_word(w, q)))
 
 

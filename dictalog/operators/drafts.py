@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dictalog.functions.times import format_timestamp
 from dictalog.operators.matching import indel_ratio
+from dictalog.session import materialize
 
 MAX_LIMIT = 1000
 DEEP_PAGE = 10_000
@@ -61,13 +62,17 @@ def page_drafts(
 
 
 def _skip_to(rows: DataFrame, offset: int, order: str) -> tuple[DataFrame, int]:
+    """The rows from just before the page on. Null times stand first in rising order and last in falling order."""
     total = rows.count()
     if offset >= total:
         return rows.limit(0), 0
     share = max(0.0, offset / total - 1e-3)
     share = share if order == "asc" else 1 - share
     bound = rows.agg(F.percentile_approx("timestamp", share, 10_000)).first()[0]
-    ahead = F.col("timestamp") < bound if order == "asc" else F.col("timestamp") > bound
+    if bound is None:  # no times at all
+        return rows, offset
+    ts = F.col("timestamp")
+    ahead = ts.isNull() | (ts < bound) if order == "asc" else F.coalesce(ts > bound, F.lit(False))
     skipped = rows.filter(ahead).count()
     if skipped > offset:  # the sketch went too far: keep the plain plan
         return rows, offset
@@ -107,13 +112,14 @@ def draft_summary(drafts: DataFrame) -> DataFrame:
 
 
 def draft_row(drafts: DataFrame) -> DataFrame:
-    """Full projection with ``created_at`` as an ISO string."""
+    """Full projection with ``created_at`` as an ISO string. A table without class names or folders gets the defaults."""
+    stored = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in drafts.columns else F.lit(default)
     return drafts.select(
         "draft_id",
         "timestamp",
         "full_text",
-        F.lit("Draft").alias("classname"),
-        F.lit("").alias("directory_path"),
+        stored("classname", "Draft").alias("classname"),
+        stored("directory_path", "").alias("directory_path"),
         "parent_draft_id",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
     )
@@ -192,16 +198,20 @@ def draft_family(
 def validate_ids(incoming: DataFrame, stored: DataFrame, order_by: list[str]) -> DataFrame:
     """Add ``reason``: null (accepted), 'duplicate' or 'unknown_parent'.
 
-    The first row of an id within the batch counts; later ones are duplicates. First rows are found by an aggregate
-    that folds copies before the shuffle. A parent must be in the store already.
+    The first row of an id within the batch counts; all others are duplicates, also those with the same place in the order. First rows are
+    found by an aggregate that folds copies before the shuffle. A parent must be in the store already. A draft that comes in
+    parts has one row for each ``part_no``; an id with another part number is not a duplicate.
     """
+    parts = [c for c in ("part_no",) if c in incoming.columns and c in stored.columns]
+    ident = ["draft_id", *parts]
+    numbered = materialize(incoming.withColumn("_row", F.monotonically_increasing_id()), "incoming")
     known = stored.select("draft_id").distinct()
-    pos = F.struct(*order_by)
-    firsts = incoming.groupBy("draft_id").agg(F.min(pos).alias("_first"))
+    pos = F.struct(*order_by, F.xxhash64(*incoming.columns).alias("_hash"), "_row")
+    firsts = numbered.groupBy(*ident).agg(F.min(pos)["_row"].alias("_first"))
     marked = (
-        incoming.join(firsts, "draft_id")
-        .withColumn("_copy", pos != F.col("_first"))
-        .join(known.withColumn("_stored", F.lit(True)), "draft_id", "left")
+        numbered.join(firsts, ident)
+        .withColumn("_copy", F.col("_row") != F.col("_first"))
+        .join(stored.select(*ident).distinct().withColumn("_stored", F.lit(True)), ident, "left")
     )
     parents = known.select(F.col("draft_id").alias("_pk"), F.lit(True).alias("_has_parent"))
     marked = marked.withColumn("_pk", _parent_key()).join(parents, "_pk", "left")

@@ -18,7 +18,7 @@ from dictalog.functions.fuzzy import Match, Pattern, PhraseMatcher, snap
 from dictalog.functions.phrases import default_patterns
 from dictalog.operators.matching import KEY, MATCH_FIELDS, draft_spans, may_hold_boundary, text_offset_map, widen
 from dictalog.operators.ranges import overlap_join
-from dictalog.operators.slices import KeySlices, neighbour, running
+from dictalog.operators.slices import KeySlices, neighbour, plan_slices, row_numbers, running
 from dictalog.session import materialize
 
 CONTEXT = 68  # characters carried over: twice the longest default phrase
@@ -222,6 +222,7 @@ def build_drafts(
     """
     wanted = patterns or default_patterns()
     base = texts.select(KEY, order, "text", "audio_start_time", "audio_end_time")
+    base, slices, order = _one_order(base, slices, order)
     placed = materialize(text_offset_map(base, slices, order), "placed")
     apart = spread(placed, KEY) if slices.trivial else placed
     bounds = materialize(find_boundaries(apart, slices, order, wanted, expiry_s), "bounds")
@@ -257,6 +258,17 @@ def build_drafts(
     )
 
 
+def _one_order(base: DataFrame, slices: KeySlices, order: str) -> tuple[DataFrame, KeySlices, str]:
+    """Rows numbered within their source, so that no two have one place: equal order values are told apart by time, then text."""
+    place = [order, "audio_start_time", "audio_end_time", "_hash"]
+    numbered = row_numbers(base.withColumn("_hash", F.xxhash64("text")), slices, place, "_number")
+    numbered = numbered.select(KEY, "_number", "text", "audio_start_time", "audio_end_time")
+    if slices.trivial:
+        return numbered, KeySlices(slices.key, "_number"), "_number"
+    numbered = materialize(numbered, "numbered")
+    return numbered, plan_slices(numbered, KEY, "_number"), "_number"
+
+
 def _with_times(bounds: DataFrame, placed: DataFrame, order: str) -> DataFrame:
     """Audio times of the first and last text each boundary touches. Most lie inside one text, which is a plain join;
     only those that cross a seam need the interval join."""

@@ -39,6 +39,37 @@ def p6(spark, sf):
     return D.draft_row(_created(spark, sf))
 
 
+STORED_ROW_SQL = """SELECT draft_id, timestamp, full_text, CASE WHEN author_uri = 'src1' THEN NULL ELSE concat('Kind-', author_uri) END AS classname,
+    concat('dir/', author_uri) AS directory_path, parent_draft_id FROM {drafts}"""
+
+
+@query(
+    "p6_stored_row",
+    f"""SELECT draft_id, timestamp, full_text, coalesce(classname, 'Draft') AS classname, directory_path, parent_draft_id,
+        strftime(make_timestamp(CAST(timestamp AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS created_at
+        FROM ({STORED_ROW_SQL.format(drafts="v_drafts")}) s""",
+)
+def p6_stored(spark, sf):
+    """The stored class name and folder come back."""
+    rows = spark.sql(STORED_ROW_SQL.format(drafts="{drafts}"), drafts=views.drafts(spark, sf))
+    return D.draft_row(rows.withColumn("created_at", F.timestamp_seconds("timestamp")))
+
+
+GAPS_SQL = "SELECT draft_id, CASE WHEN CAST(substring(draft_id, 7) AS BIGINT) % 9 <> 0 THEN timestamp END AS timestamp FROM {drafts}"
+
+
+@query(
+    "o2_deep_page",
+    f"""SELECT * FROM (SELECT 'asc' AS direction, * FROM ({GAPS_SQL.format(drafts="v_drafts")}) a ORDER BY timestamp ASC NULLS FIRST, draft_id LIMIT 25 OFFSET 60) x
+        UNION ALL SELECT * FROM (SELECT 'desc', * FROM ({GAPS_SQL.format(drafts="v_drafts")}) b ORDER BY timestamp DESC NULLS LAST, draft_id DESC LIMIT 25 OFFSET 160) y""",
+)
+def o2_deep(spark, sf):
+    """Pages far down, some times unknown: the rows of the plain plan."""
+    rows = spark.sql(GAPS_SQL.format(drafts="{drafts}"), drafts=views.drafts(spark, sf))
+    page = lambda order, offset: D.page_drafts(rows, 25, offset, order, deep_page=1).select(F.lit(order).alias("direction"), "*")
+    return page("asc", 60).unionByName(page("desc", 160))
+
+
 @query("p7_drafts_since", f"SELECT draft_id, timestamp FROM v_drafts WHERE timestamp >= {SINCE}")
 def p7(spark, sf):
     return D.drafts_since(views.drafts(spark, sf), SINCE).select("draft_id", "timestamp")
@@ -152,6 +183,19 @@ def j4(spark, sf):
     return D.validate_ids(incoming, stored, ["timestamp"]).select("draft_id", "parent_draft_id", "reason")
 
 
+@query(
+    "j4_tied_duplicates",
+    "SELECT draft_id, sum(CASE WHEN i = 1 THEN 1 ELSE 0 END) AS accepted, count(*) AS n FROM v_drafts, (SELECT unnest([1, 2, 3]) AS i) c WHERE parent_draft_id IS NULL GROUP BY draft_id",
+)
+def j4_tied(spark, sf):
+    """Every draft three times at one time, twice with the same text: one of them is taken."""
+    rows = views.drafts(spark, sf).filter(F.col("parent_draft_id").isNull())
+    thrice = rows.select("draft_id", "timestamp", "parent_draft_id", F.explode(F.array(F.lit("a"), F.lit("a"), F.lit("b"))).alias("full_text"))
+    judged = D.validate_ids(thrice, rows.select("draft_id").limit(0), ["timestamp"])
+    taken = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0))
+    return judged.groupBy("draft_id").agg(taken.alias("accepted"), F.count(F.lit(1)).alias("n"))
+
+
 @query("s9_append_drafts", "SELECT draft_id, timestamp, full_text, parent_draft_id FROM v_drafts")
 def s9(spark, sf):
     """Append the originals, then the whole table, in which every revision comes after its parent; read it back."""
@@ -201,11 +245,27 @@ def j11(spark, sf):
     return D.pair_rescans(views.drafts(spark, sf))
 
 
-@query("j12_revision_similarity")
+# Revisions with a known common subsequence: the mark stands in no text. n: length; k: characters put in, dropped or replaced.
+_K = "CAST(floor(n * (doc_id % 7) / 8.0) AS INT)"
+REVISED_SQL = f"""
+SELECT draft_id, full_text, n, doc_id % 4 AS shape, {_K} AS k,
+       CASE doc_id % 4 WHEN 0 THEN concat(full_text, repeat('\u00a4', {_K}))
+                       WHEN 1 THEN concat(repeat('\u00a4', {_K}), full_text)
+                       WHEN 2 THEN substring(full_text, {_K} + 1, n)
+                       ELSE concat(substring(full_text, 1, n - {_K}), repeat('\u00a4', {_K})) END AS revision_text
+FROM (SELECT CAST(substring(draft_id, 7) AS BIGINT) AS doc_id, draft_id, full_text, length(full_text) AS n FROM {{drafts}}) d
+"""
+
+
+@query(
+    "j12_revision_similarity",
+    f"""SELECT draft_id, round(score, 6) AS score FROM (SELECT draft_id, CASE shape WHEN 2 THEN 200.0e0 * (n - k) / (2 * n - k)
+        WHEN 3 THEN 200.0e0 * (n - k) / (2 * n) ELSE 200.0e0 * n / (2 * n + k) END AS score
+        FROM ({REVISED_SQL.format(drafts="v_drafts")}) r) x WHERE score >= 75""",
+)
 def j12(spark, sf):
-    pairs = D.pair_rescans(views.drafts(spark, sf))
-    scored = D.revision_similarity(pairs, 30.0)
-    return scored.select("draft_id", "revision_id", F.round("score", 6).alias("score"), (F.col("score") >= 75.0).alias("passed"))
+    pairs = spark.sql(REVISED_SQL.format(drafts="{drafts}"), drafts=views.drafts(spark, sf))
+    return D.revision_similarity(pairs.select("draft_id", "full_text", "revision_text")).select("draft_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -286,9 +346,8 @@ PREAMBLES = {"v2": "Long form.", "v3_concise": "Short form.", "v4": "Boundary fo
 
 @query(
     "f20_edit_prompt",
-    """SELECT draft_id, concat('Boundary form.', chr(10), chr(10), '*** Draft to Analyze', chr(10), chr(10), full_text,
-       chr(10), chr(10), '*** Your Analysis', chr(10), chr(10),
-       'Please analyze the above draft and output your suggestions in JSON format:', chr(10)) AS prompt FROM v_drafts""",
+    """SELECT draft_id, concat('Boundary form.', chr(10), chr(10), '--- Text ---', chr(10), chr(10), full_text,
+       chr(10), chr(10), '--- Reply ---', chr(10), chr(10), 'List your changes to the text as one JSON object.', chr(10)) AS prompt FROM v_drafts""",
 )
 def f20(spark, sf):
     return views.drafts(spark, sf).select(
@@ -350,8 +409,8 @@ def x5(spark, sf):
     """A stand-in model that reports the length of the draft it was given."""
     from dictalog.functions.plugins import edit_drafts
 
-    head = len(PREAMBLES["v4"]) + len("\n\n*** Draft to Analyze\n\n")
-    tail = len(edits._TASK)
+    head = len(PREAMBLES["v4"]) + len(edits.HEAD)
+    tail = len(edits.TASK)
 
     def make():
         return lambda prompt: str(len(prompt) - head - tail)

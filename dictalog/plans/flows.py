@@ -13,6 +13,7 @@ from dictalog.operators import speech as A
 from dictalog.operators.matching import assemble_text, drop_blank_audio
 from dictalog.operators.segmenter import build_drafts, draft_id
 from dictalog.operators.slices import KeySlices, plan_slices
+from dictalog.sources.sinks import whole_drafts
 from dictalog.session import materialize
 
 KEY = "source_id"
@@ -98,9 +99,9 @@ def rescan(
     batched = A.sample_batches(started.drop("_first"), KeySlices(KEY, "chunk_id"), batch_samples)
     texts = materialize(texts_of_batches(batched, make, [KEY, "speech_no", "batch_no"]), "rescanned")
     again = build_drafts(texts, plan_slices(texts, KEY, "seq"), "seq", patterns)
+    again = whole_drafts(again, [KEY, "opened_at"])
     newest = F.max_by(
-        F.struct("start_text", "end_text", "full_text", "audio_start_time", "audio_end_time", "forced", "opened_at"),
-        F.struct("opened_at", "part_no"),
+        F.struct("start_text", "end_text", "full_text", "audio_start_time", "audio_end_time", "forced", "opened_at"), "opened_at"
     )
     return (
         again.groupBy(KEY)

@@ -327,6 +327,30 @@ def t1_stream(spark, sf):
     return events.filter(F.col("kind") == "end").withColumn("full_text", F.trim("full_text")).select(*DRAFT_COLUMNS)
 
 
+@query("t1_long_draft_parts", DRAFTS_SQL)
+def t1_parts(spark, sf):
+    """The drafts of the batch form put together from parts of 40 characters."""
+    rows = views.texts(spark, sf)
+    parts = S.build_drafts(rows, views.text_slices(rows), part_chars=40)
+    return sinks.whole_drafts(parts, ["draft_id"]).withColumn("full_text", F.trim("full_text")).select(*DRAFT_COLUMNS)
+
+
+TIED_SQL = "SELECT source_id, 0 AS seq, text, marker, audio_start_time, audio_end_time FROM {texts} WHERE marker IS NOT NULL AND seq < 2"
+
+
+@query(
+    "t1_tied_order",
+    f"""SELECT count(*) AS n, sum(CASE WHEN forced THEN 1 ELSE 0 END) AS n_forced FROM (
+        SELECT source_id, audio_start_time, marker, coalesce(lead(marker) OVER (PARTITION BY source_id ORDER BY audio_start_time), 'none') = 'none' AS forced
+        FROM ({TIED_SQL.format(texts="v_texts")}) t) x WHERE marker = 'start'""",
+)
+def t1_tied(spark, sf):
+    """Texts with one sequence number stand in order of time; each is used once."""
+    rows = spark.sql(TIED_SQL.format(texts="{texts}"), texts=views.texts(spark, sf))
+    drafts = S.build_drafts(rows, views.text_slices(rows))
+    return drafts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("forced"), 1).otherwise(0)).alias("n_forced"))
+
+
 @query("t3_forced_end", f"SELECT source_id, opened_at, audio_end_time FROM ({DRAFTS_SQL}) x WHERE forced")
 def t3(spark, sf):
     events = run_available(stream_drafts(text_stream(spark, sf)), "forced")
@@ -361,8 +385,17 @@ def t12(spark, sf):
 @query("s10_persist_ended_drafts", f"SELECT source_id, opened_at, full_text, forced FROM ({DRAFTS_SQL}) x")
 def s10(spark, sf):
     """The segmenter's end events stored through the validated append, micro-batch by micro-batch."""
+    return _persisted(spark, sf, stream_drafts(text_stream(spark, sf)))
+
+
+@query("s10_long_draft", f"SELECT source_id, opened_at, full_text, forced FROM ({DRAFTS_SQL}) x")
+def s10_long(spark, sf):
+    """Drafts that come in parts of little more than 40 characters, stored part by part and read whole."""
+    return _persisted(spark, sf, stream_drafts(text_stream(spark, sf), part_chars=40))
+
+
+def _persisted(spark, sf, events):
     path = shared_dir(spark, "ended")
-    events = stream_drafts(text_stream(spark, sf))
 
     def body(batch, number):
         shaped = batch.withColumn("timestamp", F.col("audio_start_time")).withColumn("parent_draft_id", F.lit(None).cast("string"))
@@ -371,7 +404,7 @@ def s10(spark, sf):
 
     run_each_batch(events, "ended", body)
     parts = F.split("directory_path", r"\|")
-    return sinks.read_drafts(spark, path).select(
+    return sinks.whole_drafts(sinks.read_drafts(spark, path)).select(
         parts[0].alias("source_id"),
         parts[1].cast("long").alias("opened_at"),
         F.trim("full_text").alias("full_text"),
@@ -396,8 +429,8 @@ def t10(spark, sf):
 
 
 def flagship(spark, sf):
-    """Conversations to drafts, stored with their revisions' ids, first page of the newest ones."""
-    drafts = built(spark, sf).select(
+    """Conversations to drafts, and the first page of the newest ones."""
+    drafts = sinks.whole_drafts(built(spark, sf), ["draft_id"]).select(
         "draft_id",
         F.col("audio_start_time").alias("timestamp"),
         "source_id",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,33 @@ def build_session(app: str = "dictalog", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for k, v in {**SESSION_CONF, **conf}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the executors' Python, once per application, so that it need not be on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already in an archive
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="dictalog-"), "dictalog_package.zip")  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(target)
+    # streams start a Python of their own on the driver, which only goes by this variable
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (target, context.environment.get("PYTHONPATH"))))
 
 
 def ensure_runtime_conf(spark: SparkSession) -> None:
@@ -39,10 +67,14 @@ def ensure_runtime_conf(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (local tests) is a
-    temporary folder made, once per process.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in local mode may it be unset: then a temporary
+    folder is made, once per process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

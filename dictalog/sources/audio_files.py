@@ -19,7 +19,7 @@ FULL_SCALE = {2: ("<i2", 32767.0), 4: ("<i4", 2147483647.0)}
 def decode_pcm(raw: bytes, width: int) -> np.ndarray:
     """Samples as float32 in [-1, 1]."""
     if width not in FULL_SCALE:
-        raise ValueError(f"Unsupported sample width: {width} bytes")
+        raise ValueError(f"samples of {width} bytes cannot be read")
     kind, scale = FULL_SCALE[width]
     return (np.frombuffer(raw, dtype=kind).astype(np.float64) / scale).astype(np.float32)
 
@@ -71,7 +71,7 @@ def _file_rows(name: str, content: bytes, chunk_sec: float, start: float, batch:
     try:
         f = wave.open(io.BytesIO(content), "rb")
         if f.getsampwidth() not in FULL_SCALE:
-            raise ValueError(f"Unsupported sample width: {f.getsampwidth()} bytes")
+            raise ValueError(f"samples of {f.getsampwidth()} bytes cannot be read")
     except (ValueError, EOFError, wave.Error) as e:
         yield [row("AudioErrorEvent", message=str(e))]
         return

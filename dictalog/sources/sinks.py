@@ -16,6 +16,8 @@ STORED = [
     "directory_path STRING",
     "parent_draft_id STRING",
     "created_at TIMESTAMP",
+    "part_no BIGINT",
+    "complete BOOLEAN",
 ]
 
 
@@ -25,7 +27,7 @@ def with_day(drafts: DataFrame) -> DataFrame:
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table (empty if it was never written)."""
+    """The stored rows (none if the table was never written). A very long draft has a row for each part; see ``whole_drafts``."""
     schema = ", ".join([*STORED, "dt DATE"])
     try:
         return spark.read.schema(schema).parquet(path)
@@ -42,12 +44,12 @@ def append_drafts(incoming: DataFrame, path: str, order_by: list[str]) -> DataFr
     retried micro-batch is harmless.
     """
     spark = incoming.sparkSession
-    stored = read_drafts(spark, path).select("draft_id")
+    stored = read_drafts(spark, path).select("draft_id", "part_no")
     judged = materialize(validate_ids(incoming, stored, order_by), "judged")
     accepted, late = _accept_in_order(judged, order_by)
     day = with_day(_stored_shape(accepted))
-    # one shuffle by day and id hash: few files per day, and a busy day still spreads over several tasks
-    day.repartition("dt", F.pmod(F.xxhash64("draft_id"), F.lit(8))).write.mode("append").partitionBy("dt").parquet(path)
+    # rebalanced by day: few files for a quiet day, as many tasks as its bytes need for a busy one
+    day.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
     refused = judged.filter(F.col("reason").isNotNull())
     return refused if late is None else refused.join(late, ["draft_id", "reason"], "left_anti")
 
@@ -78,15 +80,44 @@ def _stored_shape(drafts: DataFrame) -> DataFrame:
         "directory_path": F.lit(""),
         "parent_draft_id": F.lit(None).cast("string"),
         "created_at": F.current_timestamp(),
+        "part_no": F.lit(0).cast("long"),
+        "complete": F.lit(True),
     }
     cols = [c.split(" ")[0] for c in STORED]
     return drafts.select(*[F.col(c) if c in drafts.columns else fill[c].alias(c) for c in cols])
 
 
 def persist_ended_drafts(draft_events: DataFrame, path: str, order_by: list[str]) -> DataFrame:
-    """Store drafts that ended, and revisions. Use as ``foreachBatch`` body; returns the rejected rows."""
-    kept = draft_events.filter(F.col("kind").isin("end", "rescan"))
-    return append_drafts(kept, path, order_by)
+    """Store drafts that ended, revisions, and parts of long drafts. Use as ``foreachBatch`` body; returns the rejected rows.
+
+    A part is stored as it comes; ``whole_drafts`` gives the draft when its last row is there.
+    """
+    kept = draft_events.filter(F.col("kind").isin("end", "rescan", "part"))
+    return append_drafts(kept.withColumn("complete", F.col("kind") != "part"), path, order_by)
+
+
+def whole_drafts(stored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per finished draft: the text of its parts in order, all else from its last row.
+
+    Drafts of one row, which are nearly all, go through as they are; ``by`` tells drafts apart.
+    """
+    by = by or ["draft_id"]
+    done = F.coalesce("complete", F.lit(True)) if "complete" in stored.columns else F.lit(True)
+    part = F.coalesce("part_no", F.lit(0))
+    single = stored.filter(done & (part == 0))
+    rest = [c for c in stored.columns if c not in (*by, "full_text", "part_no", "complete")]
+    long = stored.filter(~done | (part > 0)).groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(part.alias("part_no"), "full_text"))).alias("_parts"),
+        F.max(F.struct(part.alias("part_no"), done.alias("done"), *rest)).alias("_last"),
+    )
+    # a draft whose parts are all marked complete has its first row among the single ones
+    if "complete" not in stored.columns:
+        more = single.select(*by, F.col("full_text").alias("_head"))
+        long = long.join(more, by).withColumn("_parts", F.concat(F.array(F.struct(F.lit(0).cast("long").alias("part_no"), F.col("_head").alias("full_text"))), "_parts")).drop("_head")
+        single = single.join(long.select(*by), by, "left_anti")
+    text = F.array_join(F.transform("_parts", lambda x: x["full_text"]), "")
+    joined = long.filter("_last.done").select(*by, text.alias("full_text"), *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return single.select(*by, "full_text", *rest).unionByName(joined)
 
 
 def export_lines(drafts: DataFrame) -> DataFrame:

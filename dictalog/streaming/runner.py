@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from dictalog.operators.events import untranscribed_tail
 from dictalog.session import ensure_runtime_conf, shared_dir
 
-HELD = 1_000_000
-
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available, write it to the shared folder, and return the written rows."""

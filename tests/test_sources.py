@@ -82,7 +82,7 @@ def test_unreadable_audio_gives_error_rows(spark, tmp_path):
     (tmp_path / "no.wav").write_bytes(b"not a wav")
     rows = audio_files.read_audio_corpus(spark, str(tmp_path)).collect()
     assert [r["event_class"] for r in rows] == ["AudioErrorEvent"] * 2
-    assert any("Unsupported sample width: 1" in r["message"] for r in rows)
+    assert any("samples of 1 bytes" in r["message"] for r in rows)
 
 
 def test_clip_to_wav_bytes(spark):
