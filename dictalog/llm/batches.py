@@ -11,7 +11,7 @@ U64 = np.uint64
 #: Odd multipliers of the two rolling hashes (arithmetic is modulo 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Text bytes handled at once within a batch.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

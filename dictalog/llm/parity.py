@@ -8,8 +8,8 @@ shingles as blocks of one too.
 
 Equal sets are one node. Blocks go to buckets packed, as (block hash, set) pairs; a bucket gives the pairs of the sets that share a block. A block
 shared by many sets is *large*: its sets are linked to one of them where similar enough. Sets all of whose agreement may lie in large blocks are then
-compared with the sets of their large blocks in other components, which settles every link that could join components. A fixed sketch of 1,024 parity bits
-rejects most pairs by its Hamming distance; the rest is verified on the texts.
+compared with the sets of their large blocks in other components, which settles every link that could join components. A dense sketch, of
+two to four parity bits for each shingle, rejects most pairs by its Hamming distance; the rest is verified on the texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from dictalog.llm.rows import without
 from dictalog.session import materialize
 
 WORDS = 5
-BITS = 1024
+#: Bits of the smallest dense sketch.
+BITS = 256
 #: Linked: NUM / DEN at least.
 NUM, DEN = 3, 4
 
@@ -38,9 +39,9 @@ NUM, DEN = 3, 4
 class Settings:
     few: int = 8
     """A block of more sets is large."""
-    bucket: int = 1_000_000
+    bucket: int = 500_000
     """Shingles per bucket aimed at."""
-    buffer: int = 8_000_000
+    buffer: int = 4_000_000
     """Text bytes whose blocks are packed together."""
 
 
@@ -94,8 +95,9 @@ def blocks(tokens: np.ndarray, band: int) -> tuple[np.ndarray, int]:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """1,024 parity bits as 16 longs."""
-    odd = np.bincount((tokens % B.U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parity bits as longs: a power of two of them, two for each shingle at least."""
+    bits = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & B.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -279,7 +281,13 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def may_link(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Sizes near enough, and no more parity bits apart than the symmetric difference of linked sets can be."""
+    """Sizes near enough, and no more parity bits apart than the symmetric difference of linked sets can be.
+
+    Sketches of such sizes differ by a factor of two at most; the larger is folded to the size of the smaller.
+    """
+    half = lambda x: F.zip_with(F.slice(x, 1, F.shiftright(F.size(x), 1)), F.slice(x, F.shiftright(F.size(x), 1) + 1, F.shiftright(F.size(x), 1)), lambda p, q: p.bitwiseXOR(q))
+    a, b = sketch_a, sketch_b
+    sketch_a, sketch_b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
     apart = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = (F.least(n_a, n_b) * DEN >= F.greatest(n_a, n_b) * NUM)
     return near & (apart * (DEN + NUM) <= (n_a + n_b) * (DEN - NUM))
