@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dictalog.functions import plugins, samples
@@ -244,47 +245,84 @@ def s4(spark, sf):
     )
 
 
-@query("s5_pcm_decode", "SELECT chunk_id, CAST(64 AS BIGINT) AS n, 0.0001e0 > 0 AS close FROM v_chunks")
+@query(
+    "s5_pcm_decode",
+    """SELECT chunk_id, width, len(data) AS n, round(list_sum(list_transform(data, lambda x: CASE width
+       WHEN 2 THEN trunc(CAST(x AS FLOAT) * CAST(32767 AS FLOAT)) / 32767.0e0 ELSE trunc(CAST(x AS DOUBLE) * 2147483647.0e0) / 2147483647.0e0 END)), 4) AS total
+       FROM v_chunks, (SELECT unnest([2, 4]) AS width) w""",
+)
 def s5(spark, sf):
-    """Samples to 16-bit bytes and back: within one step of the scale."""
+    """Samples written as 16-bit and 32-bit values and read back."""
     rows, _ = views.chunks(spark, sf)
+    rows = rows.select("chunk_id", "data", F.explode(F.array(F.lit(2), F.lit(4))).alias("width"))
 
-    def round_trip(batches):
+    def read(batches):
         for pdf in batches:
-            back = [
-                audio_files.decode_pcm((np.asarray(d) * np.float32(32767.0)).astype("<i2").tobytes(), 2) for d in pdf["data"]
-            ]
-            pdf["n"] = [len(b) for b in back]
-            pdf["close"] = [bool(np.abs(b - np.asarray(d)).max() < 1e-4) for b, d in zip(back, pdf["data"])]
-            yield pdf[["chunk_id", "n", "close"]]
+            for width, part in pdf.groupby("width"):
+                sizes = part["data"].map(len).to_numpy()
+                flat = np.concatenate(part["data"].to_list())
+                wide = (flat * np.float32(32767.0)).astype("<i2") if width == 2 else (flat.astype(np.float64) * 2147483647.0).astype("<i4")
+                back = audio_files.decode_pcm(wide.tobytes(), int(width)).astype(np.float64)  # the whole batch at once
+                total = np.add.reduceat(back, np.cumsum(sizes) - sizes)
+                yield part[["chunk_id", "width"]].assign(n=sizes, total=total)
+
+    got = rows.mapInPandas(read, "chunk_id BIGINT, width INT, n BIGINT, total DOUBLE")
+    return got.select("chunk_id", "width", "n", F.round("total", 4).alias("total"))
 
-    return rows.select("chunk_id", "data").mapInPandas(round_trip, "chunk_id BIGINT, n BIGINT, close BOOLEAN")
+
+_SUM = "round(list_sum(list_transform(range(1, len({x}) + 1), lambda i: i * CAST({x}[i] AS DOUBLE))), 4)"
+_MIXED = "list_transform(range(1, 33), lambda i: CAST((CAST(data[2 * i - 1] AS DOUBLE) + CAST(data[2 * i] AS DOUBLE)) / 2 AS FLOAT))"
 
 
 @query(
     "f13_mix_channels",
-    """SELECT chunk_id, round(CAST(data[1] AS DOUBLE), 6) AS repeated, round(CAST(CAST((CAST(data[1] AS DOUBLE) + CAST(data[2] AS DOUBLE)) / 2 AS FLOAT) AS DOUBLE), 6) AS mixed,
-       3 AS padded, 1 AS truncated FROM v_chunks""",
+    f"""SELECT chunk_id, {_SUM.format(x="data")} AS repeated, {_SUM.format(x=_MIXED)} AS mixed, 0.0e0 AS padded,
+        {_SUM.format(x="list_transform(range(1, 33), lambda i: data[2 * i - 1])")} AS truncated FROM v_chunks""",
 )
 def f13(spark, sf):
+    """Every sample counts, with its place: one channel to two, two to one, two to three, two to one by way of three."""
     rows, _ = views.chunks(spark, sf)
     mono = F.transform("data", lambda x: F.array(x))
-    pair = F.array(F.array(F.col("data")[0], F.col("data")[1]))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.get("data", 2 * i), F.get("data", 2 * i + 1)))
+
+    def weighed(frames, channel):
+        placed = F.transform(frames, lambda f, i: (i + 1) * f[channel].cast("double"))
+        return F.round(F.aggregate(placed, F.lit(0.0), lambda acc, x: acc + x), 4)
+
     return rows.select(
         "chunk_id",
-        F.round(samples.mix_channels(mono, 1, 2)[0][1].cast("double"), 6).alias("repeated"),
-        F.round(samples.mix_channels(pair, 2, 1)[0][0].cast("double"), 6).alias("mixed"),
-        F.size(samples.mix_channels(pair, 2, 3)[0]).alias("padded"),
-        F.size(samples.mix_channels(samples.mix_channels(mono, 1, 3), 3, 1)[0]).alias("truncated"),
+        weighed(samples.mix_channels(mono, 1, 2), 1).alias("repeated"),
+        weighed(samples.mix_channels(pairs, 2, 1), 0).alias("mixed"),
+        weighed(samples.mix_channels(pairs, 2, 3), 2).alias("padded"),
+        weighed(samples.mix_channels(samples.mix_channels(pairs, 2, 3), 3, 2), 0).alias("truncated"),
     )
 
 
-@query("f14_resample", "SELECT chunk_id, CAST(512 AS BIGINT) AS n, CAST(16000 AS BIGINT) AS rate, 512 / 16000.0e0 AS duration FROM v_chunks")
+# The filter itself: 64 samples at 2 kHz to 512 at 16 kHz, 16 taps on both sides under a Hann window.
+RESAMPLED_SQL = """
+SELECT chunk_id, j, CAST(sum(w * CAST(data[near + 1] AS DOUBLE)) / CASE WHEN abs(sum(w)) > 1e-9 THEN sum(w) ELSE 1 END AS FLOAT) AS v FROM (
+  SELECT chunk_id, data, j, near, CASE WHEN gap = 0 THEN 1.0e0 ELSE sin(pi() * gap) / (pi() * gap) END
+         * (0.5e0 + 0.5e0 * cos(pi() * greatest(-1.0e0, least(1.0e0, gap / 16.0e0)))) AS w FROM (
+    SELECT chunk_id, data, j, CAST(floor(j / 8.0e0) AS BIGINT) + k AS near, j / 8.0e0 - (floor(j / 8.0e0) + k) AS gap
+    FROM v_chunks, (SELECT unnest(range(0, 512)) AS j) js, (SELECT unnest(range(-15, 17)) AS k) ks) g
+  WHERE near >= 0 AND near < 64) t GROUP BY chunk_id, j
+"""
+
+
+@query(
+    "f14_resample",
+    f"""SELECT chunk_id, count(*) AS n, CAST(16000 AS BIGINT) AS rate, 512 / 16000.0e0 AS duration, round(sum(CAST(v AS DOUBLE)), 3) AS total,
+        round(max(CASE WHEN j = 101 THEN CAST(v AS DOUBLE) END), 5) AS early, round(max(CASE WHEN j = 509 THEN CAST(v AS DOUBLE) END), 5) AS late
+        FROM ({RESAMPLED_SQL}) r GROUP BY chunk_id""",
+)
 def f14(spark, sf):
     rows, _ = views.chunks(spark, sf)
     got = audio_files.resample(rows.select("chunk_id", "data", "sample_rate"), 16_000)
+    total = F.aggregate("data", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    at = lambda i: F.round(F.get("data", F.lit(i)).cast("double"), 5)
     return got.select(
-        "chunk_id", F.size("data").cast("long").alias("n"), F.col("sample_rate").cast("long").alias("rate"), "duration"
+        "chunk_id", F.size("data").cast("long").alias("n"), F.col("sample_rate").cast("long").alias("rate"), "duration",
+        F.round(total, 3).alias("total"), at(101).alias("early"), at(509).alias("late"),
     )
 
 
@@ -482,24 +520,40 @@ def t7(spark, sf):
     rows = views.drafts(spark, sf)
     n = F.length("full_text") % 4
     base = (F.col("timestamp") * 1000).cast("bigint")
+    times = {("remote", "start", 0): F.lit(True), ("local", "start", 1000): n != 3, ("local", "end", 8000): n == 0}
+    times |= {("remote", "end", 9000): F.lit(True), ("local", "end", 12000): n == 1}
+    return _rescanned(rows.select(F.col("draft_id").alias("source_id"), "draft_id", base.alias("base"), *[u.alias(f"_{i}") for i, u in enumerate(times.values())]), list(times))
+
 
-    def event(origin, kind, at, use):
+@query(
+    "t7_overlapping_rescans",
+    """SELECT draft_id AS original_draft_id, CASE WHEN n % 3 = 2 THEN NULL ELSE concat('local-', draft_id) END AS revision_id,
+       CASE n % 3 WHEN 0 THEN 'paired' WHEN 1 THEN 'forced' ELSE 'failed' END AS outcome FROM (SELECT draft_id, length(full_text) AS n FROM v_drafts) x""",
+)
+def t7_overlapping(spark, sf):
+    """Many drafts of one source, each starting while those before it still wait for their local draft."""
+    rows = views.drafts(spark, sf)
+    n = F.length("full_text") % 3
+    number = F.row_number().over(Window.partitionBy("author_uri").orderBy("timestamp"))
+    times = {("remote", "start", 0): F.lit(True), ("local", "start", 1000): n != 2, ("remote", "end", 9000): F.lit(True), ("local", "end", 12000): n == 0}
+    return _rescanned(rows.select(F.col("author_uri").alias("source_id"), "draft_id", (number * 10_000).cast("bigint").alias("base"), *[u.alias(f"_{i}") for i, u in enumerate(times.values())]), list(times))
+
+
+def _rescanned(rows, times):
+    """Events of (origin, kind, time after the base) where the column of that number is true, as a stream through the coordinator."""
+
+    def event(i, origin, kind, at):
         ident = F.col("draft_id") if origin == "remote" else F.concat(F.lit("local-"), F.col("draft_id"))
         return F.when(
-            use,
+            F.col(f"_{i}"),
             F.struct(
-                F.lit(origin).alias("origin"), F.lit(kind).alias("kind"), (base + at).alias("ts_ms"),
+                F.lit(origin).alias("origin"), F.lit(kind).alias("kind"), (F.col("base") + at).alias("ts_ms"),
                 ident.alias("draft_id"), F.lit(None).cast("string").alias("full_text"),
             ),
         )
 
-    every = F.lit(True)
-    made = F.array(
-        event("remote", "start", 0, every), event("local", "start", 1000, n != 3), event("local", "end", 8000, n == 0),
-        event("remote", "end", 9000, every), event("local", "end", 12000, n == 1),
-    )
-    flow = rows.select(F.col("draft_id").alias("source_id"), F.explode(made).alias("e")).filter(F.col("e").isNotNull())
-    flow = flow.select("source_id", "e.*")
+    made = F.array(*[event(i, *t) for i, t in enumerate(times)])
+    flow = rows.select("source_id", F.explode(made).alias("e")).filter(F.col("e").isNotNull()).select("source_id", "e.*")
     tail = flow.agg((F.max("ts_ms") + 3_600_000).alias("ts_ms")).select(
         F.lit("\u0000clock").alias("source_id"), F.lit("local").alias("origin"), F.lit("start").alias("kind"), "ts_ms",
         F.lit("-").alias("draft_id"), F.lit(None).cast("string").alias("full_text"),

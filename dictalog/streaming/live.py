@@ -93,10 +93,12 @@ _TEXT = T.StructType([T.StructField("v", T.StringType())])
 
 
 class RescanCoordinator(StatefulProcessor):
-    """Pairs a remote draft with the local re-transcription of the same audio.
+    """Pairs remote drafts with the local re-transcription of the same audio.
 
     After the remote end, a local draft has ``start_ms`` to appear and ``end_ms`` to end; one that has not ended by then is
-    taken as it is (forced), and without any the rescan has failed.
+    taken as it is (forced), and without any the rescan has failed. The next remote draft may start while pairs still wait: each has a place
+    of its own in the state. A local draft belongs to the newest remote draft that has none. A remote draft that starts before the one
+    before it has ended gives that one up (failed).
     Rows: source_id, ts_ms, origin (remote/local), kind (start/end), draft_id, full_text.
     """
 
@@ -111,53 +113,67 @@ class RescanCoordinator(StatefulProcessor):
         import pandas as pd
 
         pdf = pd.concat(list(rows)).sort_values(["ts_ms", "origin"], kind="stable")
-        st = self._load()
+        pairs = self._load()
         out = []
         for ts, origin, kind, ident, text in zip(pdf["ts_ms"], pdf["origin"], pdf["kind"], pdf["draft_id"], pdf["full_text"]):
             ts = int(ts)
-            out += self._due(key[0], st, ts)
-            if origin == "remote" and kind == "start":
-                st.update(remote=ident, ended=None, local=None)
-            elif origin == "remote":
-                st.update(remote=ident, ended=ts)
-                self.handle.registerTimer(ts + self.start_ms)
-                self.handle.registerTimer(ts + self.end_ms)
+            out += self._due(key[0], pairs, ts)
+            if origin == "remote":
+                self._remote(key[0], pairs, out, ts, kind, ident)
             else:
-                st["local"] = {"id": ident, "text": text, "done": kind == "end"}
-            if st["ended"] is not None and st["local"] and st["local"]["done"]:
-                out.append(self._close(key[0], st, "paired"))
-        self.state.update((json.dumps(st),))
+                self._local(pairs, kind, ident, text)
+            out += self._closed(key[0], pairs, "paired", lambda p: p["ended"] is not None and p["local"] and p["local"]["done"])
+        self.state.update((json.dumps(pairs),))
         yield pd.DataFrame(out, columns=REVISION.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        st = self._load()
-        out = self._due(key[0], st, expiredTimerInfo.getExpiryTimeInMs())
-        self.state.update((json.dumps(st),))
+        pairs = self._load()
+        out = self._due(key[0], pairs, expiredTimerInfo.getExpiryTimeInMs())
+        self.state.update((json.dumps(pairs),))
         yield pd.DataFrame(out, columns=REVISION.names)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {"remote": None, "ended": None, "local": None}
+    def _load(self) -> list[dict]:
+        return json.loads(self.state.get()[0]) if self.state.exists() else []
+
+    def _remote(self, source: str, pairs: list[dict], out: list, ts: int, kind: str, ident: str) -> None:
+        if kind == "start":
+            out += self._closed(source, pairs, "failed", lambda p: p["ended"] is None)
+            pairs.append({"remote": ident, "ended": None, "local": None})
+            return
+        pair = next((p for p in pairs if p["remote"] == ident), None)
+        if pair is None:
+            pair = {"remote": ident, "ended": None, "local": None}
+            pairs.append(pair)
+        pair["ended"] = ts
+        self.handle.registerTimer(ts + self.start_ms)
+        self.handle.registerTimer(ts + self.end_ms)
 
-    def _due(self, source: str, st: dict, now: int) -> list:
-        if st["ended"] is None:
-            return []
-        if st["local"] is None and now >= st["ended"] + self.start_ms:
-            return [self._close(source, st, "failed")]
-        if st["local"] is not None and now >= st["ended"] + self.end_ms:
-            return [self._close(source, st, "forced")]
-        return []
+    @staticmethod
+    def _local(pairs: list[dict], kind: str, ident: str, text: str | None) -> None:
+        pair = next((p for p in pairs if p["local"] and p["local"]["id"] == ident), None)
+        pair = pair or next((p for p in reversed(pairs) if not p["local"]), None)
+        if pair is not None:
+            pair["local"] = {"id": ident, "text": text, "done": kind == "end"}
+
+    def _due(self, source: str, pairs: list[dict], now: int) -> list:
+        late = lambda p, ms: p["ended"] is not None and now >= p["ended"] + ms
+        failed = self._closed(source, pairs, "failed", lambda p: not p["local"] and late(p, self.start_ms))
+        return failed + self._closed(source, pairs, "forced", lambda p: p["local"] and late(p, self.end_ms))
 
     @staticmethod
-    def _close(source: str, st: dict, outcome: str) -> tuple:
-        local = st["local"] or {"id": None, "text": None}
-        row = (source, st["remote"], local["id"], local["text"], outcome)
-        st.update(remote=None, ended=None, local=None)
-        return row
+    def _closed(source: str, pairs: list[dict], outcome: str, which: Callable[[dict], bool]) -> list:
+        """Rows of the pairs that are through; they leave the state."""
+        rows = []
+        for p in [p for p in pairs if which(p)]:
+            pairs.remove(p)
+            local = p["local"] or {"id": None, "text": None}
+            rows.append((source, p["remote"], local["id"], local["text"], outcome))
+        return rows
 
 
 def rescan_revisions(events: DataFrame, start_ms: int = 5_000, end_ms: int = 15_000) -> DataFrame:
