@@ -109,3 +109,36 @@ def test_resolve_revision_priority(spark):
     df = spark.createDataFrame(rows, "draft_id STRING, parent_draft_id STRING, timestamp DOUBLE, kind STRING")
     got = {(r["original_draft_id"], r["revision_id"]) for r in D.resolve_revision(df, F.col("kind")).collect()}
     assert got == {("p", "b"), ("q", "e")}
+
+
+def test_equal_ids_are_taken_once(spark):
+    rows = [("x", 1.0, "a", None), ("x", 1.0, "a", None), ("x", 1.0, "b", None), ("y", 2.0, "c", "x"), ("z", 3.0, "d", "w")]
+    df = spark.createDataFrame(rows, "draft_id string, timestamp double, full_text string, parent_draft_id string")
+    got = D.validate_ids(df, df.select("draft_id").limit(0), ["timestamp"]).collect()
+    assert sorted((r.draft_id, r.reason or "") for r in got) == [("x", ""), ("x", "duplicate"), ("x", "duplicate"), ("y", "unknown_parent"), ("z", "unknown_parent")]
+
+
+def test_parts_of_a_draft_are_stored_and_read_whole(spark):
+    from dictalog.session import shared_dir
+    from dictalog.sources import sinks
+
+    path = shared_dir(spark, "parts")
+    schema = "kind string, draft_id string, timestamp double, full_text string, part_no long, parent_draft_id string"
+    for batch in (
+        [("part", "x", 1.0, "one ", 0, None), ("end", "y", 2.0, "short", 0, None), ("part", "z", 3.0, "open", 0, None)],
+        [("part", "x", 1.0, "two ", 1, None), ("end", "x", 1.0, "three", 2, None)],
+        [("end", "x", 1.0, "again", 2, None)],
+    ):
+        sinks.persist_ended_drafts(spark.createDataFrame(batch, schema), path, ["timestamp", "part_no"])
+    stored = sinks.read_drafts(spark, path)
+    assert stored.count() == 5
+    assert sorted((r.draft_id, r.full_text) for r in sinks.whole_drafts(stored).collect()) == [("x", "one two three"), ("y", "short")]
+
+
+def test_deep_and_shallow_pages_agree_with_unknown_times(spark):
+    rows = [(f"d{i:03}", None if i % 11 == 0 else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "draft_id string, timestamp double")
+    for order in ("asc", "desc"):
+        for offset in (0, 5, 40, 88, 99, 120):
+            deep = D.page_drafts(df, 7, offset, order, deep_page=1).collect()
+            assert deep == D.page_drafts(df, 7, offset, order).collect()

@@ -171,3 +171,31 @@ def test_boundary_words_only_at_the_edges(spark):
         texts.boundary_words_at_edges(F.lit(words + " break break"), ["down", "break"]),
     )
     assert flags == (True, False, True)
+
+
+def test_long_words_are_scored_exactly(spark):
+    import random
+
+    from dictalog.functions import texts as X
+    from dictalog.functions.fuzzy import _near, lcs_length
+
+    r = random.Random(5)
+    words = ["supervision", "supervixiox", "superevision", "supervisions", "responsibility", "resposibility", "responsibilitie"]
+    words += ["".join(r.choice("abcde") for _ in range(r.randint(9, 16))) for _ in range(40)]
+    words += [w[:3] + w[4:] for w in words[-40:]]
+    pairs = [(a, b) for a in words for b in words]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.near_word(F.col("a"), F.col("b")).alias("near")).collect()
+    assert all(g.near == _near(g.a, g.b) for g in got)
+    got = spark.createDataFrame(pairs[:300], "a string, b string").select("a", "b", X.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(g.n == lcs_length(g.a, g.b) for g in got)
+
+
+def test_phrases_of_any_length():
+    from dictalog.functions.fuzzy import Pattern, PhraseMatcher
+
+    phrase = "this phrase goes on for a good deal longer than sixty three characters before it ends"
+    matcher = PhraseMatcher([Pattern("start", phrase)])
+    text = f"before {phrase.replace('deal', 'dael')} after"
+    hit = matcher.match_first(text)
+    assert text[hit.start : hit.end] == phrase.replace("deal", "dael") and 95 < hit.score < 100
+    assert matcher.match_first("nothing of the kind " * 10) is None
