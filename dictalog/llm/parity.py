@@ -9,7 +9,7 @@ shingles as blocks of one too.
 Equal sets are one node. Blocks go to buckets packed, as (block hash, set) pairs; a bucket gives the pairs of the sets that share a block. A block
 shared by many sets is *large*: its sets are linked to one of them where similar enough. Sets all of whose agreement may lie in large blocks are then
 compared with the sets of their large blocks in other components, which settles every link that could join components. A dense sketch, of
-two to four parity bits for each shingle, rejects most pairs by its Hamming distance; the rest is verified on the texts.
+two to eight parity bits for each shingle, rejects most pairs by its Hamming distance; the rest is verified on the texts.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ WORDS = 5
 BITS = 256
 #: Linked: NUM / DEN at least.
 NUM, DEN = 3, 4
+#: Most ids (8 bytes each) sent to all executors.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -95,8 +97,8 @@ def blocks(tokens: np.ndarray, band: int) -> tuple[np.ndarray, int]:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity bits as longs: a power of two of them, two for each shingle at least."""
-    bits = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    """Parity bits as longs: a power of two of them, two for each shingle at least (four up to 512 shingles)."""
+    bits = max(BITS, 1 << ((4 if len(tokens) <= 512 else 2) * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & B.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -274,12 +276,23 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
     near = materialize(near, "near")
     asked = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    asked = materialize(texts.join(asked, "rid"), "asked-texts")
+    asked = materialize(asked, "asked")
+    # ids are broadcast up to a checked number; beyond it the texts are shuffled to them
+    small = asked.count() <= BROADCAST_IDS
+    asked = materialize(texts.join(F.broadcast(asked) if small else asked, "rid"), "asked-texts")
     side = lambda x: asked.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}"))
     full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return materialize(full.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _open(large: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, node, component, most): the sets of large blocks that hold more than one component; most is the largest there."""
+    member = large.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("groups"))
+    return member.join(most.filter("groups > 1"), "key").select("key", "node", "component", "most")
+
+
 def may_link(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """Sizes near enough, and no more parity bits apart than the symmetric difference of linked sets can be.
 
@@ -323,13 +336,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = _linked(pairs.unionByName(stars).distinct(), nodes, texts)
 
     # pairs in large blocks that nothing joins yet, the larger set of which needs its large blocks
-    group = components(links)
     tight = large.filter("own").groupBy("node").agg(F.count(F.lit(1)).alias("of_large"))
     info = nodes.join(tight, "node", "left").select("node", "n", "sketch", (F.col("spare") <= F.coalesce("of_large", F.lit(0))).alias("tight"))
-    member = large.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    member = materialize(member.join(most, "key").join(info, "node"), "open-blocks")
+    member = materialize(_open(large, components(links)).join(info, "node"), "open-blocks")
     few, every = member.filter("component != most").alias("x"), member.alias("y")
     larger = F.when(F.col("x.n") > F.col("y.n"), F.col("x.tight")).when(F.col("x.n") < F.col("y.n"), F.col("y.tight")).otherwise(F.col("x.tight") | F.col("y.tight"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & larger
