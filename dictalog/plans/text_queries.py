@@ -370,6 +370,29 @@ def t2(spark, sf):
     return found.select("source_id", "seq", "marker", "m_start", "m_end")
 
 
+# A phrase split over two texts, the second coming 5, 19, 21 or 40 seconds after the first; one in three is misspelt.
+SPLIT_SQL = """
+SELECT concat('conv-', CAST(conv_id AS STRING)) AS source_id, CAST(part AS BIGINT) AS seq,
+       CASE part WHEN 0 THEN CASE conv_id % 3 WHEN 0 THEN 'note Fredy take' ELSE 'note Freddy take' END ELSE 'this down please' END AS text,
+       CAST(part * 1000 AS DOUBLE) AS audio_start_time,
+       CAST(10 + part * CASE conv_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 19 WHEN 2 THEN 21 ELSE 40 END AS DOUBLE) AS audio_end_time, conv_id
+FROM (SELECT DISTINCT conv_id FROM {conversations}) c, {parts}
+"""
+
+
+@query(
+    "t2_split_phrases",
+    f"""SELECT source_id, 'start' AS marker, 5 AS m_start, length(text) + 10 AS m_end, round(CASE conv_id % 3 WHEN 0 THEN 200.0e0 * 20 / 41 ELSE 100.0e0 END, 6) AS score
+        FROM ({SPLIT_SQL.format(conversations="conversations", parts="(SELECT 0 AS part) p")}) x WHERE conv_id % 4 < 2""",
+)
+def t2_split(spark, sf):
+    """Found with its score if the first half is not older than twenty seconds, else not at all."""
+    rows = spark.sql(SPLIT_SQL.format(conversations="{conversations}", parts="(VALUES (0), (1)) AS p(part)"), conversations=views.table(spark, sf, "conversations"))
+    placed = M.text_offset_map(rows.drop("conv_id"), views.text_slices(rows))
+    found = S.find_boundaries(placed, views.text_slices(rows), "seq", default_patterns())
+    return found.select("source_id", "marker", F.col("m_start").cast("int").alias("m_start"), F.col("m_end").cast("int").alias("m_end"), F.round("score", 6).alias("score"))
+
+
 @query("t12_late_text", "SELECT source_id, text AS full_text FROM v_texts WHERE marker IS NOT NULL")
 def t12(spark, sf):
     """Every text comes a second time in a later batch: all of those are late and change no draft."""
