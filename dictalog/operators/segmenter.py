@@ -117,14 +117,15 @@ def find_boundaries(
 ) -> DataFrame:
     """Boundaries with absolute positions: source, row order, kind, text said, start and end in the running text.
 
-    Rows without a plausible boundary word never reach Python. Ordinary sources are already together and in order after
-    the context windows, so one pass over each partition is enough. Hot sources are spread over slices: their rows are
+    Rows without a plausible boundary word never reach Python. The others of an ordinary source are brought together in order for one
+    pass. Hot sources are spread over slices: their rows are
     looked at on their own first, and only rows whose result depends on the rows before are then gone through in order.
     """
     rows = add_context(placed, slices, order, expiry_s)
     likely = rows.select(KEY, order, "start_pos", "text", "ctx").filter(may_hold_boundary(F.concat("ctx", "text"), patterns))
     if slices.trivial:
-        ordered = likely.withColumn("_chain", F.lit(0).cast("long")).sortWithinPartitions(KEY, order)
+        # the pass needs whole sources in order: say so, whatever the plan before it has left
+        ordered = spread(likely.withColumn("_chain", F.lit(0).cast("long")), KEY).sortWithinPartitions(KEY, order)
         settled = ordered.mapInPandas(_in_order(patterns), widen(ordered.schema, found=_FOUND))
     else:
         active = materialize(likely.mapInPandas(_alone(patterns), widen(likely.schema, found=_FOUND, depends=T.BooleanType())), "active")
@@ -224,8 +225,7 @@ def build_drafts(
     base = texts.select(KEY, order, "text", "audio_start_time", "audio_end_time")
     base, slices, order = _one_order(base, slices, order)
     placed = materialize(text_offset_map(base, slices, order), "placed")
-    apart = spread(placed, KEY) if slices.trivial else placed
-    bounds = materialize(find_boundaries(apart, slices, order, wanted, expiry_s), "bounds")
+    bounds = materialize(find_boundaries(placed, slices, order, wanted, expiry_s), "bounds")
     bounds = _with_times(bounds, placed, order)
     opened = draft_spans(bounds, slices, [order, "m_start"])
     stream_end = placed.groupBy(KEY).agg(

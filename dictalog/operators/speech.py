@@ -150,15 +150,16 @@ def speech_batches(batched: DataFrame, min_seconds: float = 0.03) -> DataFrame:
     )
 
 
-def batch_audio(batched: DataFrame) -> DataFrame:
-    """The samples of each batch in order. A batch holds ``batch_samples`` at most (plus one chunk)."""
+def batch_audio(batched: DataFrame, min_seconds: float = 0.03) -> DataFrame:
+    """The samples of each batch in order, for the batches of ``speech_batches``. A batch holds ``batch_samples`` at most (plus one chunk)."""
     ordered = F.sort_array(F.collect_list(F.struct("ts_us", "chunk_id", "data")))
-    return batched.groupBy(KEY, "speech_no", "batch_no").agg(
+    rows = batched.groupBy(KEY, "speech_no", "batch_no").agg(
         F.flatten(F.transform(ordered, lambda c: c["data"])).alias("samples"),
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
         F.max("sample_rate").alias("sample_rate"),
     )
+    return rows.filter(F.size("samples") > F.col("sample_rate") * min_seconds)
 
 
 def job_metrics(jobs: DataFrame, slices: KeySlices) -> DataFrame:
