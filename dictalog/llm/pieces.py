@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered per worker, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 Path = tuple[float, tuple[int, ...]]
 
