@@ -71,6 +71,17 @@ def test_disclosing_terms(spark, tmp_path):
     assert len(near) == 10
 
 
+@pytest.mark.parametrize("s", [disclosure.Settings(), disclosure.Settings(broadcast=0, hot=3)])
+def test_terms_of_whole_documents(spark, tmp_path, s):
+    """A name far from the value goes, at every place, also between values of one kind; copies are no evidence."""
+    far = " ".join(["call about today and then rest"] * 20)
+    rows = [(i, f"Zork, {n} {far} zork\t{far} 10.0.0.1 (zork) 10.0.0.{i + 2} a@b.co") for i, n in enumerate(["one", "two", "three", "four"])]
+    rows += [(10 + i, f"krill {far} c@d.co") for i in range(4)] + [(20 + i, f"{far} {i}") for i in range(40)]
+    text = {r.doc_id: r.text for r in disclosure.sanitised(table(spark, tmp_path, rows), s).collect()}
+    assert text[0] == f" one {far} \t{far} [ip]  [ip] [email]"
+    assert text[10] == f"krill {far} [email]" and text[20] == f"{far} 0"
+
+
 def test_pii_edges(edge, empty):
     out = disclosure.sanitised(edge)
     assert out.columns == edge.columns and out.count() == len(ROWS)
