@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ WORD_MIN = 90.0
 _DROP = str.maketrans("", "", string.punctuation)
 SPACES = " \t\n\x0b\f\r"  # what \\s means in the SQL expressions
 _BLANKS = re.compile(f"[{SPACES}]+")
+_WORD = re.compile(f"[^{SPACES}]+")
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -97,12 +99,13 @@ class PhraseMatcher:
         self.required = sorted({q for p in patterns for q in p.required})
         self._near_words: dict[str, frozenset[str]] = {}
 
-    def best_per_pattern(self, text: str, min_end: int = 0) -> list[Match]:
-        """Each pattern's best match that ends after ``min_end``: highest score, then leftmost, then longest."""
+    def best_per_pattern(self, text: str, min_end: int = 0, heard: Iterable[str] = ()) -> list[Match]:
+        """Each pattern's best match that ends after ``min_end``: highest score, then leftmost, then longest.
+        ``heard`` are required words that stand before the text."""
         cleaned, where = clean_with_map(text)
         if not cleaned:
             return []
-        near: set[str] = set()
+        near: set[str] = set(heard)
         for word in set(_BLANKS.split(cleaned)):
             near |= self._required_near(word)
         codes = None
@@ -127,6 +130,10 @@ class PhraseMatcher:
                 found.append(Match(pattern.kind, pattern.phrase, *hit))
         return found
 
+    def required_at(self, text: str) -> dict[str, int]:
+        """Required words near some word of the text, and where the last such word starts."""
+        return {q: m.start() for m in _WORD.finditer(text) for q in self._required_near(clean_with_map(m[0])[0])}
+
     def _required_near(self, word: str) -> frozenset[str]:
         """Required words that a word of the text stands for; remembered, since texts repeat their words."""
         got = self._near_words.get(word)
@@ -183,10 +190,10 @@ class PhraseMatcher:
         score, start, step = best[0], -best[1], best[2]
         return int(where[start]), int(where[start + step]) + 1, float(score)
 
-    def match_first(self, text: str, min_end: int = 0) -> Match | None:
+    def match_first(self, text: str, min_end: int = 0, heard: Iterable[str] = ()) -> Match | None:
         """The match to act on: earliest end, then highest score; a longer one from the same start wins if it scores
         at least as high."""
-        return choose(self.best_per_pattern(text, min_end))
+        return choose(self.best_per_pattern(text, min_end, heard))
 
 
 def _find_after(cleaned: str, phrase: str, where: np.ndarray, min_end: int) -> int:

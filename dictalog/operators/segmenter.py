@@ -1,7 +1,7 @@
 """Texts to drafts in batch, without walking a source row by row.
 
-Each text is looked at together with the last characters of the texts before it, so boundary phrases are found with
-bounded memory, and within a hot source in parallel. Boundaries then open and close drafts by looking at the next
+Each text is looked at together with the last characters of the texts before it, and the required words heard in the
+last seconds, so boundary phrases are found with bounded memory, and within a hot source in parallel. Boundaries then open and close drafts by looking at the next
 boundary, and the texts, cut at the boundaries, are put together per draft. The streaming form in
 ``streaming.segmenter`` gives the same drafts.
 """
@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dictalog.functions.fuzzy import Match, Pattern, PhraseMatcher, snap
+from dictalog.functions.fuzzy import SPACES, Match, Pattern, PhraseMatcher, clean_with_map, snap
 from dictalog.functions.phrases import default_patterns
+from dictalog.functions.texts import clean_text, near_word
 from dictalog.operators.matching import KEY, MATCH_FIELDS, draft_spans, may_hold_boundary, text_offset_map, widen
 from dictalog.operators.ranges import overlap_join
 from dictalog.operators.slices import KeySlices, neighbour, plan_slices, row_numbers, running
 from dictalog.session import materialize
 
-CONTEXT = 68  # characters carried over: twice the longest default phrase
+CONTEXT = 68  # least number of characters carried over: twice the longest default phrase
 EXPIRY_S = 20.0
 FORCED = "forced end"
 PART_CHARS = 16_000_000
@@ -29,6 +30,39 @@ PART_CHARS = 16_000_000
 _FOUND = T.ArrayType(T.StructType(MATCH_FIELDS + [T.StructField("text", T.StringType())]))
 
 
+def context_width(patterns: list[Pattern]) -> int:
+    """Characters carried over: twice the longest phrase, which leaves room for punctuation."""
+    return max([CONTEXT, *(2 * len(clean_with_map(p.phrase)[0]) for p in patterns)])
+
+
+def add_heard(texts: DataFrame, slices: KeySlices, order: str, patterns: list[Pattern], expiry_s: float) -> DataFrame:
+    """Add ``heard``: the required words of the texts before each row that are not older than ``expiry_s`` when it arrives,
+    each with the place in the running text of the last word near it."""
+    required = sorted({q for p in patterns for q in p.required})
+    none = F.array().cast("array<struct<word: string, at: bigint>>")
+    if not required:
+        return texts.withColumn("heard", none)
+    words = F.split("text", f"[{SPACES}]", -1)
+    rows = texts.withColumns({"_w": words, "_clean": F.transform(words, clean_text)})
+
+    def last_near(q: str) -> Column:
+        return F.array_max(F.transform("_clean", lambda w, n: F.when(near_word(w, F.lit(q)), n)))
+
+    last = {f"_n{i}": last_near(q) for i, q in enumerate(required)}
+    rows = rows.withColumns(last)
+
+    def place(n: Column) -> Column:
+        before = F.length(F.array_join(F.slice("_w", F.lit(1), n), " ")) + F.when(n > 0, 1).otherwise(0)
+        return F.when(n.isNotNull(), F.struct((F.col("start_pos") + before).alias("at"), F.col("audio_end_time").alias("t")))
+
+    rows = rows.withColumns({f"_h{i}": place(F.col(f"_n{i}")) for i in range(len(required))}).drop("_w", "_clean", *last)
+    got = running(rows, slices, [order], lasts={f"_b{i}": F.col(f"_h{i}") for i in range(len(required))}, inclusive=False)
+    fresh = lambda i: F.col("audio_end_time") - F.col(f"_b{i}.t") <= expiry_s
+    each = [F.when(fresh(i), F.struct(F.lit(q).alias("word"), F.col(f"_b{i}.at").alias("at"))) for i, q in enumerate(required)]
+    heard = F.filter(F.array(*each), lambda x: x.isNotNull()).cast("array<struct<word: string, at: bigint>>")
+    return got.withColumn("heard", heard).select(*texts.columns, "heard")
+
+
 def add_context(texts: DataFrame, slices: KeySlices, order: str, expiry_s: float, width: int = CONTEXT) -> DataFrame:
     """Add ``ctx``: the last ``width`` characters of the running text before each row (with its seam).
 
@@ -94,17 +128,24 @@ def _across_slices(rows: DataFrame, slices: KeySlices, order: str, width: int) -
     )
 
 
-def walk(matcher: PhraseMatcher, view: str, fixed: int, used: int) -> list[tuple[Match, int, int, str]]:
+def walk(matcher: PhraseMatcher, view: str, fixed: int, used: int, heard: dict[str, int] | None = None) -> list[tuple[Match, int, int, str]]:
     """All boundaries of ``view`` in order. ``fixed`` leading characters are context; a boundary must end after them.
-    ``used`` leading characters belong to an earlier boundary."""
-    out, at = [], used
-    while (hit := matcher.match_first(view[at:], max(0, fixed - at))) is not None:
+    ``used`` leading characters belong to an earlier boundary. ``heard`` are required words behind the last boundary, and their
+    places seen from the start of ``view``."""
+    out, at, heard = [], used, heard or {}
+    while (hit := matcher.match_first(view[at:], max(0, fixed - at), heard)) is not None:
         lo, hi = snap(view[at:], hit)
         out.append((hit, at + lo, at + hi, view[at + hit.start : at + hit.end]))
         at += hi
+        heard = {q: n for q, n in heard.items() if n >= at}
     return out
 
 
+def _places(heard, view_start: int, used_upto: int = -1) -> dict[str, int]:
+    """Required words that no boundary has used up, and their places seen from ``view_start``."""
+    return {x["word"]: x["at"] - view_start for x in heard if x["at"] >= used_upto}
+
+
 def _as_rows(found: list, fixed: int) -> list[dict]:
     return [
         {"kind": m.kind, "phrase": m.phrase, "start": lo - fixed, "end": hi - fixed, "score": m.score, "text": said}
@@ -121,8 +162,10 @@ def find_boundaries(
     pass. Hot sources are spread over slices: their rows are
     looked at on their own first, and only rows whose result depends on the rows before are then gone through in order.
     """
-    rows = add_context(placed, slices, order, expiry_s)
-    likely = rows.select(KEY, order, "start_pos", "text", "ctx").filter(may_hold_boundary(F.concat("ctx", "text"), patterns))
+    rows = add_context(add_heard(placed, slices, order, patterns, expiry_s), slices, order, expiry_s, context_width(patterns))
+    anchors = sorted({p.required[0] for p in patterns if p.required})
+    near = F.exists("heard", lambda x: x["word"].isin(anchors)) if anchors else F.lit(False)
+    likely = rows.select(KEY, order, "start_pos", "text", "ctx", "heard").filter(near | may_hold_boundary(F.concat("ctx", "text"), patterns))
     if slices.trivial:
         # the pass needs whole sources in order: say so, whatever the plan before it has left
         ordered = spread(likely.withColumn("_chain", F.lit(0).cast("long")), KEY).sortWithinPartitions(KEY, order)
@@ -162,11 +205,12 @@ def _alone(patterns: list[Pattern]):
         matcher = PhraseMatcher(patterns)
         for pdf in batches:
             found, depends = [], []
-            for ctx, text in zip(pdf["ctx"], pdf["text"]):
-                full = matcher.best_per_pattern(ctx + text, len(ctx))
+            for ctx, text, start, heard in zip(pdf["ctx"], pdf["text"], pdf["start_pos"], pdf["heard"]):
+                places = _places(heard, start - len(ctx))
+                full = matcher.best_per_pattern(ctx + text, len(ctx), places)
                 bare = matcher.best_per_pattern(text, 0)
                 moved = [Match(m.kind, m.phrase, m.start + len(ctx), m.end + len(ctx), m.score) for m in bare]
-                found.append(_as_rows(walk(matcher, ctx + text, len(ctx), 0), len(ctx)) if full else [])
+                found.append(_as_rows(walk(matcher, ctx + text, len(ctx), 0, places), len(ctx)) if full else [])
                 depends.append(full != moved)
             pdf["found"], pdf["depends"] = found, depends
             yield pdf[[bool(f) or d for f, d in zip(found, depends)]]
@@ -185,8 +229,8 @@ def _in_order(patterns: list[Pattern]):
             known = list(pdf["found"]) if "found" in pdf else [None] * len(pdf)
             settled = ~pdf["depends"] if "depends" in pdf else [False] * len(pdf)
             out = []
-            for source, number, ctx, text, start, have, done in zip(
-                pdf[KEY], pdf["_chain"], pdf["ctx"], pdf["text"], pdf["start_pos"], known, settled
+            for source, number, ctx, text, start, heard, have, done in zip(
+                pdf[KEY], pdf["_chain"], pdf["ctx"], pdf["text"], pdf["start_pos"], pdf["heard"], known, settled
             ):
                 if (source, number) != chain:
                     chain, used_upto = (source, number), -1
@@ -194,7 +238,8 @@ def _in_order(patterns: list[Pattern]):
                 if done:
                     rows = list(have)
                 else:
-                    rows = _as_rows(walk(matcher, ctx + text, len(ctx), max(0, used_upto - view_start)), len(ctx))
+                    places = _places(heard, view_start, used_upto)
+                    rows = _as_rows(walk(matcher, ctx + text, len(ctx), max(0, used_upto - view_start), places), len(ctx))
                 if rows:
                     used_upto = start + rows[-1]["end"]
                 out.append(rows)

@@ -1,7 +1,7 @@
 """Texts to drafts, one micro-batch after the other, with the state of each source kept between batches.
 
-Gives the same drafts as ``operators.segmenter``. State per source: the last characters of the running text, where the
-last boundary ended, the open draft, and the text of the open draft as a list of appended pieces.
+Gives the same drafts as ``operators.segmenter``. State per source: the last characters of the running text, where
+its required words were last heard, where the last boundary ended, the open draft, and the text of the open draft as a list of appended pieces.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dictalog.functions.fuzzy import SPACES, Pattern, PhraseMatcher
 from dictalog.functions.phrases import default_patterns
-from dictalog.operators.segmenter import CONTEXT, EXPIRY_S, FORCED, PART_CHARS, walk
+from dictalog.operators.segmenter import EXPIRY_S, FORCED, PART_CHARS, context_width, walk
 
 OUTPUT = T.StructType(
     [
@@ -34,7 +34,7 @@ OUTPUT = T.StructType(
     ]
 )
 _ONE_TEXT = T.StructType([T.StructField("v", T.StringType())])
-_FRESH = {"pos": 0, "tail": "", "used": 0, "spans": [], "prev_end": None, "seq": None, "open": None}
+_FRESH = {"pos": 0, "tail": "", "used": 0, "spans": [], "heard": {}, "prev_end": None, "seq": None, "open": None}
 
 
 class DraftSegmenter(StatefulProcessor):
@@ -47,7 +47,7 @@ class DraftSegmenter(StatefulProcessor):
         self.handle = handle
         self.cursor = handle.getValueState("cursor", _ONE_TEXT)
         self.body = handle.getListState("body", _ONE_TEXT)
-        self.matcher = PhraseMatcher(self.patterns)
+        self.matcher, self.width = PhraseMatcher(self.patterns), context_width(self.patterns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
@@ -80,7 +80,7 @@ class DraftSegmenter(StatefulProcessor):
         pass
 
     def _load(self):
-        st = json.loads(self.cursor.get()[0]) if self.cursor.exists() else {**_FRESH, "spans": []}
+        st = json.loads(self.cursor.get()[0]) if self.cursor.exists() else {**_FRESH, "spans": [], "heard": {}}
         return st, {"fresh": [], "reset": False}, []
 
     def _save(self, st, pieces) -> None:
@@ -97,7 +97,7 @@ class DraftSegmenter(StatefulProcessor):
     def _take(self, source, st, pieces, out, text, start, end) -> None:
         stale = st["prev_end"] is not None and end - st["prev_end"] > self.expiry_s
         pad = " " if st["tail"] and st["tail"][-1] not in SPACES and text[0] not in SPACES else ""
-        ctx = "" if stale or not st["pos"] else (st["tail"] + pad)[-CONTEXT:]
+        ctx = "" if stale or not st["pos"] else (st["tail"] + pad)[-self.width :]
         if stale:
             ctx = ""
         at = st["pos"] + len(pad)  # absolute start of this text
@@ -105,7 +105,10 @@ class DraftSegmenter(StatefulProcessor):
         st["spans"] = [s for s in st["spans"] if s[0] > lo] + [[at + len(text), start]]
         cut = 0  # characters of this text (after the pad) already given to a draft or dropped
         lead = pad
-        for m, a, b, said in walk(self.matcher, ctx + text, len(ctx), max(0, st["used"] - lo)):
+        # a state saved by an earlier release has no "heard"
+        st["heard"] = {q: (n, t) for q, (n, t) in st.get("heard", {}).items() if end - t <= self.expiry_s}
+        heard = {q: n - lo for q, (n, t) in st["heard"].items() if n >= st["used"]}
+        for m, a, b, said in walk(self.matcher, ctx + text, len(ctx), max(0, st["used"] - lo), heard):
             a, b = lo + a, lo + b
             st["used"] = b
             if st["open"]:
@@ -122,7 +125,8 @@ class DraftSegmenter(StatefulProcessor):
             st["open"]["chars"] += len(lead) + len(text) - cut
             if st["open"]["chars"] > self.part_chars:
                 self._emit_part(source, st["open"], pieces, out)
-        st["tail"] = (("" if stale else st["tail"]) + pad + text)[-CONTEXT:]
+        st["tail"] = (("" if stale else st["tail"]) + pad + text)[-self.width :]
+        st["heard"].update({q: (at + n, end) for q, n in self.matcher.required_at(text).items()})
         st["pos"] = at + len(text)
         st["prev_end"] = end
 
@@ -133,7 +137,7 @@ class DraftSegmenter(StatefulProcessor):
     def _emit_part(self, source, o, pieces, out) -> None:
         """Hand on the text of a very long draft but for its last characters, which a boundary may still claim."""
         text = self._body_text(pieces)
-        done, kept = text[:-CONTEXT], text[-CONTEXT:]
+        done, kept = text[: -self.width], text[-self.width :]
         out.append(("part", source, _ident(source, o["at"]), o["said"], None, done, o["first"], None, False, o["at"], o["part"]))
         o.update(body_start=o["body_start"] + len(done), chars=len(kept), part=o["part"] + 1)
         pieces["fresh"], pieces["reset"] = [kept], True

@@ -112,3 +112,29 @@ def test_markers_of_conversations(spark):
     drafts = build_drafts(texts, KeySlices("source_id", "seq")).collect()
     assert len(drafts) == texts.filter("marker = 'start'").count()
     assert len({d["draft_id"] for d in drafts}) == len(drafts)
+
+
+def test_required_words_and_long_phrases_far_back(spark):
+    """A required word counts for 20 seconds however far back it stands, unless a boundary has used it up; phrases of any length
+    are found when split over texts. Batch, sliced and stream alike."""
+    from dictalog.functions.fuzzy import Pattern
+    from dictalog.streaming.runner import run_available, stream_of
+    from dictalog.streaming.segmenter import stream_drafts
+
+    filler = "and so on we went along the river " * 8
+    long = "please open the big brown book of the harbour office and turn to the page with the tide tables for the month"
+    patterns = default_patterns() + [Pattern("start", long, ("tide",))]
+    rows = []
+    for source, wait, first in (("near", 10.0, "new shoes"), ("old", 21.0, "new shoes"), ("used", 10.0, "new shoes freddy break break")):
+        rows += [(source, 0, first, 0.0, 1.0), (source, 1, filler, 1.0, 2.0), (source, 2, "freddy draft now", 2.0, 1.0 + wait), (source, 3, "oars", 22.0, 23.0)]
+    rows += [("long", i, part, float(i), i + 1.0) for i, part in enumerate([long[:50], long[50:101].strip(), long[101:].strip() + " oars"])]
+    df = _frame(spark, rows)
+    got = {}
+    for name, slices in (("whole", KeySlices("source_id", "seq")), ("sliced", plan_slices(df, "source_id", "seq", max_rows=2))):
+        got[name] = sorted((r.source_id, r.opened_at, r.full_text.strip()) for r in build_drafts(df, slices, patterns=patterns).collect())
+    stops = _frame(spark, [(s, 9, None, 30.0, 30.0) for s in ("near", "old", "used", "long")])
+    events = run_available(stream_drafts(stream_of(df.unionByName(stops), "far"), patterns), "far").filter("kind = 'end'").collect()
+    got["stream"] = sorted((r.source_id, r.opened_at, r.full_text.strip()) for r in events)
+    opened = len("new shoes ") + len(filler)
+    for name, found in got.items():
+        assert found == [("long", 0, "oars"), ("near", opened, "oars")], name
