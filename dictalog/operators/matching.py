@@ -96,6 +96,33 @@ def exact_candidates(texts: DataFrame, patterns: DataFrame, text: str = "text")
     )
 
 
+def scored_candidates(texts: DataFrame, patterns: list[fuzzy.Pattern] | None = None, text: str = "text") -> DataFrame:
+    """Every pattern that scores in a text, with its best place in the cleaned text and that score.
+
+    Each pattern is aligned with every window of the text, misspelt ones too; texts without a plausible boundary word never
+    reach Python.
+    """
+    wanted = patterns or default_patterns()
+
+    def scan(batches: Iterator) -> Iterator:
+        matcher = fuzzy.PhraseMatcher(wanted)
+        for pdf in batches:
+            found = [matcher.best_per_pattern(t) for t in pdf["_clean"]]
+            pdf["_m"] = [[(m.kind, m.phrase, m.start, m.end, m.score) for m in hits] for hits in found]
+            yield pdf
+
+    rows = texts.withColumn("_clean", clean_text(F.col(text))).filter(may_hold_boundary(F.col(text), wanted))
+    schema = widen(rows.schema, _m=T.ArrayType(T.StructType(MATCH_FIELDS)))
+    return rows.mapInPandas(scan, schema).select(*texts.columns, F.explode("_m").alias("_x")).select(
+        *texts.columns,
+        F.col("_x.kind").alias("kind"),
+        F.trim("_x.phrase").alias("phrase"),
+        F.col("_x.start").cast("long").alias("m_start"),
+        F.col("_x.end").cast("long").alias("m_end"),
+        F.col("_x.score").alias("score"),
+    )
+
+
 def best_match_per_pattern(candidates: DataFrame, text_key: str) -> DataFrame:
     """Highest score, then leftmost start, then longest, per text and pattern."""
     best = F.min_by(

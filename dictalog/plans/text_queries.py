@@ -37,14 +37,20 @@ strpos(clean, phrase) - 1 + length(phrase) AS m_end, CAST(100.0 AS DOUBLE) AS sc
 FROM (SELECT event_id, {CLEAN_SQL} AS clean FROM v_texts) t, {PATTERNS_SQL} p WHERE strpos(clean, phrase) > 0"""
 
 
+def _scored(spark, sf):
+    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    return M.scored_candidates(rows).drop("text")
+
+
 def _candidates(spark, sf):
+    """Phrases that stand in a text word for word."""
     rows = views.texts(spark, sf).select("event_id", "text")
     return M.exact_candidates(rows, patterns_frame(spark)).select("event_id", "kind", "phrase", "m_start", "m_end", "score")
 
 
 @query("j9_pattern_candidates", CANDIDATES_SQL)
 def j9(spark, sf):
-    return _candidates(spark, sf)
+    return _scored(spark, sf)
 
 
 @query(
@@ -65,7 +71,7 @@ def x4(spark, sf):
         ORDER BY score DESC, m_start, m_end DESC) AS rn FROM ({CANDIDATES_SQL}) c) x WHERE rn = 1""",
 )
 def a8(spark, sf):
-    return M.best_match_per_pattern(_candidates(spark, sf), "event_id")
+    return M.best_match_per_pattern(_scored(spark, sf), "event_id")
 
 
 @query(
@@ -76,7 +82,7 @@ def a8(spark, sf):
         WHERE rn = 1) l ON c.event_id = l.event_id AND c.m_start = l.m_start AND c.score >= l.score) x WHERE rn = 1""",
 )
 def a9(spark, sf):
-    return M.best_match_overall(M.best_match_per_pattern(_candidates(spark, sf), "event_id"), "event_id")
+    return M.best_match_overall(M.best_match_per_pattern(_scored(spark, sf), "event_id"), "event_id")
 
 
 # In the fixture every text holds at most one injected phrase, word for word.

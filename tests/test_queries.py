@@ -47,3 +47,21 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_misspelt_candidates(spark, tmp_path):
+    """Misspelt and misheard boundaries are candidates of J9 with their own scores, and A8 and A9 rank by them."""
+    from pyspark.sql import functions as F
+
+    from dictalog.plans import views
+
+    rows = [(1, "Fredy take this down please"), (2, "so, freddy brake break freddy break break"), (3, "nothing here")]
+    real = views.texts
+    views.texts = lambda s, sf: spark.createDataFrame(rows, "event_id LONG, text STRING").withColumn("source_id", F.lit("a"))
+    try:
+        got = {n: QUERIES[n].run(spark, SF).filter("phrase in ('freddy take this down', 'freddy break break')").collect() for n in ("j9_pattern_candidates", "a8_best_match_per_pattern", "a9_best_match_overall")}
+    finally:
+        views.texts = real
+    for name, found in got.items():
+        at = {r.event_id: (r.phrase, r.m_start, r.m_end, round(r.score, 6)) for r in found}
+        assert at == {1: ("freddy take this down", 0, 20, round(200 * 20 / 41, 6)), 2: ("freddy break break", 22, 40, 100.0)}, name
