@@ -357,6 +357,22 @@ def t1_tied(spark, sf):
     return drafts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("forced"), 1).otherwise(0)).alias("n_forced"))
 
 
+ALL_TIED_SQL = "SELECT source_id, 0 AS seq, text, marker, audio_start_time, audio_end_time FROM {texts} WHERE marker IS NOT NULL"
+
+
+@query(
+    "t1_tied_whole",
+    f"""SELECT count(*) AS n, sum(CASE WHEN forced THEN 1 ELSE 0 END) AS n_forced FROM (
+        SELECT source_id, audio_start_time, marker, coalesce(lead(marker) OVER (PARTITION BY source_id ORDER BY audio_start_time), 'none') = 'none' AS forced
+        FROM ({ALL_TIED_SQL.format(texts="v_texts")}) t) x WHERE marker = 'start'""",
+)
+def t1_tied_whole(spark, sf):
+    """All marked texts of a source have one sequence number, in whole sources."""
+    rows = spark.sql(ALL_TIED_SQL.format(texts="{texts}"), texts=views.texts(spark, sf))
+    drafts = S.build_drafts(rows, views.text_slices(rows))
+    return drafts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("forced"), 1).otherwise(0)).alias("n_forced"))
+
+
 @query("t3_forced_end", f"SELECT source_id, opened_at, audio_end_time FROM ({DRAFTS_SQL}) x WHERE forced")
 def t3(spark, sf):
     events = run_available(stream_drafts(text_stream(spark, sf)), "forced")

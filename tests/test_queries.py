@@ -65,3 +65,9 @@ def test_misspelt_candidates(spark, tmp_path):
     for name, found in got.items():
         at = {r.event_id: (r.phrase, r.m_start, r.m_end, round(r.score, 6)) for r in found}
         assert at == {1: ("freddy take this down", 0, 20, round(200 * 20 / 41, 6)), 2: ("freddy break break", 22, 40, 100.0)}, name
+
+
+def test_all_texts_tied_with_hot_sources(spark, con, small_slices):
+    """Whole sources of one sequence number, more rows than a slice may hold."""
+    q = QUERIES["t1_tied_whole"]
+    assert compare.compare(q.run(spark, SF), con, q.oracle) == ""
