@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.llm import disclosure, exact_dedup, fm_index, mixing, parity, pieces, postings, ring, subwords, suffixes
+from dictalog.llm import collocations, disclosure, exact_dedup, fm_index, licenses, mixing, negatives, parity, pieces, postings, ring, subwords, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,67 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = subwords.score(docs, model)
     held_out = F.coalesce(_fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("licenses.found")
+    base = F.filter(found, lambda x: x["base"])
+    places = F.transform(base, lambda x: x["first"])
+    listed = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda x: x["label"]))), ",")
+    return out.select(
+        "doc_id",
+        F.col("licenses.n_words").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(found).alias("labels"),
+        F.col("licenses.score").alias("score"),
+    )
+
+
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+      FROM v a JOIN v r ON len(a.q) = len(r.q) AND a.vec_id IS DISTINCT FROM r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@_query("op12_gnat_negatives", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')), '[^ 	]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT c.*, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < words),
+s AS (SELECT x.lang, x.phrase, words, a, x.k, h.n AS l, t.n AS r, CAST((1000000::HUGEINT * a * a) // (h.n::HUGEINT * t.n) AS BIGINT) AS score
+      FROM x JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f t ON t.lang = x.lang AND t.phrase = x.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY ALL)
+SELECT b.lang, CAST(row_number() OVER o AS INTEGER) AS rank, b.phrase, a, l, r, n.n, score
+FROM b JOIN n USING (lang) LEFT JOIN around u ON u.lang = b.lang AND u.phrase = b.phrase
+WHERE u.longer IS NULL OR 100 * u.longer < 50 * a
+WINDOW o AS (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) QUALIFY row_number() OVER o <= 2000
+"""
+
+
+@_query("op13_toivonen_phrases", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
