@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PROMPT = "Rupert, Freddy, Bubba, Babbage, draft, close, break"  # fixed value: words the transcriber is primed with
-
 
 def _more(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType(df.schema.fields + [T.StructField(name, kind)])
 
 
 def transcribe(
-    batches: DataFrame, make: Callable[[], Callable[[np.ndarray, int, str], list[str]]], prompt: str = PROMPT
+    batches: DataFrame, make: Callable[[], Callable[[np.ndarray, int, str], list[str]]], prompt: str = ""
 ) -> DataFrame:
-    """Add ``segments ARRAY<STRING>``: what the user's ``f(samples, rate, prompt)`` hears in each batch."""
+    """Add ``segments ARRAY<STRING>``: what the user's ``f(samples, rate, prompt)`` hears in each batch (null where there are no samples).
+
+    ``prompt`` is for words that the transcriber is to be primed with.
+    """
 
     def run(frames: Iterator) -> Iterator:
         hear = make()
         for pdf in frames:
-            pdf["segments"] = [list(hear(np.asarray(s), int(r), prompt)) for s, r in zip(pdf["samples"], pdf["sample_rate"])]
+            pdf["segments"] = [None if s is None else list(hear(np.asarray(s), int(r), prompt)) for s, r in zip(pdf["samples"], pdf["sample_rate"])]
             yield pdf
 
     return batches.mapInPandas(run, _more(batches, "segments", T.ArrayType(T.StringType())))

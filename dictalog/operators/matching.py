@@ -49,11 +49,15 @@ def assemble_text(segments: DataFrame, by: list[str], order: str = "seq") -> Dat
     return segments.groupBy(*by).agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))
 
 
+def has_text(segments: Column) -> Column:
+    """Some segment, and not just one '[BLANK_AUDIO]'."""
+    blank = (F.size(segments) == 1) & (F.get(segments, F.lit(0)) == "[BLANK_AUDIO]")
+    return (F.size(segments) > 0) & ~blank
+
+
 def drop_blank_audio(jobs: DataFrame, segments: str = "segments") -> DataFrame:
-    """Jobs that produced text: some segment, and not just one '[BLANK_AUDIO]'."""
-    seg = F.col(segments)
-    blank = (F.size(seg) == 1) & (F.get(seg, F.lit(0)) == "[BLANK_AUDIO]")
-    return jobs.filter((F.size(seg) > 0) & ~blank)
+    """Jobs that produced text."""
+    return jobs.filter(has_text(F.col(segments)))
 
 
 def pattern_candidates(texts: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:

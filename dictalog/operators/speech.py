@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dictalog.functions.samples import pcm16_encode, silence
 from dictalog.operators.ranges import lookback, range_join
-from dictalog.operators.slices import KeySlices, running, union_all
+from dictalog.operators.slices import KeySlices, neighbour, running, union_all
 
 KEY = "source_id"
 
@@ -243,6 +243,30 @@ def draft_audio_range(
     return range_join(chunks, drafts, KEY, "ts_us", F.col("start_us"), F.col("stop_us"), bin_us, spread=spread)
 
 
+def rescan_ranges(drafts: DataFrame, slices: KeySlices, reach_us: int = 30_000_000) -> DataFrame:
+    """From and to of the audio that a rescan hears: ``_from``, ``_to`` (inclusive).
+
+    ``drafts(source_id, draft_id, start_us, audio_start_us, end_us)``: the times of the start and end events (null: none came) and of the first audio. Audio is
+    held ``reach_us`` before the start event at most, from the end of the draft before; a start ends the draft before.
+    """
+    order = ["start_us", "draft_id"]
+    next_ = neighbour(drafts, slices, order, {"_next": F.col("start_us")})
+    both = neighbour(next_, slices, order, {"_prev": F.struct("start_us", F.coalesce("end_us", F.lit((1 << 62))).alias("end_us"))}, forward=False)
+    fresh = F.when(F.col("_prev.end_us") < F.col("start_us"), F.col("_prev.end_us") + 1).otherwise(F.when(F.col("_prev").isNotNull(), F.col("start_us")))
+    low = F.greatest(F.least(F.coalesce("audio_start_us", "start_us"), F.col("start_us")), F.col("start_us") - reach_us, fresh)
+    high = F.least(F.col("end_us"), F.col("_next") - 1)
+    return both.withColumns({"_from": low, "_to": high}).drop("_next", "_prev")
+
+
+def rescan_audio_range(chunks: DataFrame, drafts: DataFrame, slices: KeySlices, reach_us: int = 30_000_000, bin_us: int = 30_000_000) -> DataFrame:
+    """Chunks that a rescan of each draft hears (``replayed``: held before its start event). A draft without an end hears up to the next start or the last chunk."""
+    ranges = rescan_ranges(drafts, slices, reach_us)
+    last = chunks.groupBy(KEY).agg(F.max("ts_us").alias("_last"))
+    ranges = ranges.join(last, KEY).withColumn("_to", F.coalesce("_to", "_last")).drop("_last")
+    pairs = range_join(chunks, ranges, KEY, "ts_us", F.col("_from"), F.col("_to"), bin_us)
+    return pairs.withColumn("replayed", F.col("ts_us") < F.col("start_us")).drop("_from", "_to")
+
+
 def draft_clips(
     chunks: DataFrame,
     drafts: DataFrame,

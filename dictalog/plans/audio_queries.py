@@ -12,9 +12,11 @@ from dictalog.operators.matching import assemble_text, drop_blank_audio
 from dictalog.operators.slices import plan_slices
 from dictalog.plans import views
 from dictalog.plans.registry import query
+from dictalog.plans.text_queries import DRAFTS_SQL, persisted
+from dictalog.session import shared_dir
 from dictalog.sources import audio_files, segment_spec
 from dictalog.streaming import audio as SA
-from dictalog.streaming import live
+from dictalog.streaming import hearing, live, rescan
 from dictalog.streaming.runner import run_available, stream_of
 
 SILENCE_US = 64_000
@@ -498,14 +500,119 @@ def t5(spark, sf):
 
 @query(
     "t9_micro_batch_transcribe",
-    f"""SELECT source_id, speech_no, batch_no, CAST(sum(n_samples) AS BIGINT) AS n_samples, min(ts_us) AS first_us, max(ts_us) AS last_us
-        FROM {BATCHED_SQL} x GROUP BY 1, 2, 3""",
+    f"""SELECT source_id, speech_no, batch_no, first_us, last_us, concat('heard ', CAST(n AS STRING)) AS text FROM (SELECT source_id, speech_no, batch_no,
+        CAST(sum(n_samples) AS BIGINT) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM {BATCHED_SQL} x GROUP BY 1, 2, 3) y WHERE n >= 128""",
 )
 def t9(spark, sf):
-    tagged = _tagged(spark, sf, with_data=True)[0].filter("in_speech").select("source_id", "speech_no", "ts_us", "data")
-    cols = [("source_id", None), ("speech_no", "bigint"), ("ts_us", None), ("data", "array<float>")]
+    """Batches of a stream through the transcriber, within the stream."""
+    tagged = _tagged(spark, sf, with_data=True)[0].filter("in_speech").select("source_id", "speech_no", "ts_us", "sample_rate", "data")
+    cols = [("source_id", None), ("speech_no", "bigint"), ("ts_us", None), ("sample_rate", "int"), ("data", "array<float>")]
     stream = stream_of(tagged.unionByName(_end_row(tagged, cols)), "speech")
-    return run_available(SA.stream_batches(stream, BATCH), "batches").drop("samples")
+    batches = SA.stream_batches(stream, BATCH)
+    texts = run_available(hearing.texts_of_stream(batches, _hear), "texts").filter("text IS NOT NULL")
+    last = F.round(F.col("audio_end_time") * 1e6).cast("bigint") - 32_000
+    return texts.select("source_id", "speech_no", "batch_no", F.col("seq").alias("first_us"), last.alias("last_us"), "text")
+
+
+_CHUNK_COLUMNS = [("source_id", None), ("ts_us", None), ("chunk_id", "bigint"), ("speech_score", "double"), ("sample_rate", "int"), ("data", "array<float>")]
+
+
+def chunk_stream(spark, sf):
+    """The scored chunks as a watermarked stream, later by EPOCH_US, each source followed by a row without a chunk."""
+    rows = views.chunks(spark, sf)[0].select(*[c for c, _ in _CHUNK_COLUMNS]).withColumn("ts_us", F.col("ts_us") + EPOCH_US)
+    ends = _end_row(rows, _CHUNK_COLUMNS)
+    clock = ends.withColumns({"source_id": F.lit("\u0000clock"), "ts_us": F.col("ts_us") + 3_600_000_000})  # lets the ends through
+    return _timed(stream_of(rows.unionByName(ends).unionByName(clock), "chunks"))
+
+
+def _dictate():
+    """A stand-in transcriber: full batches open a draft, those of 128 samples close it, others are words in between."""
+
+    def hear(data, rate, prompt):
+        n = str(data.size)
+        return {192: ["Freddy take this down. heard", n], 128: ["heard", n, " Freddy break break."]}.get(data.size, ["heard", n])
+
+    return hear
+
+
+# What the stand-in says, as a text table.
+DICTATED_SQL = f"""(SELECT source_id, min(ts_us) + {EPOCH_US} AS seq, concat('t-', CAST(min(chunk_id) AS STRING)) AS event_id, CASE sum(n_samples) WHEN 192 THEN 'Freddy take this down. heard 192'
+ WHEN 128 THEN 'heard 128 Freddy break break.' ELSE concat('heard ', CAST(sum(n_samples) AS STRING)) END AS text, CASE sum(n_samples) WHEN 192 THEN 'start' WHEN 128 THEN 'end' END AS marker,
+ (min(ts_us) + {EPOCH_US}) / 1e6 AS audio_start_time, (max(ts_us) + {EPOCH_US} + 32000) / 1e6 AS audio_end_time FROM {BATCHED_SQL} x GROUP BY source_id, speech_no, batch_no)"""
+
+
+@query("t9_audio_to_drafts", f"SELECT source_id, opened_at, full_text, forced FROM ({DRAFTS_SQL.replace('v_texts', DICTATED_SQL)}) x")
+def t9_drafts(spark, sf):
+    """Chunks to stored drafts in one stream: speech, batches, transcriber, boundaries, validated append."""
+    events = hearing.stream_audio_to_drafts(
+        chunk_stream(spark, sf), _dictate, threshold=THRESHOLD, silence_us=SILENCE_US, batch_samples=BATCH, prebuffer_us=0
+    )
+    return persisted(spark, events)
+
+
+@query(
+    "x1_three_taps",
+    f"""SELECT 'raw' AS tap, source_id, 'AudioChunkEvent' AS event_class, ts_us, chunk_id, CAST(NULL AS BOOLEAN) AS in_speech FROM v_chunks UNION ALL
+        SELECT 'merged', source_id, 'AudioChunkEvent', ts_us, chunk_id, in_speech FROM {TAGGED_SQL} t UNION ALL
+        SELECT tap, source_id, 'AudioSpeechStartEvent', start_us, NULL, true FROM {SEGMENTS_SQL} s, (SELECT unnest(['vad', 'merged']) AS tap) UNION ALL
+        SELECT tap, source_id, 'AudioSpeechStopEvent', last_speech_us + 64001, NULL, false FROM {SEGMENTS_SQL} s, (SELECT unnest(['vad', 'merged']) AS tap)""",
+)
+def x1_three(spark, sf):
+    """A handler on each tap of one stream stores what it gets."""
+    path = shared_dir(spark, "three-taps")
+    taps = live.Taps()
+    columns = ["source_id", "event_class", "ts_us", "chunk_id", "in_speech"]
+    store = lambda tap: lambda group, rows: rows.select(*columns).write.mode("append").parquet(f"{path}/tap={tap}") if group == "audio" else None
+    for tap in taps.NAMES:
+        taps.attach(tap, store(tap))
+    live.listen(hearing.tapped(chunk_stream(spark, sf), THRESHOLD, SILENCE_US), taps, "three-taps")
+    got = spark.read.schema("source_id STRING, event_class STRING, ts_us BIGINT, chunk_id BIGINT, in_speech BOOLEAN, tap STRING").parquet(path)
+    return got.withColumn("ts_us", F.col("ts_us") - EPOCH_US)
+
+
+RING_US = 320_000
+# Every second speech segment as a remote draft: its start event comes at the last speech, its audio from well before it, its end event later; every sixth never ends.
+REMOTE_SQL = f"""(SELECT source_id, concat(source_id, '-', CAST(speech_no AS STRING)) AS draft_id, start_us - 480000 AS audio_start_us, last_speech_us AS start_us,
+ CASE WHEN speech_no % 6 <> 0 THEN last_speech_us + 96000 * (speech_no % 4) END AS end_us FROM {SEGMENTS_SQL} g WHERE speech_no % 2 = 0)"""
+
+
+def _remote_drafts(segs):
+    no = F.col("speech_no")
+    return segs.filter(no % 2 == 0).select(
+        "source_id", F.concat_ws("-", "source_id", "speech_no").alias("draft_id"), (F.col("start_us") - 480_000).alias("audio_start_us"),
+        F.col("last_speech_us").alias("start_us"), F.when(no % 6 != 0, F.col("last_speech_us") + 96_000 * (no % 4)).alias("end_us"),
+    )
+
+
+RESCANNED_SQL = f"""SELECT w.draft_id, c.chunk_id, c.ts_us < w.start_us AS replayed FROM (SELECT *, greatest(audio_start_us, start_us - {RING_US},
+ CASE WHEN before IS NULL THEN audio_start_us WHEN before.stop < start_us THEN before.stop + 1 ELSE start_us END) AS low,
+ coalesce(least(end_us, after - 1), 1000000000000000) AS high FROM (SELECT *, lead(start_us) OVER o AS after,
+ lag(struct_pack(stop := coalesce(end_us, 1000000000000000))) OVER o AS before FROM {REMOTE_SQL} d WINDOW o AS (PARTITION BY source_id ORDER BY start_us, draft_id)) a) w
+ JOIN v_chunks c ON c.source_id = w.source_id AND c.ts_us BETWEEN w.low AND w.high"""
+
+
+@query("t7_rescan_audio", RESCANNED_SQL)
+def t7_audio(spark, sf):
+    """Each remote draft with its audio: what the ring held from its audio start on, then the chunks until its end."""
+    segs, tagged, _ = _segments(spark, sf)
+    rows = tagged.select("source_id", "ts_us", "chunk_id", "sample_rate", F.array(F.lit(0.0)).cast("array<float>").alias("data"))
+    remote = _remote_drafts(segs)
+    starts = remote.select("source_id", F.col("start_us").alias("ts_us"), "draft_id", "audio_start_us")
+    ends = remote.filter("end_us IS NOT NULL").select("source_id", F.col("end_us").alias("ts_us"), "draft_id")
+    events = rescan.rescan_events(rows, starts, ends).withColumn("ts_us", F.col("ts_us") + EPOCH_US).withColumn("audio_start_us", F.col("audio_start_us") + EPOCH_US)
+    columns = [(c, t) for c, t in events.dtypes]
+    flow = events.unionByName(_end_row(events, columns).withColumn("prio", F.lit(rescan.END)))
+    audio = run_available(rescan.rescan_audio(_timed(stream_of(flow, "remote")), RING_US), "rescan-audio")
+    return audio.filter("kind <> 'end'").select("draft_id", "chunk_id", (F.col("kind") == "replay").alias("replayed"))
+
+
+@query("t7_rescan_audio_batch", RESCANNED_SQL)
+def t7_audio_batch(spark, sf):
+    """The same from stored chunks: a range join with the ring's bounds."""
+    segs, tagged, _ = _segments(spark, sf)
+    remote = _remote_drafts(segs)
+    got = A.rescan_audio_range(tagged.select("source_id", "ts_us", "chunk_id"), remote, plan_slices(remote, "source_id", "start_us"), RING_US)
+    return got.select("draft_id", "chunk_id", "replayed")
 
 
 @query(

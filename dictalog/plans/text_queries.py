@@ -430,16 +430,17 @@ def t12(spark, sf):
 @query("s10_persist_ended_drafts", f"SELECT source_id, opened_at, full_text, forced FROM ({DRAFTS_SQL}) x")
 def s10(spark, sf):
     """The segmenter's end events stored through the validated append, micro-batch by micro-batch."""
-    return _persisted(spark, sf, stream_drafts(text_stream(spark, sf)))
+    return persisted(spark, stream_drafts(text_stream(spark, sf)))
 
 
 @query("s10_long_draft", f"SELECT source_id, opened_at, full_text, forced FROM ({DRAFTS_SQL}) x")
 def s10_long(spark, sf):
     """Drafts that come in parts of little more than 40 characters, stored part by part and read whole."""
-    return _persisted(spark, sf, stream_drafts(text_stream(spark, sf), part_chars=40))
+    return persisted(spark, stream_drafts(text_stream(spark, sf), part_chars=40))
 
 
-def _persisted(spark, sf, events):
+def persisted(spark, events):
+    """Draft events through the validated append, micro-batch by micro-batch, and the stored drafts read whole."""
     path = shared_dir(spark, "ended")
 
     def body(batch, number):

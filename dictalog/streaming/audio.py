@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,65 +143,81 @@ def _ordered(events: DataFrame, processor: StatefulProcessor, shape: str) -> Dat
     )
 
 
-class _Batcher(StatefulProcessor):
-    """Collects the speech chunks of a source up to a number of samples, or to the end of the speech."""
+BATCHES = T.StructType(
+    [
+        T.StructField("source_id", T.StringType()),
+        T.StructField("speech_no", T.LongType()),
+        T.StructField("batch_no", T.LongType()),
+        T.StructField("first_us", T.LongType()),
+        T.StructField("last_us", T.LongType()),
+        T.StructField("n_samples", T.LongType()),
+        T.StructField("last_samples", T.LongType()),
+        T.StructField("sample_rate", T.IntegerType()),
+        T.StructField("samples", T.ArrayType(T.FloatType())),
+    ]
+)
 
-    names = ["source_id", "speech_no", "batch_no", "first_us", "last_us", "n_samples", "samples"]
+
+class _Batcher(StatefulProcessor):
+    """Collects the speech chunks of a source up to a number of samples, or to the end of the speech. Chunks wait as bytes in a list
+    that is only appended to until the batch goes out."""
 
     def __init__(self, batch_samples: int):
         self.batch_samples = batch_samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.memo = handle.getValueState("memo", T.StructType([T.StructField("v", T.StringType())]))
-        self.parts = handle.getListState(
-            "parts",
-            T.StructType([T.StructField("ts_us", T.LongType()), T.StructField("data", T.ArrayType(T.FloatType()))]),
-        )
+        self.parts = handle.getListState("parts", T.StructType([T.StructField("data", T.BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         pdf = pd.concat(list(rows)).sort_values("ts_us", kind="stable")  # bounded by the micro-batch size
-        memo = json.loads(self.memo.get()[0]) if self.memo.exists() else {"speech": None, "seen": 0, "batch": 0}
-        held = [(int(r[0]), list(r[1])) for r in self.parts.get()]
+        st = json.loads(self.memo.get()[0]) if self.memo.exists() else {"speech": None, "seen": 0, "batch": 0, "first": None, "last": None, "tail": 0, "rate": None}
+        fresh: list[bytes] = []
+        stored = st["first"] is not None  # some of the open batch is in the state
         out = []
 
         def flush():
-            if held:
-                data = [x for _, d in held for x in d]
-                out.append((key[0], memo["speech"], memo["batch"], held[0][0], held[-1][0], len(data), data))
-                held.clear()
-
-        for ts, speech, data in zip(pdf["ts_us"], pdf["speech_no"], pdf["data"]):
-            if data is None:  # end of stream, or a flush command
+            nonlocal stored
+            if st["first"] is None:
+                return
+            parts = ([bytes(r[0]) for r in self.parts.get()] if stored else []) + fresh
+            data = np.frombuffer(b"".join(parts), np.float32)
+            out.append((key[0], st["speech"], st["batch"], st["first"], st["last"], len(data), st["tail"], st["rate"], data))
+            if stored:
+                self.parts.clear()
+            fresh.clear()
+            stored, st["first"] = False, None
+
+        for ts, speech, rate, data in zip(pdf["ts_us"], pdf["speech_no"], pdf["sample_rate"], pdf["data"]):
+            if data is None:  # end of the source, or a flush command
                 flush()
+                out.append((key[0], None, None, None, int(ts), 0, 0, None, None))
                 continue
-            if memo["speech"] != int(speech):
+            if st["speech"] != int(speech):
                 flush()
-                memo.update(speech=int(speech), seen=0, batch=0)
-            batch = memo["seen"] // self.batch_samples
-            if batch != memo["batch"]:
+                st.update(speech=int(speech), seen=0, batch=0)
+            batch = st["seen"] // self.batch_samples
+            if batch != st["batch"]:
                 flush()
-                memo["batch"] = batch
-            held.append((int(ts), [float(x) for x in data]))
-            memo["seen"] += len(data)
-        self.memo.update((json.dumps(memo),))
-        self.parts.clear()
-        if held:
-            self.parts.appendList(held)
-        yield pd.DataFrame(out, columns=self.names)
+                st["batch"] = batch
+            fresh.append(np.asarray(data, np.float32).tobytes())
+            st.update(first=int(ts) if st["first"] is None else st["first"], last=int(ts), tail=len(data), seen=st["seen"] + len(data), rate=int(rate))
+        self.memo.update((json.dumps(st),))
+        if fresh:
+            self.parts.appendList([(p,) for p in fresh])
+        frame = pd.DataFrame(out, columns=BATCHES.names)
+        yield frame.astype({f.name: "Int64" for f in BATCHES.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))})
 
     def close(self) -> None:
         pass
 
 
 def stream_batches(speech: DataFrame, batch_samples: int) -> DataFrame:
-    """Transcription batches of a stream of speech chunks (source_id, speech_no, ts_us, data). A row with null data
-    flushes its source."""
-    shape = (
-        "source_id STRING, speech_no BIGINT, batch_no BIGINT, first_us BIGINT, last_us BIGINT, n_samples BIGINT, "
-        "samples ARRAY<FLOAT>"
-    )
-    return speech.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_Batcher(batch_samples), outputStructType=shape, outputMode="Append", timeMode="None"
+    """Transcription batches of a stream of speech chunks (source_id, speech_no, ts_us, sample_rate, data). A row with null data
+    flushes its source and goes on as a batch of no samples."""
+    rows = speech.select("source_id", "speech_no", "ts_us", "sample_rate", "data")
+    return rows.groupBy("source_id").transformWithStateInPandas(
+        statefulProcessor=_Batcher(batch_samples), outputStructType=BATCHES, outputMode="Append", timeMode="None"
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from dictalog import schema
 from dictalog.operators.events import match_subscribers
+from dictalog.session import ensure_runtime_conf, shared_dir
 
 
 def heartbeats(pings: DataFrame) -> DataFrame:
@@ -41,6 +44,8 @@ class Taps:
 
     def __init__(self):
         self.handlers: dict[str, list[Callable[[str, DataFrame], None]]] = {n: [] for n in self.NAMES}
+        self.on_ready: list[Callable[[], None]] = []
+        self.on_shutdown: list[Callable[[str | None], None]] = []
 
     def attach(self, tap: str, handler: Callable[[str, DataFrame], None]) -> None:
         """``handler(group, rows)`` gets audio rows of its tap, and all text and draft rows."""
@@ -80,6 +85,50 @@ class Lifecycle(StreamingQueryListener):
         self.on_shutdown(str(event.id), event.exception)
 
 
+class _TapLifecycle(StreamingQueryListener):
+    """Tells a set of taps once when the query of a name is ready, and once when it ends (with its error, if any)."""
+
+    def __init__(self, taps: Taps, name: str):
+        self.taps, self.name, self.ended = taps, name, threading.Event()
+        self.run: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = str(event.runId)
+            for call in self.taps.on_ready:
+                call()
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run:
+            for call in self.taps.on_shutdown:
+                call(event.exception)
+            self.ended.set()
+
+
+def listen(stream: DataFrame, taps: Taps, name: str, endless: bool = False) -> None:
+    """Runs a stream of tapped rows (``hearing.tapped``) for all handlers of all taps, as one query with one life: ready, rows, shutdown.
+
+    Returns when everything available is through, or, if ``endless``, when the query is stopped.
+    """
+    spark = stream.sparkSession
+    ensure_runtime_conf(spark)
+    full = f"{name}-{uuid.uuid4().hex}"
+    life = _TapLifecycle(taps, full)
+    spark.streams.addListener(life)
+    try:
+        writer = stream.writeStream.queryName(full).foreachBatch(taps.batch).option("checkpointLocation", shared_dir(spark, f"{name}-ckpt"))
+        (writer if endless else writer.trigger(availableNow=True)).start().awaitTermination()
+    finally:
+        life.ended.wait(30)
+        spark.streams.removeListener(life)
+
+
 REVISION = T.StructType(
     [
         T.StructField("source_id", T.StringType()),
