@@ -6,9 +6,9 @@ kept as one 64-bit word per window (a bit per phrase character), so a character
 
 from __future__ import annotations
 
+import math
 import re
 import string
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -16,6 +16,8 @@ import numpy as np
 
 RATIO_MIN = 85.0
 WORD_MIN = 90.0
+#: So few windows are aligned one after the other, more of them together.
+FEW_STARTS = 40
 _DROP = str.maketrans("", "", string.punctuation)
 SPACES = " \t\n\x0b\f\r"  # what \\s means in the SQL expressions
 _BLANKS = re.compile(f"[{SPACES}]+")
@@ -64,6 +66,11 @@ def clean_with_map(text: str) -> tuple[str, np.ndarray]:
     return "".join(parts), np.repeat(np.arange(len(text)), [len(p) for p in parts])
 
 
+def normal(phrase: str) -> str:
+    """A phrase as it is looked for: clean, with single blanks."""
+    return _BLANKS.sub(" ", clean_with_map(phrase)[0]).strip()
+
+
 _IS_PUNCT = np.array([chr(i) in string.punctuation for i in range(128)])
 
 
@@ -85,23 +92,65 @@ class Match:
     score: float
 
 
+@dataclass(frozen=True)
+class Dense:
+    """What any good enough window of a phrase has: at least ``least`` characters of the phrase's own, at most ``foreign`` others.
+
+    For a window of w <= m characters with a common subsequence of L, 2 L >= r (m + w): so L >= r m / (2 - r), and w - L <= (1 - r) m.
+    """
+
+    chars: str
+    least: int
+    foreign: int
+
+    @staticmethod
+    def of(phrase: str, ratio_min: float) -> Dense:
+        m, r = len(phrase), ratio_min / 100.0
+        return Dense("".join(sorted(set(phrase))), max(1, math.ceil(r * m / (2 - r) - 1e-9)), int((1 - r) * m + 1e-9))
+
+    @property
+    def others(self) -> str:
+        """Pattern of a character that isn't the phrase's."""
+        return "[^" + "".join(re.escape(c) for c in self.chars) + "]"
+
+    @property
+    def run(self) -> str:
+        """Pattern of the run of own characters that ``least`` of them with so few others between have somewhere."""
+        return f"[{''.join(re.escape(c) for c in self.chars)}]{{{-(-self.least // (self.foreign + 1))}}}"
+
+
+@dataclass(frozen=True)
+class _Phrase:
+    number: int
+    pattern: Pattern
+    phrase: str
+    bits: dict[int, int]
+    pairs: list[str]
+    needed: int
+
+
 class PhraseMatcher:
     """Finds boundary phrases in texts. Built once per Python worker from a small pattern list."""
 
     def __init__(self, patterns: list[Pattern], ratio_min: float = RATIO_MIN):
         self.ratio_min = ratio_min
-        self.patterns = []
-        for p in patterns:
-            phrase = _BLANKS.sub(" ", clean_with_map(p.phrase)[0]).strip()
+        # phrases by the required words they share, so that most are passed over at once
+        self.groups: dict[frozenset[str], list[_Phrase]] = {}
+        for i, p in enumerate(patterns):
+            phrase = normal(p.phrase)
             if not phrase:
                 raise ValueError(f"a phrase needs characters: {p.phrase!r}")
-            self.patterns.append((p, phrase, _char_bits(phrase), _piece_votes(phrase, ratio_min)))
+            entry = _Phrase(i, p, phrase, _char_bits(phrase), *_pairs(phrase, ratio_min))
+            self.groups.setdefault(frozenset(p.required), []).append(entry)
         self.required = sorted({q for p in patterns for q in p.required})
         self._near_words: dict[str, frozenset[str]] = {}
 
     def best_per_pattern(self, text: str, min_end: int = 0, heard: Iterable[str] = ()) -> list[Match]:
         """Each pattern's best match that ends after ``min_end``: highest score, then leftmost, then longest.
-        ``heard`` are required words that stand before the text."""
+        ``heard`` are required words that stand before the text.
+
+        Pairs of neighbouring characters are looked up in the text once for all phrases that share them; only windows with enough of a phrase's are aligned.
+        """
         cleaned, where = clean_with_map(text)
         if not cleaned:
             return []
@@ -109,26 +158,28 @@ class PhraseMatcher:
         for word in set(_BLANKS.split(cleaned)):
             near |= self._required_near(word)
         codes = None
+        index: dict[str, list[int]] = {}
         found = []
-        for pattern, phrase, bits, votes in self.patterns:
-            if len(cleaned) < len(phrase):
-                continue
-            if not near.issuperset(pattern.required):
-                continue
-            exact = _find_after(cleaned, phrase, where, min_end)
-            if exact >= 0:  # nothing scores higher, and only the phrase itself scores as high
-                end = int(where[exact + len(phrase) - 1]) + 1
-                found.append(Match(pattern.kind, pattern.phrase, int(where[exact]), end, 100.0))
+        for required, phrases in self.groups.items():
+            if not required <= near:
                 continue
-            if codes is None:
-                codes = np.frombuffer(cleaned.encode("utf-32-le"), dtype=np.uint32)
-            starts = _likely_starts(codes, len(phrase), *votes)
-            if starts.size == 0:
-                continue
-            hit = self._scan(codes, where, starts, phrase, bits, min_end)
-            if hit:
-                found.append(Match(pattern.kind, pattern.phrase, *hit))
-        return found
+            for p in phrases:
+                if len(cleaned) < len(p.phrase):
+                    continue
+                exact = _find_after(cleaned, p.phrase, where, min_end)
+                if exact >= 0:  # nothing scores higher, and only the phrase itself scores as high
+                    end = int(where[exact + len(p.phrase) - 1]) + 1
+                    found.append((p.number, Match(p.pattern.kind, p.pattern.phrase, int(where[exact]), end, 100.0)))
+                    continue
+                starts = _likely_starts(cleaned, index, len(p.phrase), p.pairs, p.needed)
+                if not starts:
+                    continue
+                if codes is None:
+                    codes = np.frombuffer(cleaned.encode("utf-32-le"), dtype=np.uint32)
+                hit = self._scan(codes, where, starts, p.phrase, p.bits, min_end)
+                if hit:
+                    found.append((p.number, Match(p.pattern.kind, p.pattern.phrase, *hit)))
+        return [m for _, m in sorted(found, key=lambda x: x[0])]
 
     def required_at(self, text: str) -> dict[str, int]:
         """Required words near some word of the text, and where the last such word starts."""
@@ -145,8 +196,9 @@ class PhraseMatcher:
 
     def _scan(self, codes, where, starts, phrase, bits, min_end):
         m = len(phrase)
-        if m > 63:
+        if m > 63 or len(starts) < FEW_STARTS:
             return self._scan_long(codes, where, starts, phrase, bits, min_end)
+        starts = np.array(starts)
         lookup = _window_bits(codes, bits)
         room = np.minimum(m, codes.size - starts)
         state = np.full(starts.size, ~np.uint64(0))
@@ -174,10 +226,10 @@ class PhraseMatcher:
         """As ``_scan``, one window at a time: a phrase of any length is one Python integer."""
         m, full = len(phrase), (1 << len(phrase)) - 1
         best = None
-        for start in starts.tolist():
+        for start in starts:
             state = full
-            for step in range(min(m, codes.size - start)):
-                common = state & bits.get(int(codes[start + step]), 0)
+            for step, code in enumerate(codes[start : start + m].tolist()):
+                common = state & bits.get(code, 0)
                 state = ((state + common) | (state - common)) & full
                 score = 200.0 * (m - state.bit_count()) / (m + step + 1)
                 # starts come from left to right: a later one must be better, a longer one from the same start as good
@@ -240,48 +292,46 @@ def _window_bits(codes: np.ndarray, bits: dict[int, int]) -> np.ndarray:
     return np.where(keys[slot] == codes, vals[slot], np.uint64(0))
 
 
-def sure_pieces(phrase: str, ratio_min: float) -> list[str]:
-    """Pieces of which any good enough window holds at least one unchanged.
-
-    A window no longer than the phrase that reaches the ratio differs by at most ``d`` inserts and drops; cut into
-    d + 1 pieces, one piece must survive.
-    """
-    return sorted(set(_cut(phrase, min(_edits_allowed(phrase, ratio_min) + 1, len(phrase)))))
-
-
-def _edits_allowed(phrase: str, ratio_min: float) -> int:
-    """Most inserts and drops of a window no longer than the phrase that still reaches the ratio."""
-    return int((1 - ratio_min / 100.0) * 2 * len(phrase) + 1e-9)
-
-
-def _cut(phrase: str, n: int) -> list[str]:
-    edges = [round(i * len(phrase) / n) for i in range(n + 1)]
-    return [phrase[a:b] for a, b in zip(edges, edges[1:])]
-
-
-def _piece_votes(phrase: str, ratio_min: float) -> tuple[list[tuple[np.ndarray, int]], int]:
-    """The phrase cut into short pieces, and how many of them a good enough window must hold unchanged.
+def _pairs(phrase: str, ratio_min: float) -> tuple[list[str], int]:
+    """The phrase's pairs of neighbouring characters, and how many of them a good enough window must hold.
 
-    Each of the at most ``d`` inserts and drops spoils one piece. Equal pieces are listed once, with their number: the
-    unchanged ones stand at different places of the window.
+    A dropped character spoils two pairs, an inserted one spoils one. With i inserts the common subsequence has r (m + i) / (2 - r) characters at
+    least, so as many as are missing from m are dropped. A phrase that may lose all its pairs has its single characters instead (a drop spoils one).
     """
-    d = _edits_allowed(phrase, ratio_min)
-    n = min(len(phrase), max(d + 1, len(phrase) // 2))
-    counted = Counter(_cut(phrase, n))
-    return [(np.array([ord(c) for c in piece], dtype=np.uint32), k) for piece, k in counted.items()], n - d
-
-
-def _likely_starts(codes: np.ndarray, m: int, pieces: list[tuple[np.ndarray, int]], needed: int) -> np.ndarray:
-    """Starts of windows of ``m`` characters that hold enough pieces."""
-    n = codes.size
-    votes = np.zeros(n, dtype=np.int32)
-    for piece, k in pieces:
-        size = piece.size
-        here = codes[: n - size + 1] == piece[0]
-        for i in range(1, size):
-            here &= codes[i : n - size + 1 + i] == piece[i]
-        seen = np.zeros(n + m + 1, dtype=np.int32)  # occurrences before each place
-        np.cumsum(here, out=seen[1 : here.size + 1])
-        seen[here.size + 1 :] = seen[here.size]
-        votes += np.minimum(seen[m - size + 1 : m - size + 1 + n] - seen[:n], k)
-    return np.flatnonzero(votes >= needed)
+    m, r = len(phrase), ratio_min / 100.0
+    inserts = range(int((1 - r) * m + 1e-9) + 1)
+    drops = [m - math.ceil(r * (m + i) / (2 - r) - 1e-9) for i in inserts]
+    needed = m - 1 - max(2 * d + i for i, d in zip(inserts, drops))
+    if needed > 0:
+        return sorted({phrase[i : i + 2] for i in range(m - 1)}), needed
+    return sorted(set(phrase)), max(1, m - max(drops))
+
+
+def _likely_starts(cleaned: str, index: dict[str, list[int]], m: int, pieces: list[str], needed: int) -> list[int]:
+    """Starts of windows of ``m`` characters that hold enough of the pieces. ``index`` keeps the places of pieces in this text."""
+    places: list[int] = []
+    for piece in pieces:
+        if (at := index.get(piece)) is None:
+            at = index[piece] = _all_places(cleaned, piece)
+        places += at
+    if len(places) < needed:
+        return []
+    places.sort()
+    starts: list[int] = []
+    size, upto = len(pieces[0]), 0  # starts below ``upto`` are decided
+    for first, last in zip(places, places[needed - 1 :]):
+        if last + size - m > first:
+            continue
+        low = max(upto, last + size - m, 0)
+        if low <= first:
+            starts.extend(range(low, first + 1))
+        upto = max(upto, first + 1)
+    return starts
+
+
+def _all_places(text: str, piece: str) -> list[int]:
+    out, at = [], text.find(piece)
+    while at >= 0:
+        out.append(at)
+        at = text.find(piece, at + 1)
+    return out

@@ -115,7 +115,7 @@ def scored_candidates(texts: DataFrame, patterns: list[fuzzy.Pattern] | None = N
             pdf["_m"] = [[(m.kind, m.phrase, m.start, m.end, m.score) for m in hits] for hits in found]
             yield pdf
 
-    rows = texts.withColumn("_clean", clean_text(F.col(text))).filter(may_hold_boundary(F.col(text), wanted))
+    rows = dealt(texts.withColumn("_clean", clean_text(F.col(text))).filter(may_hold_boundary(F.col(text), wanted)))
     schema = widen(rows.schema, _m=T.ArrayType(T.StructType(MATCH_FIELDS)))
     return rows.mapInPandas(scan, schema).select(*texts.columns, F.explode("_m").alias("_x")).select(
         *texts.columns,
@@ -210,7 +210,7 @@ def all_matches(texts: DataFrame, patterns: list[fuzzy.Pattern] | None = None, t
             yield pdf
 
     schema = widen(texts.schema, _m=T.ArrayType(T.StructType(MATCH_FIELDS)))
-    found = texts.filter(may_hold_boundary(F.col(text), wanted)).mapInPandas(scan, schema)
+    found = dealt(texts.filter(may_hold_boundary(F.col(text), wanted))).mapInPandas(scan, schema)
     return found.select(*texts.columns, F.posexplode("_m").alias("match_no", "_x")).select(
         *texts.columns,
         "match_no",
@@ -249,27 +249,40 @@ def match_first(texts: DataFrame, patterns: list[fuzzy.Pattern] | None = None, t
     schema = widen(
         texts.schema, kind=T.StringType(), m_start=T.IntegerType(), m_end=T.IntegerType(), score=T.DoubleType()
     )
-    return texts.filter(may_hold_boundary(F.col(text), wanted)).mapInPandas(scan, schema)
+    return dealt(texts.filter(may_hold_boundary(F.col(text), wanted))).mapInPandas(scan, schema)
 
 
 def may_hold_boundary(text: Column, patterns: list[fuzzy.Pattern]) -> Column:
     """Necessary condition for any pattern to match, as a JVM expression.
 
-    For patterns with required words, some word near the pattern's first required word; for the others, one of the
-    pieces that any good enough window must hold unchanged.
+    For patterns with required words, some word near the pattern's first required word; for the others, a stretch of the text that is nearly all of the
+    phrase's own characters.
     """
     anchors = sorted({clean_required(p.required[0]) for p in patterns if p.required})
-    bare = sorted({piece for p in patterns if not p.required for piece in fuzzy.sure_pieces(p.phrase, fuzzy.RATIO_MIN)})
-    cleaned = clean_text(text)
+    bare = sorted({fuzzy.normal(p.phrase) for p in patterns if not p.required})
     tests = []
     if anchors:
         tests.append(F.exists(tokens(text), lambda w: _any(near_word(w, F.lit(a)) for a in anchors)))
-    if bare:
-        core = [p for p in bare if not any(q != p and q in p for q in bare)]
-        tests.append(_any(cleaned.contains(p) for p in core))
+    cleaned = clean_text(text)
+    tests += [_dense(cleaned, fuzzy.Dense.of(p, fuzzy.RATIO_MIN)) for p in bare]
     return _any(tests)
 
 
+def _dense(cleaned: Column, d: fuzzy.Dense) -> Column:
+    """Some stretch has ``least`` own characters with ``foreign`` others between at most: neighbouring runs of own characters are long enough together."""
+    runs = F.transform(F.split(cleaned, d.others, -1), F.length)
+    near = lambda i: F.aggregate(F.slice(runs, i, F.lit(d.foreign + 1)), F.lit(0), lambda t, n: t + n)
+    return cleaned.rlike(d.run) & F.exists(F.sequence(F.lit(1), F.size(runs)), lambda i: near(i) >= d.least)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """For a costly step on few large splits: a table in fewer of them than there are cores is dealt out, any other stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def clean_required(word: str) -> str:
     return fuzzy.clean_with_map(word)[0]
 

@@ -38,7 +38,7 @@ FROM (SELECT event_id, {CLEAN_SQL} AS clean FROM v_texts) t, {PATTERNS_SQL} p WH
 
 
 def _scored(spark, sf):
-    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    rows = views.texts(spark, sf).select("event_id", "text")
     return M.scored_candidates(rows).drop("text")
 
 
@@ -93,25 +93,62 @@ def a9(spark, sf):
        CAST(100.0 AS DOUBLE) AS score FROM v_texts WHERE marker IS NOT NULL""",
 )
 def f8(spark, sf):
-    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    rows = views.texts(spark, sf).select("event_id", "text")
     return M.match_first(rows).drop("text")
 
 
-def _parallel(spark) -> int:
-    """Partitions for a Python step on a table that sits in few files."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 @query(
     "x6_all_matches",
     """SELECT event_id, 0 AS match_no, marker AS kind, CASE marker WHEN 'start' THEN 0 ELSE length(text) - 19 END AS m_start,
        CASE marker WHEN 'start' THEN 22 ELSE length(text) END AS m_end FROM v_texts WHERE marker IS NOT NULL""",
 )
 def x6(spark, sf):
-    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    rows = views.texts(spark, sf).select("event_id", "text")
     return M.all_matches(rows).drop("text", "score")
 
 
+# Texts that begin with a misheard phrase: letters of it are left out, so its score is 200 n / (21 + n) for the n that are there. Every second text ends with the
+# phrase word for word, which then is the phrase's best place.
+MISHEARD = {0: "freddy take this down", 1: "fredy take this down", 2: "fredy take ths down", 3: "fredy tke ths dwn", 4: "fredy tke ths dn", 5: "fredy tk ths dn"}
+MISHEARD_SQL = f"""SELECT concat('m-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS event_id, said, turn % 2 = 1 AS again,
+ concat(said, '. ', text, CASE WHEN turn % 2 = 1 THEN ' Freddy, take this down!' ELSE '' END) AS text
+ FROM (SELECT *, CASE conv_id % 6 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in MISHEARD.items())} END AS said FROM {{conversations}}) c"""
+MISHEARD_BEST_SQL = f"""SELECT event_id, CASE WHEN again THEN 100.0e0 ELSE round(200.0e0 * length(said) / (21 + length(said)), 6) END AS score,
+ CASE WHEN again AND said <> 'freddy take this down' THEN length(text) - 23 ELSE 0 END AS m_start, CASE WHEN again AND said <> 'freddy take this down' THEN length(text) - 1
+ ELSE length(said) END AS m_end, said, again, text FROM ({MISHEARD_SQL.format(conversations='conversations')}) m WHERE again OR length(said) > 15"""
+
+
+def misheard(spark, sf):
+    return spark.sql(MISHEARD_SQL, conversations=views.table(spark, sf, "conversations")).select("event_id", "text")
+
+
+@query(
+    "a8_misheard_phrases",
+    f"""SELECT event_id, 'freddy take this down' AS phrase, 'start' AS kind, score, CASE WHEN m_start = 0 THEN 0 ELSE length({CLEAN_SQL}) - 21 END AS m_start,
+        CASE WHEN m_start = 0 THEN m_end ELSE length({CLEAN_SQL}) END AS m_end FROM ({MISHEARD_BEST_SQL}) b""",
+)
+def a8_misheard(spark, sf):
+    """Phrases with letters left out, ranked by score: the best place of each phrase in the cleaned text."""
+    best = M.best_match_per_pattern(M.scored_candidates(misheard(spark, sf)), "event_id")
+    return best.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "a9_misheard_best",
+    f"""SELECT event_id, 'freddy take this down' AS phrase, 'start' AS kind, score, CASE WHEN m_start = 0 THEN 0 ELSE length({CLEAN_SQL}) - 21 END AS m_start,
+        CASE WHEN m_start = 0 THEN m_end ELSE length({CLEAN_SQL}) END AS m_end FROM ({MISHEARD_BEST_SQL}) b""",
+)
+def a9_misheard(spark, sf):
+    best = M.best_match_overall(M.best_match_per_pattern(M.scored_candidates(misheard(spark, sf)), "event_id"), "event_id")
+    return best.withColumn("score", F.round("score", 6))
+
+
+@query("f8_misheard_first", f"SELECT event_id, 'start' AS kind, m_start, m_end, score FROM ({MISHEARD_BEST_SQL}) b")
+def f8_misheard(spark, sf):
+    found = M.match_first(misheard(spark, sf)).drop("text")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "f4_clean_text",
     f"SELECT event_id, {CLEAN_SQL} AS cleaned, length({CLEAN_SQL}) AS n_kept FROM v_texts",
@@ -129,7 +166,7 @@ def f4(spark, sf):
 )
 def f5(spark, sf):
     """Each text against itself without blanks and the letter e: what is left is the longest common subsequence."""
-    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    rows = M.dealt(views.texts(spark, sf).select("event_id", "text"))
     score = M.indel_ratio(F.col("text"), F.translate("text", " e", ""))
     return rows.select("event_id", F.round(score, 6).alias("ratio"))
 
@@ -140,7 +177,7 @@ def f5(spark, sf):
        strpos(lower(text), 'freddy break break') + 17 AS m_end FROM v_texts WHERE marker = 'end'""",
 )
 def f6(spark, sf):
-    rows = views.texts(spark, sf).select("event_id", "text").repartition(_parallel(spark))
+    rows = M.dealt(views.texts(spark, sf).select("event_id", "text"))
     hit = M.partial_align(F.lit("freddy break break"), F.col("text"))
     found = rows.withColumn("m", hit).filter(F.col("m.score").isNotNull())
     return found.select(
