@@ -5,14 +5,15 @@ k words both of whose parts of k - 1 words the sample has, proposed itself or no
 sample didn't have, opens the way to longer phrases that nobody counted; a further pass counts those, length by length, until
 nothing frequent is left outside what was counted.
 
-What the sample has is sent to the tasks as a bit filter of bounded size. What it lets through by mistake is counted too and does no harm. All
-counts are of the phrases' own words.
+These passes count hashes, packed by bucket, which is cheap to shuffle; phrases of one hash can only add up, so none that is frequent is lost. A last pass counts the words
+of the phrases whose hashes are frequent, exactly. What tasks must know is sent to them as a bit filter of bounded size; what it lets through by mistake is counted too and does
+no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -46,14 +47,18 @@ class Settings:
     """Share of the documents that propose phrases (by hash of the text)."""
     slack: float = 0.8
     """The sample proposes what it has so many times as often as its share of ``support`` (once at least)."""
-    filter_bits: int = 28
-    """Power of two of the largest filter's bits: 32 MB."""
-    buffer: int = 8_000_000
-    """Text bytes counted together in a task."""
+    filter_bits: int = 27
+    """Power of two of the largest filter's bits: 16 MB."""
+    buffer: int = 1_200_000
+    """Phrases whose hashes are counted together in a task."""
+    bucket: int = 4_000_000
+    """Text bytes whose hashes are summed together, on average."""
+    words: int = 3_000_000
+    """Text bytes whose phrases are counted together in a task."""
 
 
 class Bits:
-    """A set of 64-bit hashes as a bit field; says yes for all of them and for few others."""
+    """A set of 64-bit hashes as bit fields; says yes for all of them and for few others."""
 
     def __init__(self, fields: list[np.ndarray]):
         self.fields = fields
@@ -82,135 +87,205 @@ def bits_of(grams: DataFrame, s: Settings) -> np.ndarray:
     return out.view(np.uint64)
 
 
-COUNTED = "lang string, size int, phrase string, hash long, n long"
+@dataclass
+class _Words:
+    """The words of some texts: their bytes, the number of each one's piece, and its hash (with the language's)."""
 
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    piece: np.ndarray
+    own: np.ndarray
 
-def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Of lower-case texts: each word's number, the words by number, and the number of each word's piece."""
+    def grams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray]]:
+        """(k, hashes of the phrases at each place, those of k - 1 words, whether a phrase stands within a piece)."""
+        hashes, part = self.own, None
+        for k in range(1, min(longest, len(self.own)) + 1):
+            n = len(self.own) - k + 1
+            if k > 1:
+                part, hashes = hashes, B.mix(hashes[:n] * B.U64(3) + self.own[k - 1 :])
+            yield k, hashes, part, self.piece[:n] == self.piece[k - 1 :]
+
+
+def _words(batch: pa.RecordBatch) -> _Words:
+    data, off = B.text_bytes(batch.column("text"))
+    data = B.lower_ascii(data)
     word = ~BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[off] = True
     starts = np.flatnonzero(word & (~np.concatenate(([False], word[:-1])) | first[:-1]))
     ends = np.flatnonzero(word & (~np.concatenate((word[1:], [False])) | first[1:])) + 1
-    cut = ENDS[data].astype(np.int32)
-    cut[off[:-1][off[:-1] < len(data)]] += 1
-    piece = np.cumsum(cut, dtype=np.int32)[starts]
-    # the words laid end to end, so that they are one Arrow column
-    length = ends - starts
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(length)))), pa.py_buffer(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])])
-    coded = column.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, piece
+    cut = ENDS[data] | first[:-1]
+    piece = np.cumsum(cut, dtype=np.int32)[starts] if len(data) else np.zeros(0, np.int32)
+    langs = batch.column("lang").dictionary_encode()
+    tags = np.array([_tag(x) for x in langs.dictionary.to_pylist()], np.uint64)
+    doc = np.searchsorted(off, starts, "right") - 1
+    own = B.mix(B.word_values(data, starts, ends) + tags[langs.indices.to_numpy()][doc]) if len(starts) else np.zeros(0, np.uint64)
+    return _Words(data, starts, ends, piece, own)
 
 
-def _hashes(words: pa.Array, lang: str) -> np.ndarray:
-    data, off = B.text_bytes(words)
-    tag = B.word_values(*(lambda d: (d, np.zeros(1, np.int64), np.array([len(d)])))(np.frombuffer(lang.encode() + b"\0", np.uint8)))
-    return B.mix(B.word_values(data, off[:-1], off[1:]) + tag)
+def _tag(lang: str) -> np.uint64:
+    data = np.frombuffer(lang.encode() + b"\0", np.uint8)
+    return B.word_values(data, np.zeros(1, np.int64), np.array([len(data)]))[0]
 
 
-def _distinct(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First places and counts of the different phrases of k words that start at ``at``."""
-    code = ids[at]
-    for j in range(1, k):
-        code, _ = pd.factorize(code * n_words + ids[at + j])
-    code, _ = pd.factorize(code)
-    n = np.bincount(code)
-    first = np.zeros(len(n), np.int64)
-    first[code[::-1]] = at[::-1]
-    return first, n
+PACKED = "bucket int, size int, packed binary"
 
 
-def _grams(level: int | None, known: dict[int, Bits], before: dict[int, Bits], s: Settings):
-    """Counts phrases within buffers. Without ``level``: every length (words always, others if both parts are ``known``, all if nothing is);
-    with one: phrases of that length both of whose parts are known now, not both of them ``before``."""
-
-    def count(lang: str, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        data, off = B.text_bytes(texts)
-        if not len(data):
-            return
-        ids, words, piece = _words(B.lower_ascii(data), off)
-        if not len(ids):
-            return
-        own = _hashes(words, lang)[ids]
-        hashes = own
-        for k in range(1, s.longest + 1 if level is None else level + 1):
-            n = len(ids) - k + 1
-            if n <= 0:
-                break
-            if k > 1:
-                part = hashes  # of the phrases one word shorter
-                hashes = B.mix(part[:n] * B.U64(3) + own[k - 1 :])
-            if level is not None and k < level:
-                continue
-            ok = piece[:n] == piece[k - 1 :]
-            if k > 1 and k - 1 in known:
-                has = known[k - 1].has(part)
-                ok &= has[:n] & has[1 : n + 1]
-                if level is not None:
-                    had = before[k - 1].has(part)
-                    ok &= ~(had[:n] & had[1 : n + 1])
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            first, counts = _distinct(ids, at, k, len(words))
-            parts = [words.take(pa.array(ids[first + j])) for j in range(k)]
-            phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-            yield _batch(lang, k, phrase.cast(pa.binary()).cast(pa.string(), safe=False), B.signed(hashes[first]), counts)
-        if level is None:
-            yield _batch(lang, 0, pa.array([""]), np.zeros(1, np.int64), np.array([len(ids)]))
+def _hash_counts(n_buckets: int, known: Bits | None, before: Bits | None, s: Settings):
+    """Counts of hashed phrases, packed by bucket. At first words, and phrases both of whose parts are ``known`` (all without it); with ``before``
+    only phrases both of whose parts are known now, not both of them before."""
+
+    def emit(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for size, parts in held.items():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            bucket = (h % B.U64(n_buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            h, n, bucket = h[order], n[order].astype(np.uint32), bucket[order]
+            which, first = np.unique(bucket, return_index=True)
+            cuts = np.append(first, len(h)).tolist()
+            for i in range(0, len(which), 64):
+                packed = [h[a:e].tobytes() + n[a:e].tobytes() for a, e in zip(cuts[i : i + 64], cuts[i + 1 :])]
+                yield pa.RecordBatch.from_arrays([pa.array(which[i : i + 64]), pa.array(np.full(len(packed), size, np.int32)), pa.array(packed, pa.binary())], ["bucket", "size", "packed"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
         for b in B.slices(parts):
-            held.append(b)
-            size += int(B.text_lengths(b.column("text")).sum())
+            for k, hashes, part, ok in _words(b).grams(s.longest):
+                if k > 1 and known is not None:
+                    has = known.has(part)
+                    ok &= has[:-1] & has[1:]
+                    if before is not None:
+                        had = before.has(part)
+                        ok &= ~(had[:-1] & had[1:])
+                if k > 1 or before is None:
+                    held.setdefault(k, []).append(hashes[ok])
+                    size += len(held[k][-1])
             if size >= s.buffer:
                 yield from emit(held)
-                held, size = [], 0
+                held, size = {}, 0
         yield from emit(held)
 
-    def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held:
-            table = pa.Table.from_batches(held)
-            for lang in pc.unique(table["lang"]).to_pylist():
-                yield from count(lang, table.filter(pc.equal(table["lang"], lang))["text"].combine_chunks())
+    return run
+
+
+def _sums(least: int):
+    """Packed counts, sorted by bucket, to the hashes whose sum reaches ``least``."""
+
+    def emit(size: int, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+        counts = [len(x) // 12 for x in found]
+        h = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(found, counts)])
+        c = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(found, counts)])
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        many = first[np.add.reduceat(c, first, dtype=np.int64) >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(many), size, np.int32)), pa.array(B.signed(h[many]))], ["size", "hash"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+        for b in parts:
+            for bucket, size, packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "size", "packed"))):
+                if now != (bucket, size) and found:
+                    yield from emit(now[1], found)
+                    found = []
+                now = (bucket, size)
+                found.append(packed)
+        if found:
+            yield from emit(now[1], found)
 
     return run
 
 
-def _batch(lang: str, size: int, phrase: pa.Array, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    rows = len(phrase)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * rows), pa.array(np.full(rows, size, np.int32)), phrase, pa.array(hashes), pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "hash", "n"])
+def _frequent(texts: DataFrame, n_buckets: int, least: int, known: Bits | None, before: Bits | None, s: Settings) -> DataFrame:
+    """(size, hash) of what occurs ``least`` times; different phrases of one hash may come in together, none is left out."""
+    packed = texts.mapInArrow(_hash_counts(n_buckets, known, before, s), PACKED).repartition("bucket").sortWithinPartitions("bucket", "size")
+    return materialize(packed.mapInArrow(_sums(least), "size int, hash long"), "frequent")
 
 
-def _counted(texts: DataFrame, level: int | None, known: dict[int, Bits], before: dict[int, Bits], least: int, s: Settings) -> DataFrame:
-    """(lang, size, phrase, hash, n) of what occurs ``least`` times, and the number of words of each language as size 0."""
-    rows = texts.mapInArrow(_grams(level, known, before, s), COUNTED)
-    sums = rows.groupBy("lang", "size", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
-    return sums.filter((F.col("n") >= least) | (F.col("size") == 0))
+COUNTED = "lang string, size int, phrase string, n long"
 
 
-def phrase_counts(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, size, phrase, hash, n): all phrases of up to ``s.longest`` words with ``s.support`` occurrences in a language, and its words as size 0."""
-    texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+def _phrases(wanted: Bits, s: Settings):
+    """Counts of the phrases whose hashes are ``wanted``, as words; and of all words as size 0."""
+
+    def emit(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            words = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+            ids, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+            shift = np.cumsum([0] + [len(p[0]) for p in parts])
+            for k in range(1, s.longest + 1):
+                at = np.concatenate([p[1].get(k, np.zeros(0, np.int64)) + d for p, d in zip(parts, shift)])
+                if not len(at):
+                    continue
+                first, counts = _distinct(ids, at, k, len(words))
+                column = [words.take(pa.array(ids[first + j])) for j in range(k)]
+                phrase = column[0] if k == 1 else pc.binary_join_element_wise(*column, pa.scalar(b" ", pa.large_binary()))
+                yield _batch(lang, k, phrase.cast(pa.binary()).cast(pa.string(), safe=False), counts)
+            yield _batch(lang, 0, pa.array([""]), np.array([len(ids)]))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+        for b in B.slices(parts):
+            for lang in pc.unique(b.column("lang")).to_pylist():
+                w = _words(b.filter(pc.equal(b.column("lang"), lang)))
+                places = {k: np.flatnonzero(ok & wanted.has(hashes)) for k, hashes, _, ok in w.grams(s.longest)}
+                held.setdefault(lang, []).append((_column(w), places))
+                size += len(w.data)
+            if size >= s.words:
+                yield from emit(held)
+                held, size = {}, 0
+        yield from emit(held)
+
+    return run
+
+
+def _column(w: _Words) -> pa.Array:
+    """The words as an Arrow column: their bytes laid end to end."""
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts] += 1
+    inside[w.ends] -= 1
+    laid = w.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    off = np.concatenate(([0], np.cumsum(w.ends - w.starts)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(off), pa.py_buffer(laid)])
+
+
+def _distinct(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and counts of the different phrases of k words that start at ``at``."""
+    code = ids[at]
+    for j in range(1, k):
+        code, _ = pd.factorize(code)
+        code = code * n_words + ids[at + j]
+    code, _ = pd.factorize(code)
+    n = np.bincount(code)
+    first = np.zeros(len(n), np.int64)
+    first[code[::-1]] = at[::-1]
+    return first, n
+
+
+def _batch(lang: str, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    rows = len(phrase)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * rows), pa.array(np.full(rows, size, np.int32)), phrase, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "n"])
+
+
+def frequent_hashes(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(size, hash) of every phrase of up to ``s.longest`` words with ``s.support`` occurrences, and perhaps a few others. ``texts(lang, text)``."""
+    n_buckets = max(1, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // s.bucket)
+    shorter = lambda grams: grams.filter(F.col("size") < s.longest).select("hash")
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(10_000 * s.sample))
-    least = max(1, int(s.support * s.sample * s.slack))
-    proposed = materialize(_counted(chosen, None, {}, {}, least, s).filter(F.col("size").between(1, s.longest - 1)).select("size", "hash"), "proposed")
-    known = {k: Bits([bits_of(proposed.filter(F.col("size") == k), s)]) for k in range(1, s.longest)}
-    counts = materialize(_counted(texts, None, known, {}, s.support, s), "counts")
-    for k in range(2, s.longest + 1):
-        part, had = counts.filter(F.col("size") == k - 1).select("hash"), known[k - 1]
-        missed = materialize(part.mapInArrow(_outside(had), "hash long"), "missed")
-        if missed.isEmpty():  # closed at this length
-            continue
-        now = {k - 1: Bits([*had.fields, bits_of(missed, s)])}
-        more = _counted(texts, k, now, {k - 1: had}, s.support, s)
-        counts = counts.unionByName(materialize(more, "more-counts"))
-    return counts
+    proposed = _frequent(chosen, n_buckets, max(1, int(s.support * s.sample * s.slack)), None, None, replace(s, longest=s.longest - 1))
+    known = Bits([bits_of(proposed, s)])
+    found = _frequent(texts, n_buckets, s.support, known, None, s)
+    total = found
+    while True:
+        missed = materialize(shorter(found).mapInArrow(_outside(known), "hash long"), "missed")
+        if missed.isEmpty():  # closed: all that is frequent was counted, with its border
+            return total
+        now = Bits([*known.fields, bits_of(missed, s)])
+        found = _frequent(texts, n_buckets, s.support, now, known, s)
+        total, known = total.unionByName(found), now
 
 
 def _outside(known: Bits):
@@ -222,6 +297,14 @@ def _outside(known: Bits):
     return run
 
 
+def phrase_counts(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, size, phrase, n): all phrases of up to ``s.longest`` words with ``s.support`` occurrences in a language, and all its words as size 0."""
+    texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    wanted = Bits([bits_of(frequent_hashes(texts, s), s)])
+    sums = texts.mapInArrow(_phrases(wanted, s), COUNTED).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(sums.filter((F.col("n") >= s.support) | (F.col("size") == 0)), "counts")
+
+
 def collocations(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``s.top`` phrases of each language.
 
