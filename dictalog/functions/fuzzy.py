@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -49,11 +50,94 @@ def lcs_length(a: str, b: str) -> int:
     return head + tail + len(a) - state.bit_count()
 
 
-def indel_ratio(a: str | None, b: str | None) -> float | None:
+def lcs_at_least(a: str, b: str, least: int) -> int | None:
+    """The longest common subsequence length if it reaches ``least``, else None.
+
+    Texts that differ in d characters are walked along by their common stretches (Myers' greedy search, stretches found by halving), in d * d short steps. Where d
+    grows so far that the bit matrix is cheaper, that one takes over; it stops once the rest of the text cannot reach ``least``.
+    """
+    n, m = len(a), len(b)
+    most = n + m - 2 * least  # characters only one of them has
+    if most < 0 or abs(n - m) > most:
+        return None
+    if a == b:
+        return n
+    counts = Counter(a)
+    counts.subtract(b)
+    if sum(map(abs, counts.values())) > most:
+        return None
+    steps = min(most, max(16, math.isqrt(n * m // 4000)))
+    d = _differences(a, b, steps)
+    if d is not None:
+        return (n + m - d) // 2
+    return None if steps == most else _lcs_bits(a, b, least)
+
+
+def _differences(a: str, b: str, most: int) -> int | None:
+    """The number of inserts and drops from ``a`` to ``b``, if it isn't above ``most``."""
+    n, m = len(a), len(b)
+    far = {1: 0}  # by diagonal: how far into a
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            x = far[k + 1] if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far[k - 1] + 1
+            if x > n or x - k > m:
+                far[k] = x
+                continue
+            x += _common(a, b, x, x - k)
+            if x >= n and x - k >= m:
+                return d
+            far[k] = x
+    return None
+
+
+def _common(a: str, b: str, i: int, j: int) -> int:
+    """Length of the common stretch of a from i and b from j."""
+    most = min(len(a) - i, len(b) - j)
+    done, size = 0, 16
+    while done < most:
+        size = min(size, most - done)
+        if a[i + done : i + done + size] == b[j + done : j + done + size]:
+            done, size = done + size, size * 2
+            continue
+        while size > 1:  # the first difference is within these
+            half = size // 2
+            if a[i + done : i + done + half] == b[j + done : j + done + half]:
+                done, size = done + half, size - half
+            else:
+                size = half
+        return done
+    return done
+
+
+def _lcs_bits(a: str, b: str, least: int) -> int | None:
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    state, rest = full, len(b)
+    for c in b:
+        common = state & places.get(c, 0)
+        rest -= 1
+        if common:
+            state = ((state + common) | (state - common)) & full
+        if not rest & 255 and len(a) - state.bit_count() + rest < least:
+            return None
+    found = len(a) - state.bit_count()
+    return found if found >= least else None
+
+
+def indel_ratio(a: str | None, b: str | None, minimum: float | None = None) -> float | None:
+    """200 * LCS / lengths. With ``minimum``, null where it is not reached, which is often known early."""
     if a is None or b is None:
         return None
     total = len(a) + len(b)
-    return 100.0 if total == 0 else 200.0 * lcs_length(a, b) / total
+    if total == 0:
+        return 100.0
+    if minimum is None:
+        return 200.0 * lcs_length(a, b) / total
+    least = math.ceil(minimum * total / 200.0 - 1e-9)
+    found = lcs_at_least(a, b, max(0, least))
+    return None if found is None else 200.0 * found / total
 
 
 def clean_with_map(text: str) -> tuple[str, np.ndarray]:

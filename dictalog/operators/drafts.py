@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dictalog.functions.times import format_timestamp
-from dictalog.operators.matching import indel_ratio
+from dictalog.operators.matching import indel_ratio_from
 from dictalog.session import materialize
 
 MAX_LIMIT = 1000
@@ -254,7 +254,7 @@ def revision_similarity(pairs: DataFrame, minimum: float = 75.0) -> DataFrame:
     reachable = 200.0 * F.least(n, m) >= minimum * (n + m)
     same = F.col("full_text") == F.col("revision_text")
     score = F.when(same, F.lit(100.0)).otherwise(
-        indel_ratio(F.when(~same, F.col("full_text")), F.when(~same, F.col("revision_text")))
+        indel_ratio_from(minimum)(F.when(~same, F.col("full_text")), F.when(~same, F.col("revision_text")))
     )
     return pairs.filter(reachable).withColumn("score", score).filter(F.col("score") >= minimum)
 

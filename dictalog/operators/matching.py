@@ -182,6 +182,18 @@ def indel_ratio(a, b):
     return pd.Series([fuzzy.indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def indel_ratio_from(minimum: float):
+    """``indel_ratio`` where it reaches ``minimum``, else null: texts that differ little, or far too much, cost little."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a, b):
+        import pandas as pd
+
+        return pd.Series([fuzzy.indel_ratio(x, y, minimum) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio
+
+
 MATCH_FIELDS = [
     T.StructField("kind", T.StringType()),
     T.StructField("phrase", T.StringType()),

@@ -382,6 +382,23 @@ def t8(spark, sf):
     return last.withColumn("available", (F.lit(NOW_US) - F.col("last_us")) < DAY_US)
 
 
+# A worker's pings are gaps and islands: each island begins alive and ends dead a day after its last ping.
+@query(
+    "t8_worker_flips",
+    f"""WITH p AS (SELECT source_id AS worker, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS before, lead(epoch_us(ts)) OVER w AS after FROM v_events
+        WINDOW w AS (PARTITION BY source_id ORDER BY ts))
+        SELECT worker, true AS alive, us AS at_us FROM p WHERE before IS NULL OR us - before > {DAY_US} UNION ALL
+        SELECT worker, false, us + {DAY_US} FROM p WHERE after IS NULL OR after - us > {DAY_US}""",
+)
+def t8_flips(spark, sf):
+    """Flips of a stream of pings; one row far behind moves the time on, so that the last silences are told too."""
+    raw = spark.sql(views.V_EVENTS, events=views.table(spark, sf, "events"))
+    pings = raw.select(F.col("source_id").alias("worker"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    clock = pings.agg((F.max("us") + 30 * DAY_US).alias("us")).select(F.lit("\u0000clock").alias("worker"), "us")
+    stream = stream_of(pings.unionByName(clock), "pings").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "1 second")
+    return run_available(live.worker_flips(stream, DAY_US), "flips")
+
+
 @query(
     "a11_status_snapshot",
     f"""SELECT 'running' AS status, count(*) > 0 AS pipeline_active, count(DISTINCT source_id) AS event_clients,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dictalog.functions import texts as X
 from dictalog.functions.phrases import default_patterns, patterns_frame
+from dictalog.functions.table_functions import register_phrase_table
 from dictalog.operators import matching as M
 from dictalog.operators import segmenter as S
 from dictalog.operators.drafts import page_drafts
@@ -107,6 +108,19 @@ def x6(spark, sf):
     return M.all_matches(rows).drop("text", "score")
 
 
+@query(
+    "x6_lateral_matches",
+    """SELECT event_id, 0 AS match_no, marker AS kind, CASE marker WHEN 'start' THEN 0 ELSE length(text) - 19 END AS m_start,
+       CASE marker WHEN 'start' THEN 22 ELSE length(text) END AS m_end FROM v_texts WHERE marker IS NOT NULL""",
+)
+def x6_lateral(spark, sf):
+    """The matcher as a table function in SQL, with the phrases of a table."""
+    patterns_frame(spark).createOrReplaceTempView("dictalog_phrases")
+    register_phrase_table(spark, "dictalog_phrases")
+    rows = M.dealt(views.texts(spark, sf).select("event_id", "text"))
+    return spark.sql("SELECT event_id, m.match_no, m.kind, m.m_start, m.m_end FROM {texts} t, LATERAL all_matches(t.text) m", texts=rows)
+
+
 # Texts that begin with a misheard phrase: letters of it are left out, so its score is 200 n / (21 + n) for the n that are there. Every second text ends with the
 # phrase word for word, which then is the phrase's best place.
 MISHEARD = {0: "freddy take this down", 1: "fredy take this down", 2: "fredy take ths down", 3: "fredy tke ths dwn", 4: "fredy tke ths dn", 5: "fredy tk ths dn"}

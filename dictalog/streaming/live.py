@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from dictalog import schema
 from dictalog.operators.events import match_subscribers
 from dictalog.session import ensure_runtime_conf, shared_dir
+from dictalog.streaming.ordered import InOrder
 
 
 def heartbeats(pings: DataFrame) -> DataFrame:
@@ -22,6 +23,41 @@ def heartbeats(pings: DataFrame) -> DataFrame:
     return pings.groupBy("worker").agg(F.max("us").alias("last_us"), F.max_by("url", "us").alias("url"))
 
 
+FLIP = T.StructType([T.StructField("worker", T.StringType()), T.StructField("alive", T.BooleanType()), T.StructField("at_us", T.LongType())])
+
+
+class _Flips(InOrder):
+    """A worker comes alive with a ping, and is dead when none has followed within the time to live."""
+
+    fields = ()
+    output, fresh = FLIP, {"last": None}
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def step(self, memory, row, ring):
+        last, memory["last"] = memory["last"], row[0]
+        if last is None:
+            return [(True, row[0])]
+        return [(False, last + self.ttl_us), (True, row[0])] if row[0] - last > self.ttl_us else []
+
+    def due(self, memory, upto_us):
+        if memory["last"] is None:
+            return [], None
+        end = memory["last"] + self.ttl_us
+        if end >= upto_us:
+            return [], end
+        memory["last"] = None
+        return [(False, end)], None
+
+
+def worker_flips(pings: DataFrame, ttl_us: int) -> DataFrame:
+    """When each worker came alive and when it went dead, as rows of a stream: a timer tells of a worker that is silent for ``ttl_us``, without
+    any further ping. ``pings(worker, us, ts)``, ``ts`` with a watermark."""
+    rows = pings.select("worker", "ts", F.col("us").alias("ts_us"), F.lit(0).alias("prio"), F.lit(None).cast("long").alias("ident"))
+    return rows.groupBy("worker").transformWithStateInPandas(statefulProcessor=_Flips(ttl_us), outputStructType=FLIP, outputMode="Append", timeMode="EventTime")
+
+
 def dedup_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First event per id; ids are remembered for the watermark delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -17,6 +17,11 @@ _TEXT = T.StructType([T.StructField("v", T.StringType())])
 Row = tuple[int, int, object, tuple]
 
 
+def _place(row: Row) -> tuple:
+    """Order of rows: time, priority, id (none last)."""
+    return row[0], row[1], row[2] is None, row[2] if row[2] is not None else 0
+
+
 class Slots:
     """Rows of one source in a map state, keyed by slot of time: adding, reading a range and forgetting touch only the slots concerned."""
 
@@ -30,7 +35,7 @@ class Slots:
     def between(self, low: int, high: int) -> list[Row]:
         """Rows with low <= time <= high, in order."""
         found = [r for slot in self._slots() if low // self.width <= slot <= high // self.width for r in self._rows(slot)]
-        return sorted((r for r in found if low <= r[0] <= high), key=lambda r: r[:3])
+        return sorted((r for r in found if low <= r[0] <= high), key=_place)
 
     def take(self, upto: int) -> list[Row]:
         """Rows up to a time, in order; they leave the state."""
@@ -43,7 +48,7 @@ class Slots:
                 for r in rows:
                     if r[0] > upto:
                         self.add(r)
-        return sorted(out, key=lambda r: r[:3])
+        return sorted(out, key=_place)
 
     def first(self) -> int | None:
         slots = self._slots()
@@ -99,6 +104,10 @@ class InOrder(StatefulProcessor):
     def step(self, memory: dict, row: Row, ring: Slots) -> list[tuple]:
         raise NotImplementedError
 
+    def due(self, memory: dict, upto_us: int) -> tuple[list[tuple], int | None]:
+        """Rows that are due by a time without a row of the input, and the next time to look (microseconds)."""
+        return [], None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         waiting, first = Slots(self.waiting_state, self.slot_us), None
         for pdf in rows:
@@ -114,16 +123,20 @@ class InOrder(StatefulProcessor):
         waiting, ring = Slots(self.waiting_state, self.slot_us), Slots(self.ring_state, self.slot_us)
         memory = json.loads(self.memo.get()[0]) if self.memo.exists() else dict(self.fresh)
         out: list[tuple] = []
-        ready = waiting.take(timerValues.getCurrentWatermarkInMs() * 1000)
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = waiting.take(upto)
         for row in ready:
             out += self.step(memory, row, ring)
         if ready:
             ring.drop_before(ready[-1][0] - self.reach_us)
+        more, wake = self.due(memory, upto)
+        out += more
         waiting.save()
         ring.save()
         self.memo.update((json.dumps(memory),))
-        if (first := waiting.first()) is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+        for at in (waiting.first(), wake):
+            if at is not None:
+                self.handle.registerTimer(at // 1000 + 1)
         yield self._frame(key[0], out)
 
     def close(self) -> None:

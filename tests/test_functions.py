@@ -199,3 +199,64 @@ def test_phrases_of_any_length():
     hit = matcher.match_first(text)
     assert text[hit.start : hit.end] == phrase.replace("deal", "dael") and 95 < hit.score < 100
     assert matcher.match_first("nothing of the kind " * 10) is None
+
+
+def test_bounded_alignment_against_brute_force():
+    """Every cut-off gives the exact length or rightly none, by either way through."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        a = "".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 60)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 12)):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "x", "ab"])
+        b = "".join(b)
+        want = brute_lcs(a, b)
+        for least in {0, max(0, want - 1), want, want + 1, len(a), len(b)}:
+            got = fuzzy.lcs_at_least(a, b, least)
+            assert got == (want if want >= least else None), (a, b, least)
+        assert fuzzy._differences(a, b, len(a) + len(b)) == len(a) + len(b) - 2 * want
+        assert fuzzy._lcs_bits(a, b, want) == want and fuzzy._lcs_bits(a, b, want + 1) is None
+        for minimum in (60.0, 75.0, 90.0):
+            full = fuzzy.indel_ratio(a, b)
+            assert fuzzy.indel_ratio(a, b, minimum) == (full if full >= minimum else None)
+
+
+def test_alignment_costs_the_differences():
+    """Long texts that differ little, and such that differ too much, take a fraction of the bit matrix."""
+    import time
+
+    rnd = random.Random(4)
+    a = "".join(rnd.choice("abcdefgh ") for _ in range(200_000))
+    b = a[:50_000] + "x" + a[50_001:120_000] + a[120_005:]
+
+    def took(run):
+        start = time.perf_counter()
+        return run(), time.perf_counter() - start
+
+    near, fast = took(lambda: fuzzy.lcs_at_least(a, b, 150_000))
+    assert near == 200_000 - 6 and fast < 0.5
+    other = "".join(rnd.choice("abcdefgh ") for _ in range(150_000)) + "z" * 50_000
+    assert took(lambda: fuzzy.lcs_at_least(a, other, 180_000))[0] is None
+
+
+def test_dense_stretch_is_necessary():
+    """Whatever the matcher finds of a phrase without required words, has the stretch that the filter asks for."""
+    rnd = random.Random(6)
+    from dictalog.functions.phrases import BARE_CLOSE
+
+    matcher = fuzzy.PhraseMatcher([fuzzy.Pattern("end", p) for p in BARE_CLOSE])
+    hits = 0
+    for _ in range(3000):
+        mid = list(rnd.choice(BARE_CLOSE))
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randint(0, len(mid))
+            mid[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "t", " "])
+        text = "and so " + "".join(mid) + " it is"
+        for m in matcher.best_per_pattern(text):
+            d = fuzzy.Dense.of(fuzzy.normal(m.phrase), fuzzy.RATIO_MIN)
+            runs = [len(x) for x in __import__("re").split(d.others, text)]
+            assert any(sum(runs[i : i + d.foreign + 1]) >= d.least for i in range(len(runs)))
+            assert __import__("re").search(d.run, text)
+            hits += 1
+    assert hits > 500
