@@ -15,7 +15,7 @@ from dictalog.plans import views
 from dictalog.plans.registry import query
 from dictalog.session import shared_dir
 from dictalog.sources import sinks
-from dictalog.streaming.runner import completion_report, run_available, run_each_batch, stream_of
+from dictalog.streaming.runner import completion_report, run_available, run_each_batch, run_until_done, stream_of
 from dictalog.streaming.segmenter import stream_drafts
 
 PUNCT_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
@@ -509,16 +509,27 @@ def persisted(spark, events):
     )
 
 
-@query(
-    "t10_stream_completion",
-    f"""SELECT t.source_id, t.last_speech, t.last_text, t.last_speech - t.last_text AS gap, t.last_speech - t.last_text > 0.5 AS pending,
+COMPLETION_SQL = f"""SELECT t.source_id, t.last_speech, t.last_text, t.last_speech - t.last_text AS gap, t.last_speech - t.last_text > 0.5 AS pending,
         NOT (t.last_speech - t.last_text > 0.5) AND NOT coalesce(d.any_forced, false) AS all_done
         FROM (SELECT source_id, max(audio_end_time) + CAST(0.25 AS DOUBLE) AS last_speech, max(audio_end_time) AS last_text FROM v_texts GROUP BY 1) t
-        LEFT JOIN (SELECT source_id, max(CAST(forced AS INT)) = 1 AS any_forced FROM ({DRAFTS_SQL}) x GROUP BY 1) d ON d.source_id = t.source_id""",
-)
+        LEFT JOIN (SELECT source_id, max(CAST(forced AS INT)) = 1 AS any_forced FROM ({DRAFTS_SQL}) x GROUP BY 1) d ON d.source_id = t.source_id"""
+
+
+@query("t10_stream_completion", COMPLETION_SQL)
 def t10(spark, sf):
     rows = views.texts(spark, sf)
-    events = run_available(stream_drafts(text_stream(spark, sf)), "completion")
+    return _completion(rows, run_available(stream_drafts(text_stream(spark, sf)), "completion"))
+
+
+@query("t10_endless_completion", COMPLETION_SQL)
+def t10_endless(spark, sf):
+    """The report of an endless stream that has noticed by itself that nothing more is open or waiting."""
+    rows = views.texts(spark, sf)
+    events, done = run_until_done(stream_drafts(text_stream(spark, sf)), "endless", limit_s=600)
+    return _completion(rows, events).withColumn("all_done", F.col("all_done") & F.lit(done))
+
+
+def _completion(rows, events):
     ended = events.filter(F.col("kind") == "end").select("source_id", "forced")
     speech = rows.select("source_id", (F.col("audio_end_time") + 0.25).alias("speech_end"))
     texts = rows.select("source_id", F.col("audio_end_time").alias("text_end"))

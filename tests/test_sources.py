@@ -152,3 +152,36 @@ def test_export(spark, tmp_path):
     sinks.export_draft_text(df, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/text").first()["text_line"] == "line one\nline two"
     assert spark.read.json(f"{tmp_path}/json").first()["properties"]["draft_id"] == "d1"
+
+
+def wav_file(path, n_frames, rate=1000, channels=2, width=2, junk=b"", cut=0):
+    """A WAV file, with another block before the samples, and its last bytes missing."""
+    samples = np.random.default_rng(n_frames).integers(-20000, 20000, n_frames * channels).astype({2: "<i2", 4: "<i4"}[width]).tobytes()
+    fmt = struct.pack("<4sLHHLLHH", b"fmt ", 16, 1, channels, rate, rate * channels * width, channels * width, 8 * width)
+    more = struct.pack("<4sL", b"LIST", len(junk)) + junk + b"\0" * (len(junk) % 2) if junk else b""
+    body = b"WAVE" + fmt + more + struct.pack("<4sL", b"data", len(samples)) + samples
+    whole = b"RIFF" + struct.pack("<L", len(body)) + body
+    path.write_bytes(whole[: len(whole) - cut])
+
+
+def test_long_file_in_parts_gives_the_rows_of_one_task(spark, tmp_path):
+    wav_file(tmp_path / "long.wav", 1237)
+    wav_file(tmp_path / "wide.wav", 300, width=4, channels=1, junk=b"odd")
+    wav_file(tmp_path / "exact.wav", 300)
+    wav_file(tmp_path / "empty.wav", 0)
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxxJUNK")
+    (tmp_path / "short.wav").write_bytes(b"RI")
+    wav_file(tmp_path / "bytes.wav", 10)
+    raw = bytearray((tmp_path / "bytes.wav").read_bytes())
+    raw[34] = 8  # one byte a sample
+    (tmp_path / "bytes.wav").write_bytes(bytes(raw))
+    name = lambda r: (r["source_id"] or "").rsplit("/", 1)[-1]
+    key = lambda r: (name(r), r["event_class"], r["chunk_no"] or 0, r["timestamp"], r["duration"], r["sample_rate"], r["channels"], r["blocksize"], r["data"])
+    whole = sorted((key(r) for r in audio_files.read_audio_corpus(spark, str(tmp_path), start_time=5.0).collect() if r["event_class"] != "AudioErrorEvent"), key=str)
+    for part_sec in (0.06, 0.3, 100.0):
+        rows = audio_files.read_long_audio(spark, str(tmp_path), start_time=5.0, part_sec=part_sec)
+        assert sorted((key(r) for r in rows.collect() if r["event_class"] != "AudioErrorEvent"), key=str) == whole
+        errors = [r["message"] for r in rows.collect() if r["event_class"] == "AudioErrorEvent"]
+        assert len(errors) == 3 and any("samples of 1 bytes" in m for m in errors)
+    spread = audio_files.read_long_audio(spark, str(tmp_path), part_sec=0.06).filter(F.col("source_id").endswith("long.wav"))
+    assert spread.select(F.spark_partition_id()).distinct().count() > 1

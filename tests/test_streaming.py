@@ -5,7 +5,7 @@ from test_segmenter import as_tuples, by_hand, noisy_rows
 from dictalog.functions import plugins
 from dictalog.session import shared_dir
 from dictalog.streaming import live
-from dictalog.streaming.runner import run_available, run_each_batch
+from dictalog.streaming.runner import run_available, run_each_batch, run_until_done
 from dictalog.streaming.segmenter import stream_drafts
 
 
@@ -87,3 +87,35 @@ def test_own_speech_scorer(spark):
     df = spark.createDataFrame([([0.5, -0.5], 16000)], "data ARRAY<FLOAT>, sample_rate INT")
     assert plugins.score_speech(df).first()["speech_score"] == 0.5
     assert plugins.score_speech(df, lambda: lambda d, r: float(d.max())).first()["speech_score"] == 0.5
+
+
+def test_endless_stream_ends_by_itself(spark):
+    """No trigger ends it: it stops when all input is through and no draft is open, else at the limit."""
+    rows = golden.rows()
+    done, finished = run_until_done(stream_drafts(in_batches(spark, [rows, stops(rows)], golden.SCHEMA)), "endless", limit_s=120)
+    golden.check([r.asDict() for r in done.collect() if r["kind"] == "end"])
+    assert finished
+    left, finished = run_until_done(stream_drafts(in_batches(spark, [[("a", 0, "freddy take this down and on", 0.0, 1.0)]], golden.SCHEMA)), "open", limit_s=15)
+    assert not finished and [r["kind"] for r in left.collect()] == ["start"]
+
+
+def test_workers_flip_against_a_walk(spark):
+    import random
+
+    r = random.Random(2)
+    ttl = 3_000_000
+    pings = {w: sorted({20_000_000 + r.randrange(60_000_000) for _ in range(12)}) for w in "abc"}
+    want = []
+    for w, times in pings.items():
+        last = None
+        for t in times:
+            want += [(w, False, last + ttl)] if last is not None and t - last > ttl else []
+            want += [(w, True, t)] if last is None or t - last > ttl else []
+            last = t
+        want.append((w, False, last + ttl))
+    rows = [(w, t) for w, times in pings.items() for t in times]
+    cuts = [0, 35_000_000, 36_000_000, 60_000_000, 1 << 60]
+    parts = [[x for x in rows if lo <= x[1] < hi] for lo, hi in zip(cuts, cuts[1:])] + [[("clock", 900_000_000)]]
+    stream = in_batches(spark, [p for p in parts if p], "worker STRING, us BIGINT").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "1 second")
+    got = run_available(live.worker_flips(stream, ttl), "flips").filter("worker <> 'clock'").collect()
+    assert sorted((x.worker, x.alive, x.at_us) for x in got) == sorted(want)
