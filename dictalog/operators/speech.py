@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dictalog.functions.samples import pcm16_encode, silence
-from dictalog.operators.ranges import lookback, range_join
+from dictalog.operators.ranges import lookback, plan_bins, planned_range_join, range_join
 from dictalog.operators.slices import KeySlices, neighbour, running, union_all
 
 KEY = "source_id"
@@ -237,9 +237,12 @@ def manifest_rows(segments: DataFrame) -> DataFrame:
 
 
 def draft_audio_range(
-    chunks: DataFrame, drafts: DataFrame, bin_us: int = 30_000_000, spread: int = 1
+    chunks: DataFrame, drafts: DataFrame, bin_us: int | None = 30_000_000, spread: int = 1
 ) -> DataFrame:
-    """Chunks of each draft, start and end inclusive. ``drafts(source_id, draft_id, start_us, stop_us)``."""
+    """Chunks of each draft, start and end inclusive. ``drafts(source_id, draft_id, start_us, stop_us)``. Without ``bin_us`` the bins are planned from the data."""
+    if bin_us is None:
+        bins = plan_bins(chunks, drafts, KEY, "ts_us", F.col("start_us"), F.col("stop_us"))
+        return planned_range_join(chunks, drafts, KEY, "ts_us", F.col("start_us"), F.col("stop_us"), bins)
     return range_join(chunks, drafts, KEY, "ts_us", F.col("start_us"), F.col("stop_us"), bin_us, spread=spread)
 
 

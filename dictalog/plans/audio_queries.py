@@ -108,17 +108,25 @@ def _drafts(segs):
     return segs.select("source_id", name.alias("draft_id"), "start_us", F.col("last_speech_us").alias("stop_us"))
 
 
-@query(
-    "j8_draft_audio_range",
-    f"""SELECT concat(s.source_id, '-', CAST(s.speech_no AS STRING)) AS draft_id, c.chunk_id FROM {SEGMENTS_SQL} s JOIN v_chunks c
-        ON c.source_id = s.source_id AND c.ts_us BETWEEN s.start_us AND s.last_speech_us""",
-)
+DRAFT_AUDIO_SQL = f"""SELECT concat(s.source_id, '-', CAST(s.speech_no AS STRING)) AS draft_id, c.chunk_id FROM {SEGMENTS_SQL} s JOIN v_chunks c
+        ON c.source_id = s.source_id AND c.ts_us BETWEEN s.start_us AND s.last_speech_us"""
+
+
+@query("j8_draft_audio_range", DRAFT_AUDIO_SQL)
 def j8(spark, sf):
     segs, tagged, _ = _segments(spark, sf)
     chunks = tagged.select("source_id", "chunk_id", "ts_us")
     return A.draft_audio_range(chunks, _drafts(segs), bin_us=1_000_000).select("draft_id", "chunk_id")
 
 
+@query("j8_planned_bins", DRAFT_AUDIO_SQL)
+def j8_planned(spark, sf):
+    """The same with bins planned from the lengths of the drafts and the density of the chunks."""
+    segs, tagged, _ = _segments(spark, sf)
+    chunks = tagged.select("source_id", "chunk_id", "ts_us")
+    return A.draft_audio_range(chunks, _drafts(segs), bin_us=None).select("draft_id", "chunk_id")
+
+
 BATCHED_SQL = f"""(SELECT *, CAST(floor((cum - n_samples - base) / 160) AS BIGINT) AS batch_no FROM (SELECT *,
  min(cum - n_samples) OVER (PARTITION BY source_id, speech_no) AS base FROM (SELECT *, sum(n_samples) OVER (PARTITION BY source_id ORDER BY chunk_id) AS cum
  FROM {TAGGED_SQL} t WHERE in_speech) a) b)"""

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dictalog.operators.ranges import lookback, overlap_join, range_join
+from dictalog.operators.ranges import lookback, overlap_join, plan_bins, planned_range_join, range_join
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,38 @@ def test_overlap_join(spark, data, width):
         (i, j) for k, i, s, e in spans for q, j, lo, hi in spans if k == q and e >= lo and s < hi
     )
     assert ids(got) == want
+
+
+@pytest.mark.parametrize("rows", [5, 1000])
+@pytest.mark.parametrize("closed", [True, False])
+def test_planned_bins(data, rows, closed):
+    points, ranges, p, r = data
+    want = sorted(
+        (i, j) for k, i, at in points for q, j, lo, hi in ranges if k == q and lo <= at and (at <= hi if closed else at < hi)
+    )
+    bins = plan_bins(p, r, "k", "at", F.col("lo"), F.col("hi"), rows)
+    assert ids(planned_range_join(p, r, "k", "at", F.col("lo"), F.col("hi"), bins, closed)) == want
+
+
+def test_hot_bin_and_long_range_are_spread(spark):
+    """A third of the points at one time, and a range over the whole source: no part of the join has more than three times the median's rows."""
+    rows = [("a", i, i * 10 if i % 3 else 15_000) for i in range(30_000)]
+    points = spark.createDataFrame(rows, "k STRING, pid INT, at BIGINT")
+    spans = [("a", j, j * 100, j * 100 + 2_000) for j in range(0, 3000, 10)] + [("a", -1, 0, 300_000)]
+    ranges = spark.createDataFrame(spans, "k STRING, rid INT, lo BIGINT, hi BIGINT")
+    bins = plan_bins(points, ranges, "k", "at", F.col("lo"), F.col("hi"), 200)
+    assert bins.hot.count() == 1 and bins.hot.first()["_parts"] >= 40
+    joined = planned_range_join(points, ranges, "k", "at", F.col("lo"), F.col("hi"), bins)
+    assert joined.filter("rid = -1").count() == 30_000
+    hot = bins.hot.first()["_bin"]
+    tagged = points.withColumn("_bin", F.floor(F.col("at") / bins.width)).join(bins.hot, ["k", "_bin"], "left")
+    salted = tagged.groupBy("_bin", F.pmod(F.xxhash64("k", "pid", "at"), F.coalesce("_parts", F.lit(1)))).count().collect()
+    sizes = sorted(x["count"] for x in salted)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and sum(x["_bin"] == hot for x in salted) >= 40
+
+
+def test_planned_bins_of_empty_tables(data):
+    _, _, p, r = data
+    for x, y in ((p.filter("false"), r), (p, r.filter("false"))):
+        bins = plan_bins(x, y, "k", "at", F.col("lo"), F.col("hi"))
+        assert planned_range_join(x, y, "k", "at", F.col("lo"), F.col("hi"), bins).count() == 0
