@@ -238,3 +238,55 @@ def test_mix_edges(edge, empty):
     out = mixing.mix(edge, mixing.n_words(F.col("text")))
     assert out.columns == edge.columns and out.count() == sum(x.copies for x in got)
     assert mixing.mix(empty, F.length("text")).count() == 0
+
+
+# -- numbers of rows
+
+
+def split_in(spark, parts, run):
+    """The result with scans split for so many cores."""
+    spark.conf.set("spark.sql.files.minPartitionNum", str(parts))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000000")
+    try:
+        return run()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbers_hold_when_cores_are_lost(spark, tmp_path):
+    """40 files, split for 7 cores, then for 3: every row keeps its number, so jobs planned before and after agree."""
+    from dictalog.llm.rows import numbered, without
+
+    df = table(spark, tmp_path, [(i, f"text {i}") for i in range(2000)], parts=40)
+    old = split_in(spark, 7, lambda: {r.doc_id: r.rid for r in df.withColumn("rid", F.monotonically_increasing_id()).collect()})
+    assert old != split_in(spark, 3, lambda: {r.doc_id: r.rid for r in df.withColumn("rid", F.monotonically_increasing_id()).collect()})
+    rows, name = numbered(df.filter("doc_id % 3 > 0").withColumn("more", F.lit(1)))
+    seen = split_in(spark, 7, lambda: {r.doc_id: r[name] for r in rows.collect()})
+    assert seen == split_in(spark, 3, lambda: {r.doc_id: r[name] for r in rows.collect()}) and len(set(seen.values())) == len(seen)
+    gone = spark.createDataFrame([(v,) for k, v in seen.items() if k % 2], "rid long")
+    assert {r.doc_id for r in split_in(spark, 3, lambda: without(rows, name, gone).collect())} == {k for k in seen if k % 2 == 0}
+    twice, name = numbered(df.select(F.explode(F.array("doc_id", "doc_id")).alias("doc_id")))  # two rows of one place in a file
+    assert twice.select(name).distinct().count() == 4000
+    both, name = numbered(df.unionByName(df))
+    assert both.select(name).distinct().count() == 4000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passage_in_a_third_of_different_documents(spark, tmp_path, seed):
+    """A passage that many otherwise different documents share, near copies among them, and documents of hardly more than the passage."""
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(100000)}" for _ in range(n)]
+    passage, rows = words(40), []
+    for i in range(150):
+        own = words(r.choice([3, 6, 12, 30, 90]))
+        at = r.randrange(len(own))
+        text = own[:at] + passage + own[at:] if i % 3 else own + words(40)
+        rows.append((len(rows), " ".join(text)))
+        if i % 4 == 0:
+            near = list(text)
+            near[r.randrange(len(near))] = "changed"
+            rows.append((len(rows), " ".join(near)))
+    df = table(spark, tmp_path, rows)
+    got = {x.id: x.component_id for x in parity.link_documents(df, s=parity.Settings(bucket=5000, buffer=20_000)).collect()}
+    assert got == {d: c for d, (_, c) in brute_links(rows).items()}
