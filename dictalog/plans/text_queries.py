@@ -392,36 +392,22 @@ def t1_parts(spark, sf):
     return sinks.whole_drafts(parts, ["draft_id"]).withColumn("full_text", F.trim("full_text")).select(*DRAFT_COLUMNS)
 
 
-TIED_SQL = "SELECT source_id, 0 AS seq, text, marker, audio_start_time, audio_end_time FROM {texts} WHERE marker IS NOT NULL AND seq < 2"
+def _tied(spark, sf, seq):
+    """Drafts of the texts with another sequence number, under which several tie."""
+    rows = views.texts(spark, sf).withColumn("seq", seq)
+    return S.build_drafts(rows, views.text_slices(rows)).withColumn("full_text", F.trim("full_text")).select(*DRAFT_COLUMNS)
 
 
-@query(
-    "t1_tied_order",
-    f"""SELECT count(*) AS n, sum(CASE WHEN forced THEN 1 ELSE 0 END) AS n_forced FROM (
-        SELECT source_id, audio_start_time, marker, coalesce(lead(marker) OVER (PARTITION BY source_id ORDER BY audio_start_time), 'none') = 'none' AS forced
-        FROM ({TIED_SQL.format(texts="v_texts")}) t) x WHERE marker = 'start'""",
-)
+@query("t1_tied_order", DRAFTS_SQL)
 def t1_tied(spark, sf):
-    """Texts with one sequence number stand in order of time; each is used once."""
-    rows = spark.sql(TIED_SQL.format(texts="{texts}"), texts=views.texts(spark, sf))
-    drafts = S.build_drafts(rows, views.text_slices(rows))
-    return drafts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("forced"), 1).otherwise(0)).alias("n_forced"))
-
+    """Texts tie in pairs: they stand in order of time, so the drafts are those of the untied texts."""
+    return _tied(spark, sf, F.floor(F.col("seq") / 2).cast("long"))
 
-ALL_TIED_SQL = "SELECT source_id, 0 AS seq, text, marker, audio_start_time, audio_end_time FROM {texts} WHERE marker IS NOT NULL"
 
-
-@query(
-    "t1_tied_whole",
-    f"""SELECT count(*) AS n, sum(CASE WHEN forced THEN 1 ELSE 0 END) AS n_forced FROM (
-        SELECT source_id, audio_start_time, marker, coalesce(lead(marker) OVER (PARTITION BY source_id ORDER BY audio_start_time), 'none') = 'none' AS forced
-        FROM ({ALL_TIED_SQL.format(texts="v_texts")}) t) x WHERE marker = 'start'""",
-)
+@query("t1_tied_whole", DRAFTS_SQL)
 def t1_tied_whole(spark, sf):
-    """All marked texts of a source have one sequence number, in whole sources."""
-    rows = spark.sql(ALL_TIED_SQL.format(texts="{texts}"), texts=views.texts(spark, sf))
-    drafts = S.build_drafts(rows, views.text_slices(rows))
-    return drafts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("forced"), 1).otherwise(0)).alias("n_forced"))
+    """All texts of a source tie."""
+    return _tied(spark, sf, F.lit(0).cast("long"))
 
 
 @query("t3_forced_end", f"SELECT source_id, opened_at, audio_end_time FROM ({DRAFTS_SQL}) x WHERE forced")
