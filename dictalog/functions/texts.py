@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import string
 
 from pyspark.sql import Column
@@ -47,6 +49,22 @@ def near_word(word: Column, wanted: Column) -> Column:
     return F.when(total < 20, short).otherwise(_near_long(word, wanted))
 
 
+def near_pattern(wanted: list[str]) -> str | None:
+    """Pattern that finds a word near one of ``wanted`` in a cleaned text, by the same rule: one regular expression instead of a comparison per word. None if
+    one of them is too long for that."""
+    if not wanted or max(map(len, wanted)) > 9:
+        return None
+    forms: set[str] = set()
+    for w in wanted:
+        n = len(w)
+        forms.add(re.escape(w))
+        if 2 * n - 1 >= 11:
+            forms |= {re.escape(w[:i] + w[i + 1 :]) for i in range(n)}
+        if 2 * n + 1 >= 11:
+            forms |= {re.escape(w[:i]) + r"\S" + re.escape(w[i:]) for i in range(n + 1)}
+    return rf"(?:^|\s)(?:{'|'.join(sorted(forms))})(?=\s|$)"
+
+
 def _near_long(word: Column, wanted: Column) -> Column:
     """A ratio of 90 allows total/10 inserts and drops. Few words are within as many edits; for those the longest common
     subsequence decides."""

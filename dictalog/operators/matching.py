@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from dictalog.functions import fuzzy
 from dictalog.functions.phrases import default_patterns
-from dictalog.functions.texts import clean_text, near_word, seam, tokens
+from dictalog.functions.texts import clean_text, near_pattern, near_word, seam, tokens
 from dictalog.operators.slices import KeySlices, neighbour, running
 
 KEY = "source_id"
@@ -273,9 +273,10 @@ def may_hold_boundary(text: Column, patterns: list[fuzzy.Pattern]) -> Column:
     anchors = sorted({clean_required(p.required[0]) for p in patterns if p.required})
     bare = sorted({fuzzy.normal(p.phrase) for p in patterns if not p.required})
     tests = []
-    if anchors:
-        tests.append(F.exists(tokens(text), lambda w: _any(near_word(w, F.lit(a)) for a in anchors)))
     cleaned = clean_text(text)
+    if anchors:
+        near = near_pattern(anchors)
+        tests.append(cleaned.rlike(near) if near else F.exists(tokens(text), lambda w: _any(near_word(w, F.lit(a)) for a in anchors)))
     tests += [_dense(cleaned, fuzzy.Dense.of(p, fuzzy.RATIO_MIN)) for p in bare]
     return _any(tests)
 

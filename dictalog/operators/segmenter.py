@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from dictalog.functions.fuzzy import SPACES, Match, Pattern, PhraseMatcher, clean_with_map, snap
 from dictalog.functions.phrases import default_patterns
-from dictalog.functions.texts import clean_text, near_word
+from dictalog.functions.texts import clean_text, near_pattern, near_word
 from dictalog.operators.matching import KEY, MATCH_FIELDS, draft_spans, may_hold_boundary, text_offset_map, widen
 from dictalog.operators.ranges import overlap_join
 from dictalog.operators.slices import KeySlices, neighbour, plan_slices, row_numbers, running
@@ -46,7 +46,9 @@ def add_heard(texts: DataFrame, slices: KeySlices, order: str, patterns: list[Pa
     rows = texts.withColumns({"_w": words, "_clean": F.transform(words, clean_text)})
 
     def last_near(q: str) -> Column:
-        return F.array_max(F.transform("_clean", lambda w, n: F.when(near_word(w, F.lit(q)), n)))
+        last = F.array_max(F.transform("_clean", lambda w, n: F.when(near_word(w, F.lit(q)), n)))
+        some = near_pattern([q])  # most texts have no such word at all
+        return F.when(clean_text(F.col("text")).rlike(some), last) if some else last
 
     last = {f"_n{i}": last_near(q) for i, q in enumerate(required)}
     rows = rows.withColumns(last)

@@ -260,3 +260,28 @@ def test_dense_stretch_is_necessary():
             assert __import__("re").search(d.run, text)
             hits += 1
     assert hits > 500
+
+
+def test_near_pattern_is_near_word():
+    """The pattern finds a text just if one of its words is near: all words one or two edits away from the required ones."""
+    import re
+
+    from dictalog.functions.phrases import CLOSE_VERBS, NAMES, OBJECT, OPEN_VERBS
+
+    rnd = random.Random(8)
+    required = [*NAMES, OBJECT, *OPEN_VERBS, *CLOSE_VERBS, "break", "great"]
+    for q in required:
+        pattern = re.compile(texts.near_pattern([q]))
+        near = 0
+        for _ in range(2000):
+            word = list(rnd.choice([q, q, rnd.choice(required)]))
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randint(0, len(word))
+                word[at : at + rnd.randint(0, 1)] = rnd.choice(["", q[0], "x", "1"])
+            word = "".join(word)
+            text = rnd.choice(["", "and ", "x\n"]) + word + rnd.choice(["", " more", "\t"])
+            want = any(w and fuzzy._near(w, q) for w in re.split(r"[ \t\n]", text))
+            assert (pattern.search(text) is not None) == want, (q, text)
+            near += want
+        assert near > 100
+    assert texts.near_pattern(["tenletters"]) is None
