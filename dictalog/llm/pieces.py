@@ -27,8 +27,18 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered per worker, in each of two generations.
 REMEMBERED = 200_000
+#: Words of which all n best are remembered.
+REMEMBERED_PATHS = 20_000
 
 Path = tuple[float, tuple[int, ...]]
+#: A word's best segmentation: score, ids, and what the second best loses.
+Word = tuple[float, tuple[int, ...], float]
+
+
+def _tree(nested: dict) -> tuple:
+    """A node: how to get the node of one letter more, and the piece that ends here, if one does."""
+    known = nested.pop("", None)
+    return {letter: _tree(below) for letter, below in nested.items()}.get, known
 
 
 class Pieces:
@@ -56,6 +66,13 @@ class Pieces:
         marks = [c for c in ".,;:!?" if not any(a.isalpha() and b == c for name in self.ids for a, b in zip(name, name[1:]))]
         self.ends = re.compile(f"(?<=[A-Za-z])(?=[{re.escape(''.join(marks))}])") if marks else None
         self.starts = {n[:i] for n in self.ids for i in range(1, len(n) + 1)}
+        nested: dict = {}
+        for name, known in self.ids.items():
+            node = nested
+            for letter in name:
+                node = node.setdefault(letter, {})
+            node[""] = known
+        self.tree = _tree(nested)[0]
 
     def best(self, word: str, n: int) -> list[Path]:
         """The n best segmentations of a word, best first."""
@@ -81,6 +98,62 @@ class Pieces:
                 ahead[i + 1] = max(ahead[i + 1], here + self.unknown)
         return self._backward(arcs, ahead, size, n)
 
+    def best_and_gap(self, word: str) -> Word:
+        """A word's best segmentation, and what the second best loses: the best path through some arc that isn't on the best path. With the best scores before and
+        behind each place that takes no search."""
+        size, unknown, root = len(word), self.unknown, self.tree
+        ahead = [-1e300] * (size + 1)
+        ahead[0] = 0.0
+        by: list[tuple | None] = [None] * (size + 1)  # the arc of the best path to each place
+        arcs: list[tuple] = []
+        add = arcs.append
+        for i in range(size):
+            here, longer, j = ahead[i], root, i
+            single = False
+            for letter in word[i:]:
+                node = longer(letter)
+                if node is None:
+                    break
+                j += 1
+                longer, known = node
+                if known:
+                    score, ids = known
+                    arc = (i, j, score, ids)
+                    add(arc)
+                    score += here
+                    if score > ahead[j]:
+                        ahead[j] = score
+                        by[j] = arc
+                    if j == i + 1:
+                        single = True
+            if not single:
+                letter = SPACE if word[i] == _LITERAL else word[i]
+                arc = (i, i + 1, unknown, tuple(self.bytes[b] for b in letter.encode()))
+                arcs.append(arc)
+                if here + unknown > ahead[i + 1]:
+                    ahead[i + 1] = here + unknown
+                    by[i + 1] = arc
+        path, place = [], size
+        while place:
+            path.append(by[place])
+            place = by[place][0]
+        total = ahead[size]
+        ids = tuple(chain.from_iterable(arc[3] for arc in reversed(path)))
+        if len(arcs) == len(path):
+            return total, ids, math.inf
+        behind = [-1e300] * size + [0.0]
+        second = -math.inf
+        on_path = set(map(id, path))
+        for arc in reversed(arcs):  # arcs of later starts first
+            i, j, score, _ = arc
+            rest = score + behind[j]
+            if rest > behind[i]:
+                behind[i] = rest
+            rest += ahead[i]
+            if rest > second and id(arc) not in on_path:
+                second = rest
+        return total, ids, max(0.0, total - second) if second > -1e299 else math.inf
+
     @staticmethod
     def _backward(arcs, ahead, size, n) -> list[Path]:
         # Every open item stands for all paths with its end part, and its total is that of the best of them. So n items,
@@ -125,8 +198,6 @@ _LITERAL = "\ud800"
 
 _RUNS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
-#: A word's best segmentation: score, ids, and what the second best loses.
-Word = tuple[float, tuple[int, ...], float]
 _score, _ids, _gap = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -137,17 +208,26 @@ class Encoder:
         self.pieces, self.n = pieces, n
         self.young: dict[str, Word] = {}
         self.old: dict[str, Word] = {}
+        self.paths: dict[str, list[Path]] = {}
 
     def word(self, w: str) -> Word:
         found = self.young.get(w) or self.old.get(w)
         if not found:
-            first, *more = self.pieces.best(w, 2)
-            found = (*first, first[0] - more[0][0] if more else math.inf)
+            found = self.pieces.best_and_gap(w)
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[w] = found
         return found
 
+    def all_paths(self, w: str) -> list[Path]:
+        """The n best of a word that is near its second best: much the same few words in most texts."""
+        found = self.paths.get(w)
+        if found is None:
+            if len(self.paths) >= REMEMBERED_PATHS:
+                self.paths.clear()
+            found = self.paths[w] = self.pieces.best(w, self.n)
+        return found
+
     def words(self, text: str) -> list[str]:
         """Stretches no piece goes across: each begins at a space, and line ends stand alone."""
         if SPACE in text:
@@ -180,7 +260,7 @@ class Encoder:
             gaps[cheap[-1]] = math.inf
         found: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
         for i in sorted(cheap):
-            paths = self.pieces.best(words[i], self.n)
+            paths = self.all_paths(words[i])
             more = [(loss + paths[0][0] - s, swap + (((i, ids),) if k else ())) for loss, swap in found for k, (s, ids) in enumerate(paths)]
             found = sorted(more)[: self.n]
         return parts, [(total - loss, dict(swap)) for loss, swap in found]
