@@ -120,26 +120,34 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, vector) of the vectors that take part: with an id, not null, zero or empty, all components finite, of the commonest length."""
+    """(vec_id, vector) of the vectors that take part: with an id, not null, zero or empty, all components finite."""
     v = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    sizes = v.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    return v.filter(F.size("vector") == (sizes["size"] if sizes else 0))
+    return v.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
 def search(vectors: DataFrame, is_query, s: Settings = Settings(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (of vec_id) holds the ``k`` others with the largest inner product found.
 
-    Nearest first, ties to the smaller id; fewer rows where there are fewer others. Ids should be unique: rows that repeat id and vector count once.
+    Nearest first, ties to the smaller id; fewer rows where there are fewer others. Vectors are compared with those of their own length, in an index for each
+    length. Ids should be unique: rows that repeat id and vector count once.
     """
-    all_rows = materialize(usable(vectors, vec_id, vector), "vectors")
+    every = materialize(usable(vectors, vec_id, vector), "usable")
+    asked = materialize(every.filter(is_query(F.col("vec_id"))).distinct(), "asked")
+    out = None
+    for n in sorted(r[0] for r in asked.select(F.size("vector")).distinct().collect()):
+        found = _of_length(every.filter(F.size("vector") == n), asked.filter(F.size("vector") == n), s)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else every.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_length(all_rows: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
     first = Window.partitionBy("vector").orderBy("vec_id")
     # k others and the query itself are all that equal vectors can give one result
     some = all_rows.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= s.k + 1)
     points = some.groupBy("vector").agg(F.min("vec_id").alias("did"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = materialize(points, "points")
-    queries = materialize(all_rows.filter(is_query(F.col("vec_id"))).distinct().join(points.select("vector", "did"), "vector").select(F.col("vec_id").alias("query_id"), "did"), "queries")
+    queries = materialize(asked.join(points.select("vector", "did"), "vector").select(F.col("vec_id").alias("query_id"), "did"), "queries")
 
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     n, longest = points.agg(F.count(F.lit(1)), F.max(length)).first()

@@ -174,6 +174,9 @@ def test_copies_ties_and_unusable_vectors(spark):
     for x in postings.search(df, lambda i: i % 7 == 0, s).orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append(x.vec_id)
     assert got == nearest(rows, lambda i: i % 7 == 0, 20)
+    one = postings.search(df.filter("vec_id = 1005 or vec_id < 10").unionByName(spark.createDataFrame([(14, [2.0], "clash"), (21, [3.0], "clash")], df.schema)), lambda i: i % 7 == 0).collect()
+    # vectors of a rarer length find each other
+    assert [(x.vec_id, x.score) for x in sorted(one, key=lambda x: x.rank) if x.query_id == 14] == [(21, 6.0), (1005, 2.0)]
     few = postings.search(df.filter("vec_id in (7, 8, 14)"), lambda i: i % 7 == 0).collect()
     assert len(few) == 4
     assert postings.search(df.filter("false"), lambda i: i % 7 == 0).count() == 0
