@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictalog.llm.rows import fields_of, struct_of
+from dictalog.llm.rows import fields_of, numbered, struct_of
 from dictalog.session import materialize
 
 #: Kinds in order, and their patterns. Possessive quantifiers and the borders in front match the same
@@ -146,14 +146,15 @@ def spans(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     return found.select("rid", "kind", "start", "end").unionByName(marked)
 
 
-def span_lists(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
+def span_lists(docs: DataFrame, s: Settings = Settings(), text: str = "text", rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: rid and spans, an array of (start, kind, end) by start, then kind (empty where there are none).
 
-    rid numbers the rows of ``docs`` (monotonically_increasing_id over the same scan).
+    rid is the column of that name (see ``rows.numbered``), or a new number.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{text}`").alias("text"))
+    docs, rid = numbered(docs, rid)
+    base = docs.select(F.col(rid).alias("rid"), F.col(f"`{text}`").alias("text"))
     lists = spans(base, s).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(F.col(rid).alias("rid"))
     return rows.join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")))
 
 
@@ -167,8 +168,9 @@ def written(kinds_below: int | None = None) -> Column:
 def sanitised(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """``docs``, all columns, with the spans taken out of the text: values become their kind in brackets, disclosing terms go
     (kind term) or become [word] (kind hint). Of overlapping spans the first counts, up to its end. Null texts stay null."""
-    lists = span_lists(docs, s, text).filter("size(spans) > 0")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), struct_of(docs, docs.columns).alias("row")).join(lists, "rid", "left")
+    placed, rid = numbered(docs)
+    lists = span_lists(placed, s, text, rid).filter("size(spans) > 0")
+    rows = placed.select(F.col(rid).alias("rid"), struct_of(docs, docs.columns).alias("row")).join(lists, "rid", "left")
     whole, marks = F.col("row").getField(text), F.col("spans")
     names = F.array(*[F.lit(x) for x in ("[email]", "[ip]", "[card]", "[phone]", "", "[word]")])
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(marks, 1, i), lambda x: x["end"])), F.lit(0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictalog.llm.rows import without
+from dictalog.llm.rows import numbered, without
 from dictalog.session import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -24,15 +24,16 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=content_hash) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=content_hash, rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, its id, keep_id, group_size, kept and text_sha256.
 
     Texts are equal when they are without white space. The row with the most code points in its original text stays, then
     the smallest id (null last), then the first row; of rows repeated in all columns one stays. ``digest`` makes the hash (tests pass one that
-    collides). rid numbers the rows of ``docs`` (monotonically_increasing_id over the same scan).
+    collides). rid is the column of that name (see ``rows.numbered``), or a new number.
     """
+    docs, rid = numbered(docs, rid)
     base = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        F.col(rid).alias("rid"),
         F.col(f"`{doc_id}`").alias("id"),
         F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("points"),
         normalised(F.col(f"`{text}`")).alias("norm"),
@@ -65,4 +66,5 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts."""
-    return without(docs, exact_groups(docs, doc_id, text).filter(~F.col("kept")))
+    rows, rid = numbered(docs)
+    return without(rows, rid, exact_groups(rows, doc_id, text, rid=rid).filter(~F.col("kept")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictalog.llm.rows import fields_of, struct_of
+from dictalog.llm.rows import fields_of, numbered, struct_of
 from dictalog.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,13 +44,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, size: Column, seed: str = "mix", source: str = "source", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
+def copies(docs: DataFrame, size: Column, seed: str = "mix", source: str = "source", doc_id: str = "doc_id", most: int = MOST, rid: str | None = None) -> DataFrame:
     """(rid, id, source, size, source_size, target, copies) for every row of ``docs``.
 
-    A null size counts as 0. A document of size 0 may be taken but adds no words. Repeated rows and ids are documents of their own. rid numbers the rows
-    of ``docs`` (monotonically_increasing_id over the same scan).
+    A null size counts as 0. A document of size 0 may be taken but adds no words. Repeated rows and ids are documents of their own. rid is the column
+    of that name (see ``rows.numbered``), or a new number.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    docs, rid = numbered(docs, rid)
+    rows = docs.select(F.col(rid).alias("rid"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     rows = materialize(rows, "sizes")
     targets = source_targets(rows, most=most)
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("none"))))
@@ -72,7 +73,8 @@ def copies(docs: DataFrame, size: Column, seed: str = "mix", source: str = "sour
 
 def mix(docs: DataFrame, size: Column, seed: str = "mix", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it."""
-    taken = copies(docs, size, seed, source, doc_id).filter("copies > 0").select("rid", "copies")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), struct_of(docs, docs.columns).alias("row"))
+    placed, rid = numbered(docs)
+    taken = copies(placed, size, seed, source, doc_id, rid=rid).filter("copies > 0").select("rid", "copies")
+    rows = placed.select(F.col(rid).alias("rid"), struct_of(docs, docs.columns).alias("row"))
     out = rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*fields_of("row", docs.columns))

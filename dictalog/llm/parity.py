@@ -7,9 +7,10 @@ is sketched for its own band and for the next, where larger partners are. Sets w
 shingles as blocks of one too.
 
 Equal sets are one node. Blocks go to buckets packed, as (block hash, set) pairs; a bucket gives the pairs of the sets that share a block. A block
-shared by many sets is *large*: its sets are linked to one of them where similar enough. Sets all of whose agreement may lie in large blocks are then
-compared with the sets of their large blocks in other components, which settles every link that could join components. A dense sketch, of
-two to eight parity bits for each shingle, rejects most pairs by its Hamming distance; the rest is verified on the texts.
+shared by many sets is *large*: its sets are linked to one of them where similar enough. The sets of large blocks that still hold more than one component get
+a second sketch, whose blocks have one shingle each: a linked pair whose agreement lies in large blocks mostly shares shingles that are rare. What is
+left shares large shingles only, at least three quarters of both sets; only such sets are compared with those of their large blocks in other components. So every link
+that could join components is settled. A dense sketch, of two to eight parity bits for each shingle, rejects most pairs by its Hamming distance; the rest is verified on the texts.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dictalog.llm import batches as B
 from dictalog.llm.graphs import components
-from dictalog.llm.rows import without
+from dictalog.llm.rows import numbered, without
 from dictalog.session import materialize
 
 WORDS = 5
@@ -103,31 +103,42 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SETS = "rid long, n long, sa long, sb long, spare long, sketch array<long>"
+SETS = "rid long, n long, sa long, sb long, name long, spare long, above long, sketch array<long>"
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """spare: filled blocks in the own band beyond the largest difference (0 or less: too few)."""
+    """spare: filled blocks in the own band beyond the largest difference (0 or less: too few). above: in the next band."""
     for b in B.slices(parts):
         sets = shingles(b.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
-        sa, sb, spare = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        sa, sb, name, spare, above = (np.zeros(len(n), np.int64) for _ in range(5))
         sketches: list[np.ndarray | None] = [None] * len(n)
         for i, s in enumerate(sets):
             if len(s):
                 band = int(np.searchsorted(TOPS, len(s)))
                 sa[i], sb[i] = (B.signed(B.mix(s + B.U64(k)).sum(keepdims=True))[0] for k in (1, 2))
-                spare[i] = blocks(s, band)[1] - most_apart(len(s), band)
+                name[i] = _named(s)
+                spare[i], above[i] = (blocks(s, k)[1] - most_apart(len(s), k) for k in (band, band + 1))
                 sketches[i] = _sketch(s)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), *map(pa.array, (n, sa, sb, spare)), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "n", "sa", "sb", "spare", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("rid"), *map(pa.array, (n, sa, sb, name, spare, above)), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "n", "sa", "sb", "name", "spare", "above", "sketch"])
 
 
-PACKED = "bucket int, packed binary, key long, sa long, own boolean"
+def _named(tokens: np.ndarray) -> int:
+    """A set's name in the buckets: a hash, with the logarithm of its size in the last 16 bits. Sets of one name are told apart later."""
+    sa = int(B.signed(B.mix(tokens + B.U64(1)).sum(keepdims=True))[0])
+    return (sa & ~0xFFFF) | int(np.log(len(tokens)) * SIZE_SCALE)
 
 
-def _pack(n_buckets: int, s: Settings):
-    """Texts to packed blocks by bucket. Of a block that is large within the buffer some sets go packed, so the bucket
-    knows it as large, and all go on as rows of their own."""
+SIZE_SCALE = 2000
+#: Names of linked sets differ by so much in the last 16 bits at most.
+SIZE_REACH = int(np.log(DEN / NUM) * SIZE_SCALE) + 2
+
+PACKED = "bucket int, packed binary"
+
+
+def _pack(n_buckets: int, s: Settings, single: bool = False):
+    """Texts to packed blocks by bucket; ``single``: blocks of one shingle. Of a block that is large within the buffer some sets go to its bucket, so that it is
+    known as large there, and all go on together with the buffer's other large blocks, to a bucket of no key."""
 
     def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([f[0] for f in found])
@@ -140,17 +151,17 @@ def _pack(n_buckets: int, s: Settings):
         size = np.diff(np.append(first, len(keys)))
         place = np.arange(len(keys)) - np.repeat(first, size)
         large = np.repeat(size > s.few, size)
+        ids, packed = [], []
         if large.any():
-            k = B.signed(keys[large])
-            rows = [pa.array((n_buckets + (which[large] % n_buckets)).astype(np.int32)), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(sets[which[large]]), pa.array(own[large])]
-            yield pa.RecordBatch.from_arrays(rows, ["bucket", "packed", "key", "sa", "own"])
+            head = np.array([-1, large.sum()], np.int64)
+            packed.append(head.tobytes() + keys[large].tobytes() + sets[which[large]].tobytes() + own[large].tobytes())
+            ids.append(n_buckets + int(keys[0] % B.U64(n_buckets)))
         stay = ~large | (place <= s.few)
         keys, which, own = keys[stay], which[stay], own[stay]
         bucket = (keys % B.U64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keys, which, own, bucket = keys[order], which[order], own[order], bucket[order]
         bounds = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        ids, packed = [], []
         for i in range(n_buckets):
             a, e = bounds[i], bounds[i + 1]
             if e > a:
@@ -160,8 +171,7 @@ def _pack(n_buckets: int, s: Settings):
                 tag = tag.astype(np.uint16) if len(local) < 1 << 15 else tag
                 packed.append(head.tobytes() + sets[local].tobytes() + (keys[a:e] >> B.U64(32)).astype(np.uint32).tobytes() + tag.tobytes())
                 ids.append(i)
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary()), none, none, pa.nulls(len(ids), pa.bool_())], ["bucket", "packed", "key", "sa", "own"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, size = [], set(), 0
@@ -169,12 +179,15 @@ def _pack(n_buckets: int, s: Settings):
             for t in shingles(b.column("text")):
                 if not len(t):
                     continue
-                sa = int(B.signed(B.mix(t + B.U64(1)).sum(keepdims=True))[0])
-                if sa in seen:  # a copy within the buffer
+                name, other = _named(t), int(B.mix(t + B.U64(2)).sum())
+                if (name, other) in seen:  # a copy within the buffer
+                    continue
+                seen.add((name, other))
+                if single:
+                    found.append((B.mix(t + B.U64(3)), name, True))
                     continue
-                seen.add(sa)
                 band = int(np.searchsorted(TOPS, len(t)))
-                found += [(blocks(t, band)[0], sa, True), (blocks(t, band + 1)[0], sa, False)]
+                found += [(blocks(t, band)[0], name, True), (blocks(t, band + 1)[0], name, False)]
             size += len(B.text_bytes(b.column("text"))[0])
             if size >= s.buffer and found:
                 yield from emit(found)
@@ -196,8 +209,9 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SHARED = "key long, a long, b long, own boolean"
 
 
-def _share(few: int):
-    """Packed blocks, sorted by bucket, to pairs (a, b) of sets that share a small block, once a bucket, and (key, a) of large ones."""
+def _share(few: int, single: bool):
+    """Packed blocks, sorted by bucket, to pairs (a, b) of sets that share a small block, once a bucket, and (key, a) of large ones (``single``: the number of its
+    large blocks as the key, once for each set)."""
 
     def emit(bucket: int, found: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, sets, own = (np.concatenate(x) for x in zip(*map(_unpack, found)))
@@ -216,31 +230,44 @@ def _share(few: int):
                 i, j = np.triu_indices(n, 1)
                 pairs.append(np.stack((members[:, i].ravel(), members[:, j].ravel()), 1))
         if pairs:
-            p = np.unique(np.concatenate(pairs), axis=0)
+            p = np.concatenate(pairs)
+            p = np.unique(p[np.abs((p[:, 0] & 0xFFFF) - (p[:, 1] & 0xFFFF)) <= SIZE_REACH], axis=0)
             none = pa.nulls(len(p), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(len(p), pa.bool_())], ["key", "a", "b", "own"])
         large = np.repeat(size > few, size)
-        if large.any():
+        if large.any() and single:
+            k, n = np.unique(sets[large], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.bool_())], ["key", "a", "b", "own"])
+        elif large.any():
             k = (keys[large].astype(np.int64) << 20) | (bucket & 0xFFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sets[large]), pa.nulls(len(k), pa.int64()), pa.array(own[large])], ["key", "a", "b", "own"])
 
     return emit
 
 
-def _shared(n_buckets: int, few: int):
-    emit = _share(few)
+def _shared(n_buckets: int, few: int, single: bool = False):
+    emit = _share(few, single)
+
+    def direct(packed: bytes) -> Iterator[pa.RecordBatch]:
+        n = int(np.frombuffer(packed, np.int64, 1, 8)[0])
+        full, sets = np.frombuffer(packed, np.uint64, n, 16), np.frombuffer(packed, np.int64, n, 16 + 8 * n)
+        own = np.frombuffer(packed, bool, n, 16 + 16 * n)
+        if single:  # those that stayed in their bucket are counted there
+            place = np.arange(n) - np.repeat(*(lambda first: (first, np.diff(np.append(first, n))))(np.flatnonzero(np.concatenate(([True], full[1:] != full[:-1])))))
+            k, count = np.unique(sets[place > few], return_counts=True)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.bool_())], ["key", "a", "b", "own"])
+            return
+        k = ((full >> B.U64(32)).astype(np.int64) << 20) | ((full % B.U64(n_buckets)).astype(np.int64) & 0xFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sets), pa.nulls(n, pa.int64()), pa.array(own)], ["key", "a", "b", "own"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = -1, []
         for b in parts:
-            direct = b.column("packed").is_null()
-            rows = b.filter(direct)
-            if rows.num_rows:
-                full = rows.column("key").to_numpy().view(np.uint64)
-                k = ((full >> B.U64(32)).astype(np.int64) << 20) | ((full % B.U64(n_buckets)).astype(np.int64) & 0xFFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(k), rows.column("sa"), pa.nulls(rows.num_rows, pa.int64()), rows.column("own")], ["key", "a", "b", "own"])
-            rows = b.filter(pc.invert(direct))
-            for bucket, packed in zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist()):
+            for bucket, packed in zip(b.column("bucket").to_pylist(), b.column("packed").to_pylist()):
+                if bucket >= n_buckets:
+                    yield from direct(packed)
+                    continue
                 if bucket != now and found:
                     yield from emit(now, found)
                     found = []
@@ -271,20 +298,25 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are linked: by size and parity bits, then on the texts."""
+    """Of pairs (a, b) of nodes those that are linked: by size, by parity bits, then on the texts."""
+    size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").filter(near_sizes(F.col("n_a"), F.col("n_b"))).select("a", "b")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+    near = near.join(side("a"), "a").join(side("b"), "b").filter(may_link(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
     near = materialize(near, "near")
     asked = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    asked = materialize(asked, "asked")
-    # ids are broadcast up to a checked number; beyond it the texts are shuffled to them
-    small = asked.count() <= BROADCAST_IDS
-    asked = materialize(texts.join(F.broadcast(asked) if small else asked, "rid"), "asked-texts")
+    asked = materialize(texts_of(texts, asked), "asked-texts")
     side = lambda x: asked.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}"))
     full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return materialize(full.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def texts_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts of some ids (rid). Ids are broadcast up to a checked number; beyond it the texts are shuffled to them."""
+    asked = materialize(asked, "asked")
+    return texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "rid")
+
+
 def _open(large: DataFrame, group: DataFrame) -> DataFrame:
     """(key, node, component, most): the sets of large blocks that hold more than one component; most is the largest there."""
     member = large.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -302,43 +334,67 @@ def may_link(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Co
     a, b = sketch_a, sketch_b
     sketch_a, sketch_b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
     apart = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (F.least(n_a, n_b) * DEN >= F.greatest(n_a, n_b) * NUM)
-    return near & (apart * (DEN + NUM) <= (n_a + n_b) * (DEN - NUM))
+    return near_sizes(n_a, n_b) & (apart * (DEN + NUM) <= (n_a + n_b) * (DEN - NUM))
 
 
-def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+def near_sizes(n_a: Column, n_b: Column) -> Column:
+    return F.least(n_a, n_b) * DEN >= F.greatest(n_a, n_b) * NUM
+
+
+def _shares(texts: DataFrame, total: int, s: Settings, single: bool = False) -> DataFrame:
+    """What ``_share`` gives for the blocks of all texts; ``total`` shingles set the number of buckets."""
+    n_buckets = max(1, -(-total // s.bucket))
+    packed = texts.mapInArrow(_pack(n_buckets, s, single), PACKED).repartition(2 * n_buckets, "bucket").sortWithinPartitions("bucket")
+    return materialize(packed.mapInArrow(_shared(n_buckets, s.few, single), SHARED), "shared")
+
+
+def _pairs(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of nodes (a < b) for pairs of names."""
+    name = lambda x: names.select(F.col("sa").alias(x), F.col("node").alias(f"node_{x}"))
+    pairs = shared.filter("b is not null").select("a", "b").distinct().join(name("a"), "a").join(name("b"), "b")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings(), rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, id, n_shingles, component_id (the smallest id reachable by links, the own included) and component (a rid).
 
     Null ids count last; a component of null ids only has a null id. Null and empty texts, and texts without words, link with nothing. Repeated rows and ids are
-    documents of their own. rid numbers the rows of ``docs`` (monotonically_increasing_id over the same scan).
+    documents of their own. rid is the column of that name (see ``rows.numbered``), or a new number.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs, rid = numbered(docs, rid)
+    base = docs.select(F.col(rid).alias("rid"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     texts = base.select("rid", "text")
     sets = materialize(texts.mapInArrow(_sets, SETS), "sets")
     filled = sets.filter("n > 0")
     # rows of one set differ in nothing but rid
     one = filled.groupBy("sa", "sb").agg(F.min("rid").alias("node"))
-    nodes = filled.join(one.select("node"), F.col("rid") == F.col("node")).select("node", "n", "sa", "sb", "spare", "sketch")
+    nodes = filled.join(one.select("node"), F.col("rid") == F.col("node")).select("node", "n", "sa", "sb", "name", "spare", "above", "sketch")
     nodes = materialize(nodes, "nodes")
 
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(1, -(-total // s.bucket))
-    packed = texts.mapInArrow(_pack(n_buckets, s), PACKED).repartition(2 * n_buckets, "bucket").sortWithinPartitions("bucket")
-    shared = materialize(packed.mapInArrow(_shared(n_buckets, s.few), SHARED), "shared")
-    names = nodes.select("sa", "node")
-    pairs = shared.filter("key is null").select("a", "b").distinct()
+    shared = _shares(texts, sets.agg(F.sum("n")).first()[0] or 0, s)
+    names = nodes.select(F.col("name").alias("sa"), "node")
     large = shared.filter("key is not null").select("key", F.col("a").alias("sa"), "own")
     large = materialize(large.groupBy("key", "sa").agg(F.max("own").alias("own")).join(names, "sa").select("key", "node", "own"), "large-blocks")
     stars = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    name = lambda x: names.select(F.col("sa").alias(x), F.col("node").alias(f"node_{x}"))
-    pairs = pairs.join(name("a"), "a").join(name("b"), "b")
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    links = _linked(pairs.unionByName(stars).distinct(), nodes, texts)
-
-    # pairs in large blocks that nothing joins yet, the larger set of which needs its large blocks
-    tight = large.filter("own").groupBy("node").agg(F.count(F.lit(1)).alias("of_large"))
-    info = nodes.join(tight, "node", "left").select("node", "n", "sketch", (F.col("spare") <= F.coalesce("of_large", F.lit(0))).alias("tight"))
-    member = materialize(_open(large, components(links)).join(info, "node"), "open-blocks")
+    links = _linked(_pairs(shared, names).unionByName(stars).distinct(), nodes, texts)
+
+    # pairs in large blocks that nothing joins yet: both sets may agree in nothing but large blocks of one band. By rare shingles, if they share some
+    group = components(links)
+    count = lambda own: F.sum((F.col("own") == own).cast("long"))
+    of_large = large.groupBy("node").agg(count(True).alias("of_own"), count(False).alias("of_above"))
+    tight = nodes.join(of_large, "node").select("node", "n", "name", "sketch", (F.col("spare") <= F.col("of_own")).alias("tight"), (F.col("above") <= F.col("of_above")).alias("partner"))
+    tight = tight.filter(F.col("tight") | F.col("partner"))
+    member = materialize(_open(large.join(tight.select("node"), "node"), group), "open-blocks")
+    some = materialize(tight.join(member.select("node").distinct(), "node"), "tight")
+    again = _shares(texts_of(texts, some.select(F.col("node").alias("rid"))), some.agg(F.sum("n")).first()[0] or 0, s, True)
+    of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    pairs = _pairs(again, names).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = links.unionByName(_linked(pairs, nodes, texts))
+    # else all that they share is frequent, three quarters of both at least, and the larger set needs its large blocks
+    frequent = again.filter("key is not null").groupBy(F.col("a").alias("name")).agg(F.sum("key").alias("frequent"))
+    info = some.join(frequent, "name").filter(F.col("frequent") * DEN >= F.col("n") * NUM).select("node", "n", "sketch", "tight")
+    member = materialize(member.join(info, "node"), "frequent-only")
     few, every = member.filter("component != most").alias("x"), member.alias("y")
     larger = F.when(F.col("x.n") > F.col("y.n"), F.col("x.tight")).when(F.col("x.n") < F.col("y.n"), F.col("y.tight")).otherwise(F.col("x.tight") | F.col("y.tight"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & larger
@@ -357,7 +413,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """``docs``, all columns, with one row of each group of linked texts: the one with the smallest id (null last), then the first row."""
-    groups = link_documents(docs, doc_id, text, s)
+    rows, rid = numbered(docs)
+    groups = link_documents(rows, doc_id, text, s, rid)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
     gone = groups.join(first, "component").filter("rid != first.rid")
-    return without(docs, gone)
+    return without(rows, rid, gone)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictalog.llm import collocations, disclosure, exact_dedup, fm_index, licenses, mixing, negatives, parity, pieces, postings, ring, subwords, suffixes
+from dictalog.llm.rows import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,8 +104,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_disclosure_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    lists = disclosure.span_lists(docs)
-    ids = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"))
+    placed, rid = numbered(docs)
+    lists = disclosure.span_lists(placed, rid=rid)
+    ids = placed.select("doc_id", F.col(rid).alias("rid"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(disclosure.PATTERNS)]
     base = F.sha2(disclosure.written(len(disclosure.PATTERNS)).cast("binary"), 256)

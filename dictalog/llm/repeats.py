@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dictalog.llm import batches as B
-from dictalog.llm.rows import fields_of, struct_of
+from dictalog.llm.rows import fields_of, numbered, struct_of
 from dictalog.session import materialize
 
 RUNS = "rid long, start int, n int, places int, key long, ha long, hb long"
@@ -221,8 +221,9 @@ def covered(b: pa.RecordBatch, off: np.ndarray, length: int) -> np.ndarray:
 def without_repeats(docs: DataFrame, r: Repeats, cut: Callable[[pa.RecordBatch, Repeats], list[pa.Array]], made: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` with the columns ``made`` (name: type), computed by ``cut`` from each batch, in place of its text."""
     rest = [c for c in docs.columns if c != text and c not in made]
-    base = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+    rows, rid = numbered(docs)
+    base = rows.select(
+        F.col(rid).alias("rid"),
         F.col(f"`{text}`").cast("string").alias("text"),
         struct_of(docs, rest).alias("rest"),
     )
