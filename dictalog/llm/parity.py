@@ -41,9 +41,9 @@ BROADCAST_IDS = 2_000_000
 class Settings:
     few: int = 8
     """A block of more sets is large."""
-    bucket: int = 500_000
+    bucket: int = 300_000
     """Shingles per bucket aimed at."""
-    buffer: int = 4_000_000
+    buffer: int = 2_000_000
     """Text bytes whose blocks are packed together."""
 
 
