@@ -195,12 +195,11 @@ class RescanCoordinator(StatefulProcessor):
         self.state = handle.getValueState("state", _TEXT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "origin"], kind="stable")
+        columns = ("ts_ms", "origin", "kind", "draft_id", "full_text")
+        events = sorted((e for pdf in rows for e in zip(*(pdf[c] for c in columns))), key=lambda e: e[:2])
         pairs = self._load()
-        out = []
-        for ts, origin, kind, ident, text in zip(pdf["ts_ms"], pdf["origin"], pdf["kind"], pdf["draft_id"], pdf["full_text"]):
+        stored, out = bool(pairs), []
+        for ts, origin, kind, ident, text in events:
             ts = int(ts)
             out += self._due(key[0], pairs, ts)
             if origin == "remote":
@@ -208,16 +207,30 @@ class RescanCoordinator(StatefulProcessor):
             else:
                 self._local(pairs, kind, ident, text)
             out += self._closed(key[0], pairs, "paired", lambda p: p["ended"] is not None and p["local"] and p["local"]["done"])
-        self.state.update((json.dumps(pairs),))
-        yield pd.DataFrame(out, columns=REVISION.names)
+        yield from self._done(stored, pairs, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        pairs = self._load()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # one call for all that is due
+        yield from self._done(bool(pairs), pairs, self._due(key[0], pairs, now))
+
+    def _done(self, stored: bool, pairs: list[dict], out: list) -> Iterator:
+        """Keep the pairs that still wait, with one timer for the first of them that is due, and hand on what is through."""
         import pandas as pd
 
-        pairs = self._load()
-        out = self._due(key[0], pairs, expiredTimerInfo.getExpiryTimeInMs())
-        self.state.update((json.dumps(pairs),))
-        yield pd.DataFrame(out, columns=REVISION.names)
+        if pairs:
+            self.state.update((json.dumps(pairs),))
+        elif stored:
+            self.state.clear()
+        limits = [p["ended"] + (self.end_ms if p["local"] else self.start_ms) for p in pairs if p["ended"] is not None]
+        wake = min(limits, default=None)
+        timers = set(self.handle.listTimers()) if stored else set()
+        for at in timers - {wake}:
+            self.handle.deleteTimer(at)
+        if wake is not None and wake not in timers:
+            self.handle.registerTimer(wake)
+        if out:
+            yield pd.DataFrame(out, columns=REVISION.names)
 
     def close(self) -> None:
         pass
@@ -235,8 +248,6 @@ class RescanCoordinator(StatefulProcessor):
             pair = {"remote": ident, "ended": None, "local": None}
             pairs.append(pair)
         pair["ended"] = ts
-        self.handle.registerTimer(ts + self.start_ms)
-        self.handle.registerTimer(ts + self.end_ms)
 
     @staticmethod
     def _local(pairs: list[dict], kind: str, ident: str, text: str | None) -> None:

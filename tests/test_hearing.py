@@ -132,3 +132,69 @@ def test_taps_share_one_life(spark):
     assert sorted(seen["raw"]) == [("AudioChunkEvent", i, None) for i in range(30)]
     assert sorted(x[0] for x in seen["vad"]) == ["AudioSpeechStartEvent", "AudioSpeechStopEvent"]
     assert sorted(c for k, c, on in seen["merged"] if k == "AudioChunkEvent" and on) == [*range(5, 11)] and len(seen["merged"]) == 32
+
+
+class _Handle:
+    """State and timers of one source, as a stateful processor sees them."""
+
+    def __init__(self):
+        self.value, self.timers, self.most = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.most = max(self.most, len(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def listTimers(self):
+        return list(self.timers)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_rescans_of_a_source_share_one_timer():
+    """A thousand drafts leave one timer, not two each: a source's timers run one after the other in one task."""
+    import pandas as pd
+
+    handle, coordinator = _Handle(), live.RescanCoordinator()
+    coordinator.init(handle)
+    rows = []
+    for i in range(1001):
+        at, ours = 10_000 * i, f"l{i}"
+        rows += [(at, "remote", "start", f"r{i}", None), (at + 9_000, "remote", "end", f"r{i}", None)]
+        rows += [(at + 1_000, "local", "start", ours, None)] if i % 3 != 2 else []
+        rows += [(at + 12_000, "local", "end", ours, None)] if i % 3 == 0 else []
+    flow = pd.DataFrame(rows, columns=["ts_ms", "origin", "kind", "draft_id", "full_text"])
+    got = list(coordinator.handleInputRows(("a",), iter([flow]), None))
+    assert handle.most == 1
+    while handle.timers:
+        at = handle.timers.pop()
+        got += coordinator.handleExpiredTimer(("a",), _At(at), _At(at))
+    outcomes = pd.concat(got).set_index("original_draft_id")["outcome"].to_dict()
+    assert outcomes == {f"r{i}": ("paired", "forced", "failed")[i % 3] for i in range(1001)}
+    assert handle.value is None
