@@ -202,14 +202,22 @@ def validate_ids(incoming: DataFrame, stored: DataFrame, order_by: list[str]) ->
     found by an aggregate that folds copies before the shuffle. A parent must be in the store already. A draft that comes in
     parts has one row for each ``part_no``; an id with another part number is not a duplicate.
     """
+    numbered, reasons = judge_ids(incoming, stored, order_by)
+    return numbered.join(reasons.select("_row", "reason"), "_row").select(*incoming.columns, "reason")
+
+
+def judge_ids(incoming: DataFrame, stored: DataFrame, order_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The drafts with a row number ``_row``, written once, and for each number its ids, order and ``reason``: what decides is
+    shuffled without the texts."""
     parts = [c for c in ("part_no",) if c in incoming.columns and c in stored.columns]
     ident = ["draft_id", *parts]
     numbered = materialize(incoming.withColumn("_row", F.monotonically_increasing_id()), "incoming")
+    keys = dict.fromkeys([*ident, "parent_draft_id", *order_by, "_row"])
+    thin = numbered.select(*keys, F.xxhash64(*incoming.columns).alias("_hash"))
     known = stored.select("draft_id").distinct()
-    pos = F.struct(*order_by, F.xxhash64(*incoming.columns).alias("_hash"), "_row")
-    firsts = numbered.groupBy(*ident).agg(F.min(pos)["_row"].alias("_first"))
+    firsts = thin.groupBy(*ident).agg(F.min(F.struct(*order_by, "_hash", "_row"))["_row"].alias("_first"))
     marked = (
-        numbered.join(firsts, ident)
+        thin.join(firsts, ident)
         .withColumn("_copy", F.col("_row") != F.col("_first"))
         .join(stored.select(*ident).distinct().withColumn("_stored", F.lit(True)), ident, "left")
     )
@@ -218,7 +226,7 @@ def validate_ids(incoming: DataFrame, stored: DataFrame, order_by: list[str]) ->
     reason = F.when(F.col("_stored").isNotNull() | F.col("_copy"), "duplicate").when(
         F.col("parent_draft_id").isNotNull() & F.col("_has_parent").isNull(), "unknown_parent"
     )
-    return marked.withColumn("reason", reason).select(*incoming.columns, "reason")
+    return numbered, marked.select(*keys, reason.alias("reason"))
 
 
 def import_revision(incoming: DataFrame) -> DataFrame:

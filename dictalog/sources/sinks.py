@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictalog.operators.drafts import validate_ids
+from dictalog.operators.drafts import judge_ids
 from dictalog.session import materialize
 
 STORED = [
@@ -45,33 +45,33 @@ def append_drafts(incoming: DataFrame, path: str, order_by: list[str]) -> DataFr
     """
     spark = incoming.sparkSession
     stored = read_drafts(spark, path).select("draft_id", "part_no")
-    judged = materialize(validate_ids(incoming, stored, order_by), "judged")
-    accepted, late = _accept_in_order(judged, order_by)
-    day = with_day(_stored_shape(accepted))
+    numbered, reasons = judge_ids(incoming, stored, order_by)
+    judged = materialize(reasons, "judged")
+    accepted = _accept_in_order(judged, order_by)
+    day = with_day(_stored_shape(numbered.join(accepted, "_row", "left_semi")))
     # rebalanced by day: few files for a quiet day, as many tasks as its bytes need for a busy one
     day.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
-    refused = judged.filter(F.col("reason").isNotNull())
-    return refused if late is None else refused.join(late, ["draft_id", "reason"], "left_anti")
+    refused = judged.filter(F.col("reason").isNotNull()).select("_row", "reason").join(accepted, "_row", "left_anti")
+    return numbered.join(refused, "_row").select(*incoming.columns, "reason")
 
 
-def _accept_in_order(judged: DataFrame, order_by: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Accepted rows, and the ids among the unknown parents' children that turn out valid. One round per generation of
+def _accept_in_order(judged: DataFrame, order_by: list[str]) -> DataFrame:
+    """Numbers of the accepted rows: the valid ones, and the unknown parents' children that turn out valid. One round per generation of
     revisions within the batch, each over the newly accepted ids only."""
     pos = F.struct(*order_by)
-    accepted = judged.filter(F.col("reason").isNull()).drop("reason")
-    waiting = judged.filter(F.col("reason") == "unknown_parent").drop("reason")
-    newest, late = accepted, None
+    newest = judged.filter(F.col("reason").isNull())
+    waiting = judged.filter(F.col("reason") == "unknown_parent")
+    accepted = newest.select("_row")
     while not waiting.isEmpty():
         parents = newest.select(F.col("draft_id").alias("parent_draft_id"), pos.alias("_at"))
+        parents = parents.groupBy("parent_draft_id").agg(F.min("_at").alias("_at"))  # a parent in parts has several rows
         joined = waiting.join(parents, "parent_draft_id").filter(F.col("_at") < pos).select(*waiting.columns)
         newest = materialize(joined, "revisions")
         if newest.isEmpty():
             break
-        accepted = accepted.unionByName(newest)
-        ids = newest.select("draft_id", F.lit("unknown_parent").alias("reason"))
-        late = ids if late is None else late.unionByName(ids)
-        waiting = waiting.join(newest.select("draft_id"), "draft_id", "left_anti")
-    return accepted, late
+        accepted = accepted.unionByName(newest.select("_row"))
+        waiting = waiting.join(newest.select("_row"), "_row", "left_anti")
+    return accepted
 
 
 def _stored_shape(drafts: DataFrame) -> DataFrame:

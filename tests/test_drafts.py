@@ -142,3 +142,17 @@ def test_deep_and_shallow_pages_agree_with_unknown_times(spark):
         for offset in (0, 5, 40, 88, 99, 120):
             deep = D.page_drafts(df, 7, offset, order, deep_page=1).collect()
             assert deep == D.page_drafts(df, 7, offset, order).collect()
+
+
+def test_append_judges_without_texts(spark, tmp_path):
+    """What decides about a draft is told apart from its text, and a revision of a parent in two parts is stored once."""
+    from dictalog.sources import sinks
+
+    rows = [("p", 1.0, "one", None, 0), ("p", 1.0, "two", None, 1), ("c", 2.0, "child", "p", 0), ("x", 3.0, "lost", "nobody", 0)]
+    df = spark.createDataFrame(rows, "draft_id STRING, timestamp DOUBLE, full_text STRING, parent_draft_id STRING, part_no LONG")
+    refused = sinks.append_drafts(df, str(tmp_path / "drafts"), ["timestamp"]).collect()
+    kept = sinks.read_drafts(spark, str(tmp_path / "drafts")).select("draft_id", "full_text").collect()
+    assert sorted(map(tuple, kept)) == [("c", "child"), ("p", "one"), ("p", "two")]
+    assert [(r["draft_id"], r["full_text"], r["reason"]) for r in refused] == [("x", "lost", "unknown_parent")]
+    _, reasons = D.judge_ids(df, df.select("draft_id", "part_no").limit(0), ["timestamp"])
+    assert "full_text" not in reasons.columns
