@@ -285,3 +285,14 @@ def test_near_pattern_is_near_word():
             near += want
         assert near > 100
     assert texts.near_pattern(["tenletters"]) is None
+
+
+def test_edit_drafts_few_prompts_at_a_time(spark):
+    """Every draft gets its reply, with the other columns as they were, and only a few prompts become Python objects at a time."""
+    from dictalog.functions import plugins
+
+    rows = spark.range(1000).selectExpr("id", "repeat('x', CAST(id % 7 AS INT)) AS prompt", "array(id) AS other")
+    got = plugins.edit_drafts(rows, lambda: lambda p: f"{len(p)}")
+    assert got.columns == ["id", "prompt", "other", "reply"]
+    assert {(r["id"], r["other"][0], r["reply"]) for r in got.collect()} == {(i, i, str(i % 7)) for i in range(1000)}
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
