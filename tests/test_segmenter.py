@@ -138,3 +138,16 @@ def test_required_words_and_long_phrases_far_back(spark):
     opened = len("new shoes ") + len(filler)
     for name, found in got.items():
         assert found == [("long", 0, "oars"), ("near", opened, "oars")], name
+
+
+def test_late_texts_are_written_in_many_tasks(spark, tmp_path, monkeypatch):
+    """The table behind the stream of late texts comes in as many files as it has parts, not in one."""
+    from conftest import SF
+    from dictalog.plans import text_queries, views
+
+    real = views.texts
+    monkeypatch.setattr(views, "texts", lambda s, sf: real(s, sf).repartition(3))
+    monkeypatch.setattr(text_queries, "shared_dir", lambda s, name: str(tmp_path / name))
+    marked = real(spark, SF).filter("marker IS NOT NULL").count()
+    assert text_queries.t12(spark, SF).count() == marked
+    assert len(list((tmp_path / "late").glob("*.parquet"))) == 6
