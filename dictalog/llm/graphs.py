@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         if before == mark:
             break
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -301,6 +301,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those that are linked: by size, by parity bits, then on the texts."""
     size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     near = pairs.join(size("a"), "a").join(size("b"), "b").filter(near_sizes(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    near = materialize(near, "sized")  # one plan of all these joins would keep a thread and a broadcast of the driver for each at once
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     near = near.join(side("a"), "a").join(side("b"), "b").filter(may_link(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
     near = materialize(near, "near")
@@ -394,6 +395,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # else all that they share is frequent, three quarters of both at least, and the larger set needs its large blocks
     frequent = again.filter("key is not null").groupBy(F.col("a").alias("name")).agg(F.sum("key").alias("frequent"))
     info = some.join(frequent, "name").filter(F.col("frequent") * DEN >= F.col("n") * NUM).select("node", "n", "sketch", "tight")
+    info = materialize(info, "frequent-sets")
     member = materialize(member.join(info, "node"), "frequent-only")
     few, every = member.filter("component != most").alias("x"), member.alias("y")
     larger = F.when(F.col("x.n") > F.col("y.n"), F.col("x.tight")).when(F.col("x.n") < F.col("y.n"), F.col("y.tight")).otherwise(F.col("x.tight") | F.col("y.tight"))
@@ -406,7 +408,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owner = sets.alias("s").join(nodes.alias("m"), (F.col("s.sa") == F.col("m.sa")) & (F.col("s.sb") == F.col("m.sb")) & (F.col("s.n") > 0), "left")
     owner = owner.select("s.rid", F.col("s.n").alias("n_shingles"), F.coalesce("m.node", "s.rid").alias("node"))
     owner = owner.join(group, "node", "left").select("rid", "n_shingles", F.coalesce("component", "node").alias("component"))
-    owner = owner.join(base.select("rid", "id"), "rid")
+    owner = materialize(owner.join(base.select("rid", "id"), "rid"), "owners")  # its readers then have short plans: the driver holds those
     least = owner.groupBy("component").agg(F.min("id").alias("component_id"))
     return owner.join(least, "component").select("rid", "id", "n_shingles", "component_id", "component")
 
@@ -416,5 +418,5 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows, rid = numbered(docs)
     groups = link_documents(rows, doc_id, text, s, rid)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
-    gone = groups.join(first, "component").filter("rid != first.rid")
+    gone = materialize(groups.join(first, "component").filter("rid != first.rid").select("rid"), "gone")
     return without(rows, rid, gone)

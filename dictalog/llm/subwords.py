@@ -67,14 +67,21 @@ def features(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray
         yield doc[at + 1], place(roll.of(at, at + n), n)
 
 
-def _bags(texts: list[str | None], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, its distinct buckets and the share of each among its features."""
-    out = []
-    for t in texts:
-        ids = np.concatenate([b for _, b in features([t], buckets)])
-        which, n = np.unique(ids, return_counts=True)
-        out.append((which, (n / max(1, len(ids))).astype(np.float32)))
-    return out
+#: Texts whose features are put into common arrays at a time.
+_TOGETHER = 500
+
+
+def _bags(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of each text, the share of each among its features, and where each text's begin. Few large arrays, which the process gives back to
+    the system when they go; thousands of small ones would stay with it."""
+    ids, shares, sizes = [], [], []
+    for at in range(0, len(texts), _TOGETHER):
+        some = [np.unique(np.concatenate([b for _, b in features([t], buckets)]), return_counts=True) for t in texts[at : at + _TOGETHER]]
+        ids.append(np.concatenate([which for which, _ in some]))
+        shares.append(np.concatenate([(n / max(1, n.sum())).astype(np.float32) for _, n in some]))
+        sizes += [len(which) for which, _ in some]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([*ids, none]), np.concatenate([*shares, none.astype(np.float32)]), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 def train(texts: list[str | None], labels: list[int], s: Settings) -> Model:
@@ -83,12 +90,13 @@ def train(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out = np.zeros((2, s.dim), np.float32)
     bias = np.zeros(2, np.float32)
-    bags, steps, total = _bags(texts, s.buckets), 0, max(1, len(texts), s.epochs * len(texts), s.steps)
+    buckets, shares, begin = _bags(texts, s.buckets)
+    steps, total = 0, max(1, len(texts), s.epochs * len(texts), s.steps)
     for _ in range(-(-total // len(texts)) if texts else 0):
         for i in rng.permutation(len(texts)):
             rate = s.rate * max(0.0, 1 - steps / total)
             steps += 1
-            ids, share = bags[i]
+            ids, share = buckets[begin[i] : begin[i + 1]], shares[begin[i] : begin[i + 1]]
             rows = vectors[ids]
             hidden = share @ rows
             z = out @ hidden + bias

@@ -252,3 +252,14 @@ def test_pipeline_stages_take_edges(spark, edge, empty):
     pipeline.STAGES[-1][1](spark, out, SF).collect()
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_bags_are_few_large_arrays():
+    """What training holds goes back to the system afterwards; the features of each text are where ``begin`` says."""
+    texts = ["a b a", None, "", "long text " * 50] * 300
+    ids, shares, begin = subwords._bags(texts, 1 << 10)
+    assert len(begin) == len(texts) + 1 and begin[-1] == len(ids) == len(shares)
+    for i in (0, 1, 3, 499, 500, 1199):
+        which, n = np.unique(np.concatenate([b for _, b in subwords.features([texts[i]], 1 << 10)]), return_counts=True)
+        assert (ids[begin[i] : begin[i + 1]] == which).all() and np.allclose(shares[begin[i] : begin[i + 1]], n / max(1, n.sum()))
+    assert [len(x) for x in subwords._bags([], 8)] == [0, 0, 1]

@@ -290,3 +290,11 @@ def test_passage_in_a_third_of_different_documents(spark, tmp_path, seed):
     df = table(spark, tmp_path, rows)
     got = {x.id: x.component_id for x in parity.link_documents(df, s=parity.Settings(bucket=5000, buffer=20_000)).collect()}
     assert got == {d: c for d, (_, c) in brute_links(rows).items()}
+
+
+def test_near_copies_leave_short_plans(spark):
+    """What the driver plans at the end is a join or two of stored tables, not everything before once for each reader."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(parity.drop_near_copies(docs)) <= 2
+    assert joins(parity.link_documents(docs)) <= 2
