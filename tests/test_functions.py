@@ -296,3 +296,17 @@ def test_edit_drafts_few_prompts_at_a_time(spark):
     assert got.columns == ["id", "prompt", "other", "reply"]
     assert {(r["id"], r["other"][0], r["reply"]) for r in got.collect()} == {(i, i, str(i % 7)) for i in range(1000)}
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_parts_and_foreign_letters_are_not_searched(monkeypatch):
+    """A text put before, behind or in place of a part of another, or cut out of it, takes no search however long it is."""
+
+    def searched(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(fuzzy, "_differences", searched)
+    monkeypatch.setattr(fuzzy, "_lcs_bits", searched)
+    text = "some words of a text " * 500
+    n, k = len(text), 3000
+    for other, common in ((text + "¤" * k, n), ("¤" * k + text, n), (text[k:], n - k), (text[: n - k] + "¤" * k, n - k), (text[:k] + "¤" + text[k + 1 :], n - 1)):
+        assert fuzzy.lcs_at_least(text, other, common) == common and fuzzy.lcs_at_least(text, other, common + 1) is None
