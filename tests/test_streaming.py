@@ -119,3 +119,36 @@ def test_workers_flip_against_a_walk(spark):
     stream = in_batches(spark, [p for p in parts if p], "worker STRING, us BIGINT").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "1 second")
     got = run_available(live.worker_flips(stream, ttl), "flips").filter("worker <> 'clock'").collect()
     assert sorted((x.worker, x.alive, x.at_us) for x in got) == sorted(want)
+
+
+def test_words_are_cleaned_once(monkeypatch):
+    """A word of the text is cleaned and compared the first time only, and gives the same required words each time."""
+    from dictalog.functions import fuzzy
+    from dictalog.functions.phrases import default_patterns
+
+    matcher, real, calls = fuzzy.PhraseMatcher(default_patterns()), fuzzy.clean_with_map, []
+    monkeypatch.setattr(fuzzy, "clean_with_map", lambda text: calls.append(text) or real(text))
+    text = "Freddy, take this down: Fredy. " * 50
+    first = matcher.required_at(text)
+    assert first == matcher.required_at(text) and first["freddy"] == text.rindex("Fredy")
+    assert len(calls) == 5
+
+
+def test_no_frame_without_rows():
+    """Nothing is handed on for a key of which nothing is to be told."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from dictalog.functions.phrases import default_patterns
+    from dictalog.streaming.segmenter import DraftSegmenter
+
+    kept = {}
+    value = SimpleNamespace(exists=lambda: "v" in kept, get=lambda: kept["v"], update=lambda v: kept.update(v=v), clear=kept.clear)
+    body = SimpleNamespace(get=lambda: iter(()), clear=lambda: None, appendList=lambda rows: None)
+    s = DraftSegmenter(default_patterns(), 20.0, None, 1000)
+    s.init(SimpleNamespace(getValueState=lambda *a: value, getListState=lambda *a: body))
+    rows = lambda *texts: iter([pd.DataFrame({"seq": [n], "text": [t], "audio_start_time": [float(n)], "audio_end_time": [n + 1.0]}) for n, t in texts])
+    assert list(s.handleInputRows(("a",), rows((1, "nothing"), (0, "here")), None)) == []
+    (got,) = s.handleInputRows(("a",), rows((3, None), (2, "Freddy take this down. words")), None)
+    assert got["kind"].tolist() == ["start", "end"] and got["forced"].tolist() == [False, True] and got["full_text"][1] == " words"
