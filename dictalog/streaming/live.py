@@ -198,7 +198,7 @@ class RescanCoordinator(StatefulProcessor):
         columns = ("ts_ms", "origin", "kind", "draft_id", "full_text")
         events = sorted((e for pdf in rows for e in zip(*(pdf[c] for c in columns))), key=lambda e: e[:2])
         pairs = self._load()
-        stored, out = bool(pairs), []
+        stored, timer, out = bool(pairs), self._wake(pairs), []
         for ts, origin, kind, ident, text in events:
             ts = int(ts)
             out += self._due(key[0], pairs, ts)
@@ -207,27 +207,30 @@ class RescanCoordinator(StatefulProcessor):
             else:
                 self._local(pairs, kind, ident, text)
             out += self._closed(key[0], pairs, "paired", lambda p: p["ended"] is not None and p["local"] and p["local"]["done"])
-        yield from self._done(stored, pairs, out)
+        yield from self._done(stored, timer, pairs, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         pairs = self._load()
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # one call for all that is due
-        yield from self._done(bool(pairs), pairs, self._due(key[0], pairs, now))
+        stored, timer, fired = bool(pairs), self._wake(pairs), expiredTimerInfo.getExpiryTimeInMs()
+        now = max(fired, timerValues.getCurrentWatermarkInMs())  # one call for all that is due
+        yield from self._done(stored, None if timer == fired else timer, pairs, self._due(key[0], pairs, now))  # Spark deletes the one that fired
 
-    def _done(self, stored: bool, pairs: list[dict], out: list) -> Iterator:
-        """Keep the pairs that still wait, with one timer for the first of them that is due, and hand on what is through."""
+    def _wake(self, pairs: list[dict]) -> int | None:
+        """When the first pair that waits is due. The only timer of a source is set to it, so the state needn't be asked for timers."""
+        return min((p["ended"] + (self.end_ms if p["local"] else self.start_ms) for p in pairs if p["ended"] is not None), default=None)
+
+    def _done(self, stored: bool, timer: int | None, pairs: list[dict], out: list) -> Iterator:
+        """Keep the pairs that still wait, with one timer for the first of them that is due, and hand on what is through. timer: the one set before."""
         import pandas as pd
 
         if pairs:
             self.state.update((json.dumps(pairs),))
         elif stored:
             self.state.clear()
-        limits = [p["ended"] + (self.end_ms if p["local"] else self.start_ms) for p in pairs if p["ended"] is not None]
-        wake = min(limits, default=None)
-        timers = set(self.handle.listTimers()) if stored else set()
-        for at in timers - {wake}:
-            self.handle.deleteTimer(at)
-        if wake is not None and wake not in timers:
+        wake = self._wake(pairs)
+        if timer is not None and timer != wake:
+            self.handle.deleteTimer(timer)
+        if wake is not None and wake != timer:
             self.handle.registerTimer(wake)
         if out:
             yield pd.DataFrame(out, columns=REVISION.names)
