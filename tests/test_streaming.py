@@ -152,3 +152,69 @@ def test_no_frame_without_rows():
     assert list(s.handleInputRows(("a",), rows((1, "nothing"), (0, "here")), None)) == []
     (got,) = s.handleInputRows(("a",), rows((3, None), (2, "Freddy take this down. words")), None)
     assert got["kind"].tolist() == ["start", "end"] and got["forced"].tolist() == [False, True] and got["full_text"][1] == " words"
+
+
+def test_coordinator_knows_its_timer():
+    """One timer for the first pair that is due, set and taken back without asking the state for timers."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from dictalog.streaming.live import RescanCoordinator
+
+    kept, timers = {}, set()
+    value = SimpleNamespace(exists=lambda: "v" in kept, get=lambda: kept["v"], update=lambda v: kept.update(v=v), clear=kept.clear)
+    c = RescanCoordinator()
+    c.init(SimpleNamespace(getValueState=lambda *a: value, registerTimer=timers.add, deleteTimer=timers.remove))  # no listTimers
+    rows = lambda *events: iter([pd.DataFrame(events, columns=["ts_ms", "origin", "kind", "draft_id", "full_text"])])
+    time = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+
+    def fire(at):
+        out = list(c.handleExpiredTimer(("a",), time, SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+        timers.remove(at)  # as Spark does
+        return [r for f in out for r in f[["original_draft_id", "outcome"]].itertuples(index=False, name=None)]
+
+    assert list(c.handleInputRows(("a",), rows((0, "remote", "start", "x", None), (9_000, "remote", "end", "x", None)), time)) == []
+    assert timers == {14_000}
+    assert list(c.handleInputRows(("a",), rows((10_000, "local", "start", "l", "text")), time)) == []
+    assert timers == {24_000}
+    list(c.handleInputRows(("a",), rows((11_000, "remote", "start", "y", None), (12_000, "remote", "end", "y", None)), time))
+    assert timers == {17_000}
+    assert fire(17_000) == [("y", "failed")] and timers == {24_000}
+    assert fire(24_000) == [("x", "forced")] and not timers and not kept
+
+
+def test_ordered_rows_give_no_empty_frames():
+    """Pings that are only held, or change nothing, hand nothing on."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from dictalog.streaming.live import _Flips
+
+    class Map(dict):
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def getValue(self, k):
+            return self[k]
+
+        def containsKey(self, k):
+            return k in self
+
+        def removeKey(self, k):
+            del self[k]
+
+    kept = {}
+    memo = SimpleNamespace(exists=lambda: "v" in kept, get=lambda: kept["v"], update=lambda v: kept.update(v=v))
+    s = _Flips(10_000_000)
+    s.init(SimpleNamespace(getMapState=lambda *a: Map(), getValueState=lambda *a: memo, registerTimer=lambda at: None))
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    pings = lambda *us: iter([pd.DataFrame({"ts_us": us, "prio": 0, "ident": None})])
+    assert list(s.handleInputRows(("w",), pings(1_000_000), at(0))) == []
+    (got,) = s.handleExpiredTimer(("w",), at(2_000), None)
+    assert got["alive"].tolist() == [True]
+    assert list(s.handleInputRows(("w",), pings(3_000_000), at(2_000))) == []
+    assert list(s.handleExpiredTimer(("w",), at(4_000), None)) == []
+    (got,) = s.handleExpiredTimer(("w",), at(20_000), None)
+    assert got["alive"].tolist() == [False] and got["at_us"].tolist() == [13_000_000]
