@@ -275,6 +275,7 @@ def _shared(n_buckets: int, few: int, single: bool = False):
                 found.append(packed)
         if found:
             yield from emit(now, found)
+        B.give_back()
 
     return run
 
@@ -295,6 +296,8 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = len(np.intersect1d(known[1], other, assume_unique=True))
                 keep[i] = both * DEN >= (len(known[1]) + len(other) - both) * NUM
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
+        part = None
+        B.give_back()
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:

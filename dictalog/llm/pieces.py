@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dictalog.llm import batches as B
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered per worker, in each of two generations.
@@ -337,6 +339,7 @@ def _column(of, kind: str):
             with _no_cycles():
                 out = of(column.tolist())
             yield out
+            B.give_back()
 
     return made
 
@@ -348,6 +351,7 @@ def _columns(of, kinds: dict[str, str]):
             with _no_cycles():
                 out = of(column.tolist())
             yield out
+            B.give_back()
 
     return made
 

@@ -143,5 +143,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             cuts = np.cumsum([len(t or "") for t in texts]) // 500_000
             cuts = [0, *(np.flatnonzero(np.diff(cuts)) + 1), len(texts)]
             yield pd.Series(np.concatenate([of(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]))
+            B.give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], scored(F.col(f"`{text}`")).alias(name))

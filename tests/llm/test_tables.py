@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from compare import compare, connect
@@ -298,3 +301,35 @@ def test_near_copies_leave_short_plans(spark):
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(parity.drop_near_copies(docs)) <= 2
     assert joins(parity.link_documents(docs)) <= 2
+
+
+def test_row_numbers_start_no_python(spark, tmp_path):
+    """The numbers of the files are a local table: one made from a list of rows runs Python on every executor, which stays beside its heap."""
+    from dictalog.llm.rows import numbered
+
+    rows, _ = numbered(table(spark, tmp_path, [(1, "a")]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
+def test_freed_arrow_memory_goes_back():
+    """40 batches through sets and blocks: what Arrow has freed doesn't stay with the worker."""
+    own = """
+import random, re
+import pyarrow as pa
+from dictalog.llm import parity
+held = lambda: sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+r = random.Random(1)
+words = [f"word{i}" for i in range(5000)]
+def parts(n):
+    for i in range(n):
+        texts = [" ".join(r.choices(words, k=300)) for _ in range(1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["rid", "text"])
+run = lambda n: [sum(b.num_rows for b in f(parts(n))) for f in (parity._sets, parity._pack(20, parity.Settings()))]
+run(1)
+kept = held()
+pa.default_memory_pool().release_unused()
+print(kept - held())
+"""
+    out = subprocess.run([sys.executable, "-c", own], capture_output=True, text=True, check=True, cwd=Path(parity.__file__).parents[2])
+    assert float(out.stdout) < 5
