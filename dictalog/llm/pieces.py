@@ -11,6 +11,7 @@ import gc
 import hashlib
 import math
 import re
+import time
 from array import array
 from bisect import insort
 from collections.abc import Iterator
@@ -275,7 +276,7 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, n: int) -> Encoder:
-    """One per worker, so that its memory of words lasts over batches."""
+    """One per worker, so that its memory of words lasts over batches, until the worker has done other steps for a while."""
     return Encoder(Pieces(path), n)
 
 
@@ -338,7 +339,9 @@ def _column(of, kind: str):
         for column in columns:
             with _no_cycles():
                 out = of(column.tolist())
+            B.REMEMBERED[encoder.cache_clear] = time.monotonic()
             yield out
+            del out
             B.give_back()
 
     return made
@@ -350,7 +353,9 @@ def _columns(of, kinds: dict[str, str]):
         for column in columns:
             with _no_cycles():
                 out = of(column.tolist())
+            B.REMEMBERED[encoder.cache_clear] = time.monotonic()
             yield out
+            del out
             B.give_back()
 
     return made

@@ -263,3 +263,18 @@ def test_bags_are_few_large_arrays():
         which, n = np.unique(np.concatenate([b for _, b in subwords.features([texts[i]], 1 << 10)]), return_counts=True)
         assert (ids[begin[i] : begin[i + 1]] == which).all() and np.allclose(shares[begin[i] : begin[i + 1]], n / max(1, n.sum()))
     assert [len(x) for x in subwords._bags([], 8)] == [0, 0, 1]
+
+
+def test_words_are_forgotten_by_later_steps(spark, monkeypatch):
+    """A worker's memory of words outlives its tasks, but not the steps that come long after."""
+    import time
+
+    from dictalog.llm import batches, pieces
+
+    run = pieces._columns(lambda texts: pieces.pd.DataFrame({"n": [len(pieces.encoder(pieces.MODEL, 3).choices(t)[0]) for t in texts]}), {"n": "long"}).func
+    assert len(list(run(iter([pieces.pd.Series(["some words"])])))) == 1
+    assert pieces.encoder.cache_info().currsize == 1
+    later = time.monotonic() + 60
+    monkeypatch.setattr(batches.time, "monotonic", lambda: later)
+    batches.give_back()
+    assert pieces.encoder.cache_info().currsize == 0 and not batches.REMEMBERED
