@@ -35,6 +35,8 @@ BITS = 256
 NUM, DEN = 3, 4
 #: Most ids (8 bytes each) sent to all executors.
 BROADCAST_IDS = 2_000_000
+#: Blocks of a set that are known wherever it is compared.
+MET = 16
 
 
 @dataclass(frozen=True)
@@ -329,6 +331,25 @@ def _open(large: DataFrame, group: DataFrame) -> DataFrame:
     return member.join(most.filter("groups > 1"), "key").select("key", "node", "component", "most")
 
 
+def _apart(member: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the sets of one block that are in different components and may link, each pair once or nearly so, however many blocks its sets share.
+
+    ``member``: key, node, component, most (of the key), n, sketch, tight. Each set brings the first few of its blocks along. If two sets have some of these in
+    common, they are compared in one of them only, which the pair chooses, so that no block gets all pairs; otherwise in every block that they share.
+    """
+    kept = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, MET).alias("keys"))
+    member = materialize(member.join(kept, "node"), "met")
+    x, y = member.filter("component != most").alias("x"), member.alias("y")
+    larger = F.when(F.col("x.n") > F.col("y.n"), F.col("x.tight")).when(F.col("x.n") < F.col("y.n"), F.col("y.tight")).otherwise(F.col("x.tight") | F.col("y.tight"))
+    once = (F.col("y.component") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
+    both = F.array_intersect("x.keys", "y.keys")
+    chosen = F.try_element_at(both, (F.pmod(F.xxhash64(F.least("x.node", "y.node"), F.greatest("x.node", "y.node")), F.greatest(F.size(both), F.lit(1))) + 1).cast("int"))
+    here = F.coalesce(chosen == F.col("x.key"), F.lit(True))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & larger & near_sizes(F.col("x.n"), F.col("y.n")) & here
+    pairs = x.join(y, apart & may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch")))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def may_link(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """Sizes near enough, and no more parity bits apart than the symmetric difference of linked sets can be.
 
@@ -394,20 +415,16 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     pairs = _pairs(again, names).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = links.unionByName(_linked(pairs, nodes, texts))
+    links = _linked(pairs, nodes, texts)
     # else all that they share is frequent, three quarters of both at least, and the larger set needs its large blocks
     frequent = again.filter("key is not null").groupBy(F.col("a").alias("name")).agg(F.sum("key").alias("frequent"))
     info = some.join(frequent, "name").filter(F.col("frequent") * DEN >= F.col("n") * NUM).select("node", "n", "sketch", "tight")
     info = materialize(info, "frequent-sets")
     member = materialize(member.join(info, "node"), "frequent-only")
-    few, every = member.filter("component != most").alias("x"), member.alias("y")
-    larger = F.when(F.col("x.n") > F.col("y.n"), F.col("x.tight")).when(F.col("x.n") < F.col("y.n"), F.col("y.tight")).otherwise(F.col("x.tight") | F.col("y.tight"))
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & larger
-    rest = few.join(every, apart & may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch")))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = links.unionByName(_linked(rest, nodes, texts)).distinct()
+    links = links.unionByName(_linked(_apart(member), nodes, texts))
 
-    group = components(links)
+    # what is linked already is one link for each node
+    group = components(links.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     owner = sets.alias("s").join(nodes.alias("m"), (F.col("s.sa") == F.col("m.sa")) & (F.col("s.sb") == F.col("m.sb")) & (F.col("s.n") > 0), "left")
     owner = owner.select("s.rid", F.col("s.n").alias("n_shingles"), F.coalesce("m.node", "s.rid").alias("node"))
     owner = owner.join(group, "node", "left").select("rid", "n_shingles", F.coalesce("component", "node").alias("component"))
