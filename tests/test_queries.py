@@ -85,3 +85,15 @@ def test_revisions_of_texts_with_the_mark_equal_sql(spark, tmp_path):
     own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     q = QUERIES["j12_revision_similarity"]
     assert compare.compare(q.run(spark, str(tmp_path)), own, q.oracle) == ""
+
+
+def test_every_text_comes_late(spark):
+    """Also those without a boundary in them: as many late rows as there are texts of each kind."""
+    from collections import Counter
+
+    from dictalog.plans import views
+
+    texts = views.texts(spark, SF).select("source_id", "text", "marker").collect()
+    assert any(r.marker is None for r in texts)
+    late = QUERIES["t12_late_text"].run(spark, SF).collect()
+    assert Counter((r.source_id, r.full_text) for r in late) == Counter((r.source_id, r.text) for r in texts)
