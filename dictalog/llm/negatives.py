@@ -5,8 +5,9 @@ range of distances from the one to the vectors of the other's part. A search has
 whose distances from some split point fall outside what the annulus allows there is left out. The leaves that remain are searched exactly.
 
 Products become distances by one more component that makes all vectors one length, with which the largest product is the least distance. Split points are chosen on a
-bounded sample; all vectors are in the leaves and all ranges cover them all. A leaf is stored in blocks of bounded size. Each search runs twice: a first look at
-some leaves tells how far the window must reach, then all the leaves in reach are read.
+bounded sample; all vectors are in the leaves and all ranges cover them all. Leaves stand on shelves of bounded size. Each search runs twice: a first look at
+some leaves tells how far the window must reach, then all the leaves in reach are read. Rows meet sorted by shelf: its vectors come first and are held, then the anchors
+that ask for it stream past, so what a task holds depends neither on the number of vectors nor on that of the anchors.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class Settings:
     look: int = 4
     """Leaves that a first look reads for a window."""
     block: int = 1024
-    """Vectors, or anchors, that are compared at once."""
+    """Vectors on a shelf."""
     seed: int = 12
 
 
@@ -118,13 +119,13 @@ class Gnat:
                     out[rows[own == j]] = part
         return out
 
-    def within(self, x: np.ndarray, near: np.ndarray, far: np.ndarray, slack: float) -> np.ndarray:
-        """Pairs (row, leaf) of the leaves that may hold vectors at a distance from ``near`` to ``far``."""
-        out, todo = [], [(self.root, np.arange(len(x)))]
+    def reach(self, x: np.ndarray, near: np.ndarray, far: np.ndarray, slack: float) -> Iterator[tuple[int, np.ndarray]]:
+        """The leaves that may hold vectors at a distance from ``near`` to ``far``, each with the rows for which it may."""
+        todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if isinstance(node, int):
-                out.append(np.stack((rows, np.full(len(rows), node)), 1))
+                yield node, rows
                 continue
             d = distances(x[rows], node.points)
             # a vector at distance r from the anchor has one of |r - d| to r + d from the point
@@ -134,9 +135,27 @@ class Gnat:
                 ok = ((node.high[:, j] >= least) & (node.low[:, j] <= most)).all(1)
                 if ok.any():
                     todo.append((part, rows[ok]))
+
+    def within(self, x: np.ndarray, near: np.ndarray, far: np.ndarray, slack: float) -> np.ndarray:
+        """Pairs (row, leaf) of ``reach``."""
+        out = [np.stack((rows, np.full(len(rows), leaf)), 1) for leaf, rows in self.reach(x, near, far, slack)]
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _shelves(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """By leaf its first shelf and on how many it stands: neighbours share one while they have at most ``block`` vectors together, a larger leaf has some of its own."""
+    first, width = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    shelf = held = 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > block:
+            shelf, held = shelf + 1, 0
+        first[leaf], held = shelf, held + n
+        if n > block:
+            width[leaf] = -(-n // block)
+            shelf, held = shelf + int(width[leaf]), 0
+    return first, width
+
+
 def integer_rows(vectors: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """(vec_id, label, q, squared): the rows that take part, components as floor(256 * x)."""
     v = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("x"))
@@ -162,10 +181,6 @@ def _anchored(q: np.ndarray) -> np.ndarray:
     return np.column_stack((q, np.zeros(len(q))))
 
 
-#: What goes with an anchor: the bounds of each of its windows (of the positives' search there is one, of the best score wanted).
-ASK = "leaf int, aid long, own int, vec_id long, label long, q array<long>, low array<long>, high array<long>"
-
-
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact products of integer rows."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -186,45 +201,72 @@ def _best(found: list[np.ndarray], k: int) -> np.ndarray:
     return x[place < k]
 
 
-def _search(k: int, same: bool):
-    """Blocks of a leaf beside anchors that ask for it: of the rows of the same (or another) label within each window the first k."""
-
-    def pick(asks: pa.StructArray, rows: pa.StructArray) -> list[np.ndarray]:
-        at = lambda t, name: t.field(name)
-        ids, labels = at(rows, "vec_id").fill_null(LAST).to_numpy(zero_copy_only=False), at(rows, "label").to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        ids, labels, q = ids[order], labels[order], _matrix(at(rows, "q"), np.int64)[order]
-        scores = _products(_matrix(at(asks, "q"), np.int64), q)
-        out = []
-        for s, aid, own, label, lows, highs in zip(scores, *(at(asks, n).to_pylist() for n in ("aid", "vec_id", "label", "low", "high"))):
-            fits = (labels == label) if same else (labels != label)
-            fits &= ids != own
-            for w, (low, high) in enumerate(zip(lows, highs)):
-                which = np.flatnonzero(fits & (s >= low) & (s <= high))
-                if len(which) > k:
-                    least = np.partition(s[which], len(which) - k)[len(which) - k]
-                    which = which[s[which] >= least]
-                if len(which):
-                    which = which[np.argsort(-s[which], kind="stable")[:k]]
-                    n = len(which)
-                    out.append(np.stack((np.full(n, aid), np.full(n, w), s[which], ids[which]), 1))
-        return out
+def _padded(column: pa.Array, fill: int) -> np.ndarray:
+    """Lists as rows of one length."""
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    out = np.full((len(column), int(np.diff(ends).max(initial=0))), fill, np.int64)
+    for w in range(out.shape[1]):
+        has = np.flatnonzero(np.diff(ends) > w)
+        out[has, w] = column.flatten().to_numpy(zero_copy_only=False)[ends[has] + w]
+    return out
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: Anchors compared with a shelf at once.
+AT_ONCE = 256
+#: Rows of anchors with shelves that leave Python at once.
+ASKS = 4096
+#: Rows that a task holds before it hands some on.
+HELD_ROWS = 400_000
+
+
+def _search(k: int, same: bool):
+    """A shelf's vectors, then the anchors that ask for it: of the vectors of the same (or another) label within each window the first k."""
+
+    def pick(asks: pa.RecordBatch, ids: np.ndarray, labels: np.ndarray, q: np.ndarray) -> np.ndarray:
+        aid, own, label = (asks.column(n).to_numpy(zero_copy_only=False) for n in ("aid", "vec_id", "label"))
+        low, high = _padded(asks.column("low"), LAST), _padded(asks.column("high"), -LAST)
+        scores = _products(_matrix(asks.column("q"), np.int64), q)
+        fits = ((labels == label[:, None]) == same) & (ids != own[:, None])
+        fits &= (scores >= low.min(1, initial=LAST)[:, None]) & (scores <= high.max(1, initial=-LAST)[:, None])
+        i, j = np.nonzero(fits)
+        s, out = scores[i, j], [np.zeros((0, 4), np.int64)]
+        for w in range(low.shape[1]):
+            ok = np.flatnonzero((s >= low[i, w]) & (s <= high[i, w]))
+            out.append(np.stack((aid[i[ok]], np.full(len(ok), w), s[ok], ids[j[ok]]), 1))
+        new = np.concatenate(out)
+        return _best([new], k) if len(new) > k * len(aid) else new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size, limit = 0, 200_000
-        for b in parts:
-            for i in range(b.num_rows):
-                new = pick(b.column("asks").slice(i, 1).flatten(), b.column("rows").slice(i, 1).flatten())
-                held += new
-                size += sum(map(len, new))
-                if size > limit:
-                    held = [_best(held, k)]
-                    size = len(held[0])
-                    if size > limit // 2:
-                        yield _found(held[0])
-                        held, size = [], 0
-        if held:
+        size, shelf, parts, stand = 0, None, [], None
+        for b in batches:
+            shelves, asks = b.column("shelf").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shelves[1:] != shelves[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
+                if start == end:
+                    continue
+                if shelves[start] != shelf:
+                    shelf, parts = shelves[start], []
+                if not asks[start]:
+                    parts.append(b.slice(start, end - start))
+                    stand = None
+                    continue
+                if not parts:
+                    continue
+                if stand is None:
+                    t = pa.Table.from_batches(parts).combine_chunks()
+                    column = lambda n: t.column(n).combine_chunks()
+                    stand = column("vec_id").fill_null(LAST).to_numpy(), column("label").to_numpy(), _matrix(column("q"), np.int64)
+                for at in range(start, end, AT_ONCE):
+                    held.append(pick(b.slice(at, min(AT_ONCE, end - at)), *stand))
+                    size += len(held[-1])
+                    if size > HELD_ROWS:
+                        held = [_best(held, k)]
+                        size = len(held[0])
+                        if size > HELD_ROWS // 2:
+                            yield _found(held[0])
+                            held, size = [], 0
+        if size:
             yield _found(_best(held, k))
 
     return run
@@ -240,16 +282,20 @@ def _first(found: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 class _Index:
-    """The rows of one vector length in the leaves of a tree, in blocks."""
+    """The rows of one vector length in the leaves of a tree, on shelves."""
 
     def __init__(self, rows: DataFrame, s: Settings):
         self.s = s
-        n, longest, self.rows = rows.count(), float(rows.agg(F.max("squared")).first()[0] or 0), rows
+        largest = F.max(F.array_max(F.transform("q", lambda c: F.abs(c))))
+        n, longest, most = rows.agg(F.count(F.lit(1)), F.max("squared"), largest).first()
+        longest = float(longest or 0)
+        self.kind = "short" if (most or 0) < 1 << 15 else "int" if most < 1 << 31 else "long"  # as they lie in rows and batches
+        rows = rows.withColumn("q", F.col("q").cast(f"array<{self.kind}>"))
         sample = rows.select("q", "vec_id", "label").orderBy(F.xxhash64("vec_id", "label"), "vec_id", "label").limit(s.sample).toArrow()
         x = _longer(_matrix(sample["q"].combine_chunks()), longest)
         per_leaf = max(s.leaf, -(-n // s.most_leaves))
         tree = Gnat(x, max(1, per_leaf * len(x) // max(1, n)), s)
-        fields = "leaf int, part int, vec_id long, label long, q array<long>"
+        fields = f"leaf int, part int, vec_id long, label long, q array<{self.kind}>"
 
         def put(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
@@ -257,10 +303,14 @@ class _Index:
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("part"), b.column("vec_id"), b.column("label"), b.column("q")], ["leaf", "part", "vec_id", "label", "q"])
 
         salt = F.xxhash64("vec_id", "label", F.monotonically_increasing_id())
-        placed = materialize(rows.withColumn("part", salt.bitwiseAND(0x7FFFFFFF).cast("int")).mapInArrow(put, fields), "placed")
-        cuts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("cuts"))  # a row a leaf
-        cut = placed.join(F.broadcast(cuts), "leaf").withColumn("part", F.col("part") % F.col("cuts"))
-        self.blocks = materialize(cut.groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "label", "q")).alias("rows")), "blocks")
+        placed = rows.withColumn("part", salt.bitwiseAND(0x7FFFFFFF).cast("int")).select("part", "vec_id", "label", "q")
+        placed = materialize(placed.mapInArrow(put, fields), "placed")
+        counted = placed.groupBy("leaf").count().toArrow()  # a row a leaf
+        counts = np.zeros(len(tree.centres), np.int64)
+        counts[counted["leaf"].to_numpy()] = counted["count"].to_numpy()
+        self.first, self.width = _shelves(counts, s.block)
+        plan = rows.sparkSession.createDataFrame(pa.table({"leaf": np.arange(len(counts), dtype=np.int32), "first": self.first, "width": self.width}))
+        self.vectors = placed.join(F.broadcast(plan), "leaf").select((F.col("first") + F.col("part") % F.col("width")).alias("shelf"), "vec_id", "label", "q")
         self.tree, self.longest = tree, longest
         self._measure(placed)
 
@@ -285,14 +335,16 @@ class _Index:
         for node, i, j, low, high in zip(*(rows[c].to_pylist() for c in ("node", "i", "j", "low", "high"))):
             tree.nodes[node].low[i, j], tree.nodes[node].high[i, j] = low, high
 
-    def ask(self, anchors: DataFrame, looking: bool) -> DataFrame:
-        """Anchors with the leaves to read: for a first look some in the windows, else all that the ranges leave."""
-        tree, longest, s = self.tree, self.longest, self.s
+    def choose(self, looking: bool):
+        """Anchors with the shelves to read: for a first look those of some leaves in the windows, else of all that the ranges leave."""
+        tree, longest, s, first = self.tree, self.longest, self.s, self.first
+        width = np.ones(first.max(initial=0) + 1, np.int32)
+        width[first] = self.width
 
-        def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts:
-                for start in range(0, b.num_rows, 256):
-                    g = b.slice(start, 256)
+                for start in range(0, b.num_rows, AT_ONCE):
+                    g = b.slice(start, AT_ONCE)
                     q = _matrix(g.column("q"))
                     squared, a = (q * q).sum(1), _anchored(q)
                     reach = lambda score: np.sqrt(np.maximum(longest + squared - 2 * np.clip(score, -4.6e18, 4.6e18), 0))
@@ -301,41 +353,31 @@ class _Index:
                     open_ = [[(lo, hi) for lo, hi in zip(x, y) if lo <= hi] for x, y in zip(lows, highs)]
                     near = reach(np.array([max((hi for _, hi in o), default=0) for o in open_], np.float64))
                     far = reach(np.array([min((lo for lo, _ in o), default=0) for o in open_], np.float64))
+                    wanted = np.zeros((len(a), len(width)), bool)
                     if looking:
                         d = distances(a, np.stack(tree.centres))
                         leaf = np.argsort(np.abs(d - near[:, None]), 1, kind="stable")[:, : s.look]
-                        pairs = np.stack((np.repeat(np.arange(len(a)), leaf.shape[1]), leaf.ravel()), 1)
+                        wanted[np.arange(len(a))[:, None], first[leaf]] = True
                     else:
-                        pairs = tree.within(a, near, far, 1e-6 * (1 + np.sqrt(longest + squared.max(initial=0))))
-                    pairs = pairs[np.array([bool(o) for o in open_])[pairs[:, 0]]]
-                    rest = g.take(pa.array(pairs[:, 0]))
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].astype(np.int32)), *(rest.column(c) for c in ("aid", "own", "vec_id", "label", "q", "low", "high"))], ["leaf", "aid", "own", "vec_id", "label", "q", "low", "high"])
-
-        return anchors.select("aid", "own", "vec_id", "label", "q", "low", "high").mapInArrow(choose, ASK)
+                        for leaf, rows in tree.reach(a, near, far, 1e-6 * (1 + np.sqrt(longest + squared.max(initial=0)))):
+                            wanted[rows, first[leaf]] = True
+                    row, shelf = np.nonzero(wanted & np.array([bool(o) for o in open_])[:, None])
+                    times = width[shelf]
+                    ends = np.cumsum(times)
+                    row, shelf = np.repeat(row, times), np.repeat(shelf, times) + np.arange(len(row) and ends[-1]) - np.repeat(ends - times, times)
+                    for at in range(0, len(row), ASKS):
+                        rest = g.take(pa.array(row[at : at + ASKS]))
+                        yield pa.RecordBatch.from_arrays([pa.array(shelf[at : at + ASKS].astype(np.int32)), *rest.columns], ["shelf", *rest.schema.names])
+
+        return run
 
     def find(self, anchors: DataFrame, k: int, same: bool, looking: bool) -> DataFrame:
-        """(aid, window, score, vec_id, at): the first k of each window in the leaves that are read."""
-        asks = self.ask(anchors, looking)
-        # anchors of one leaf ask for much the same leaves; packs of them meet the leaves' blocks
-        packs = asks.groupBy("leaf", "own").agg(F.collect_list(F.struct("aid", "vec_id", "label", "q", "low", "high")).alias("asks"))
-        pairs = packs.join(self.blocks, "leaf").select("asks", "rows")
-        return materialize(_first(pairs.mapInArrow(_search(k, same), FOUND), k, "aid", "window"), "found")
-
-
-def _own_packs(anchors: DataFrame, index: _Index, s: Settings) -> DataFrame:
-    """``anchors`` numbered (aid), with the pack that each travels in (own): its leaf, and a part of it if there are many."""
-    tree, longest = index.tree, index.longest
-
-    def home(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            leaf = tree.leaves(_longer(_matrix(b.column("q")), longest))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *(b.column(c) for c in ("vec_id", "label", "q"))], ["own", "vec_id", "label", "q"])
-
-    homes = anchors.select("vec_id", "label", "q").mapInArrow(home, "own int, vec_id long, label long, q array<long>")
-    homes = materialize(homes.withColumn("aid", F.monotonically_increasing_id()), "anchors")
-    cuts = homes.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("cuts"))
-    part = F.pmod(F.xxhash64("aid"), F.col("cuts")).cast("int")
-    return homes.join(F.broadcast(cuts), "own").withColumn("own", F.col("own") + s.most_leaves * 4 * part).drop("cuts")
+        """(aid, window, score, vec_id, at): the first k of each window on the shelves that are read."""
+        dealt = anchors.select("aid", "vec_id", "label", "q", "low", "high").repartition(anchors.sparkSession.sparkContext.defaultParallelism, "aid")
+        asks = dealt.mapInArrow(self.choose(looking), f"shelf int, aid long, vec_id long, label long, q array<{self.kind}>, low array<long>, high array<long>")
+        both = self.vectors.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+        met = both.repartition("shelf").sortWithinPartitions("shelf", "asks")
+        return materialize(_first(met.mapInArrow(_search(k, same), FOUND), k, "aid", "window"), "found")
 
 
 def hard_negatives(vectors: DataFrame, is_anchor, s: Settings = Settings(), vec_id: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -360,7 +402,8 @@ def hard_negatives(vectors: DataFrame, is_anchor, s: Settings = Settings(), vec_
 
 def _of_length(rows: DataFrame, is_anchor, s: Settings) -> DataFrame:
     index = _Index(rows, s)
-    anchors = _own_packs(rows.filter(is_anchor(F.col("vec_id"))), index, s)
+    anchors = rows.filter(is_anchor(F.col("vec_id"))).select("vec_id", "label", F.col("q").cast(f"array<{index.kind}>").alias("q"))
+    anchors = anchors.withColumn("aid", F.monotonically_increasing_id())
     anything = lambda v: F.array(F.lit(v).cast("long"))
     anchors = materialize(anchors.withColumn("low", anything(-(1 << 62))).withColumn("high", anything(1 << 62)), "asks")
 

@@ -183,6 +183,52 @@ def test_tree_leaves_parts_out():
     assert needed <= pairs and len(pairs) < 0.25 * 100 * len(tree.centres)
 
 
+def test_shelves_hold_neighbours_and_parts():
+    first, width = negatives._shelves(np.array([3, 4, 2, 9, 0, 25, 1, 10, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 1, 2, 5, 6, 7] and width.tolist() == [1, 1, 1, 1, 1, 3, 1, 1, 1]
+
+
+def test_anchors_leave_in_bounded_batches(spark):
+    """Structureless vectors, so that most anchors ask for most leaves: no batch grows with the number of leaves, and no row holds many vectors."""
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, int(r.integers(0, 4)), [float(c) for c in r.normal(size=12)]) for i in range(1500)], "vec_id long, label int, embedding array<double>")
+    index = negatives._Index(negatives.integer_rows(rows), negatives.Settings(leaf=8, degree=4, block=8))
+    asks = index.vectors.selectExpr("vec_id AS aid", "vec_id", "label", "q", f"array({-(1 << 62)}L) AS low", f"array({1 << 62}L) AS high").limit(300).toArrow().to_batches()
+    sizes = [b.num_rows for b in index.choose(False)(iter(asks))]
+    assert sum(sizes) == 300 * index.vectors.select("shelf").distinct().count() > 10 * negatives.ASKS and max(sizes) <= negatives.ASKS
+    assert index.vectors.groupBy("shelf").count().agg(F.max("count")).first()[0] < 40 and dict(index.vectors.dtypes)["q"] == "array<smallint>"
+
+
+@pytest.mark.parametrize("rows_each", [1, 7, 1000])
+def test_shelf_and_anchors_across_batches(monkeypatch, rows_each):
+    """A shelf's vectors and its anchors may come in any number of batches, and what is held may leave in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(negatives, "HELD_ROWS", 20)
+    r = np.random.default_rng(7)
+    q, labels = r.integers(-9, 9, (60, 3)), r.integers(0, 3, 60)
+    rows = [(int(i % 4), False, None, i, int(labels[i]), q[i].tolist(), None, None) for i in range(60) if i % 4 != 2]
+    windows = {i: ([-200, 5, 3], [200, 50, 2]) if i % 2 else ([0], [90]) for i in range(0, 60, 5)}
+    rows += [(s, True, 100 + i, i, int(labels[i]), q[i].tolist(), *windows[i]) for i in windows for s in range(4)]
+    rows.sort(key=lambda x: x[:2])
+    names = ["shelf", "asks", "aid", "vec_id", "label", "q", "low", "high"]
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    found = negatives._search(2, False)(batch.slice(at, rows_each) for at in range(0, len(rows), rows_each))
+    got = [x for b in found for x in zip(*(c.to_pylist() for c in b.columns))]
+    wanted = []
+    for i, (lows, highs) in windows.items():
+        for w, (low, high) in enumerate(zip(lows, highs)):
+            fits = [(-int(q[i] @ q[j]), j) for j in range(60) if j % 4 != 2 and labels[j] != labels[i] and low <= q[i] @ q[j] <= high]
+            wanted += [(100 + i, w, -s, j) for s, j in sorted(fits)[:2]]
+    first = Counter()
+    for aid, w, s, j in sorted(set(got), key=lambda x: (x[0], x[1], -x[2], x[3])):
+        first[aid, w] += 1
+        if first[aid, w] <= 2:
+            wanted.remove((aid, w, s, j))
+    assert not wanted
+
+
 # -- operator 13
 
 
